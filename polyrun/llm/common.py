@@ -82,7 +82,7 @@ def spanning(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = No
             jumped = label[label]
             if (jumped == label).all():
                 break
-            label = jumped
+            label[:] = jumped
     return label, np.concatenate(used) if used else np.zeros(0, np.int64)
 
 

@@ -22,7 +22,7 @@ def _order(*more: str) -> list[Column]:
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5) -> DataFrame:
-    """source, source_size, weight, target of each source in sizes (source, size).
+    """source, source_size, weight, budget (of all), target of each source in sizes (source, size).
 
     Sources in code point order, null last, get the weights in turn and share `share` times all sizes. A target
     stops at PASSES times its source's size; what is above is shared again by weight. In the order of (limit /
@@ -45,7 +45,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share
     stopped = F.col("limit") <= F.col("weight") * level
     s = s.select("source", "source_size", "weight", "limit", level.alias("level"), stopped.alias("stopped"))
     cut = F.min(F.when(~F.col("stopped"), F.struct((F.col("limit") / F.col("weight")).alias("at"), F.col("source"), "level"))).over(every).getField("level")
-    return s.select("source", "source_size", "weight", F.when(F.col("stopped"), F.col("limit")).otherwise(F.col("weight") * cut).alias("target"))
+    budget = F.sum("source_size").over(every) * F.lit(float(share))
+    return s.select("source", "source_size", "weight", F.floor(budget).alias("budget"), F.when(F.col("stopped"), F.col("limit")).otherwise(F.col("weight") * cut).alias("target"))
 
 
 def fair_queue(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, seed: str = "mix") -> DataFrame:
@@ -87,8 +88,7 @@ def fair_queue(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: flo
     bases = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"), F.lit(1).alias("one"))
     run = Window.partitionBy("part").orderBy(*[F.col(c).asc_nulls_last() if c == "source" else F.col(c).asc_nulls_first() for c in order]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = ranged.withColumn("offset", F.sum("taken").over(run) - F.col("taken")).join(F.broadcast(bases), "part").withColumn("offset", F.col("offset") + F.col("base"))
-    budget = targets.agg((F.sum("source_size") * F.lit(float(share))).alias("budget"))  # one row
-    placed = placed.join(F.broadcast(budget)).withColumn("taken", F.greatest(F.lit(0), F.least(F.col("taken"), F.floor("budget") - F.col("offset"))).cast("long"))
+    placed = placed.withColumn("taken", F.greatest(F.lit(0), F.least(F.col("taken"), F.col("budget") - F.col("offset"))).cast("long"))
     return placed.select("doc_id", "source", "pass", "size", "source_size", "target", "finish", "offset", "taken")
 
 

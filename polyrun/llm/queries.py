@@ -7,16 +7,31 @@ import public_tokenizers
 from .common import table
 from .exact_dedup import owners
 from .mixing import mix
+from .simhash import simhash_components
+from .substrings import parsed
 from .tokens import read_token_ids, token_counts, token_id_files, with_crc32
+from .toxicity import toxicity
 
 #: The vocabulary of the token queries.
 VOCABULARY = "word_bpe_49k.json"
 
 
+def op1_simhash(spark, sf_dir):
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
+def op2_substring_dedup(spark, sf_dir):
+    return parsed(table(spark, sf_dir, "documents")).drop("n_factors")
+
+
 def op4_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark, sf_dir):
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
