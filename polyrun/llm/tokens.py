@@ -7,6 +7,7 @@ import os
 import re
 import zlib
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import byte_values, fresh_path, pieces, ragged, width
 
 #: Entries of a worker's table of words; it is only a table of results and is emptied when it is full.
-WORDS_HELD = 250_000
+WORDS_HELD = 400_000
 
 
 @lru_cache(maxsize=2)
@@ -36,20 +37,24 @@ class WordTable:
 
     def __init__(self, encode) -> None:
         self.encode, self.index = encode, {}
-        self.length = np.zeros(0, np.int64)
+        self.length = self.start = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.int64)
 
     def rows(self, words: list[bytes]) -> np.ndarray:
         if len(self.index) > WORDS_HELD:
             self.__init__(self.encode)
-        new = list(set(words).difference(self.index))
-        if new:
+        out = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        at = np.flatnonzero(out < 0)
+        if len(at):
+            missed = [words[i] for i in at.tolist()]
+            new = list(set(missed))
             length, flat = self.encode(new)
             self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
             self.length = np.concatenate([self.length, length])
             self.flat = np.concatenate([self.flat, flat])
             self.start = np.cumsum(self.length) - self.length
-        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+            out[at] = np.fromiter(map(self.index.__getitem__, missed), np.int64, len(missed))
+        return out
 
 
 def _split(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
@@ -63,6 +68,12 @@ def _per_text(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total[end] - total[end - counts]
 
 
+#: Byte to printable character of byte-level vocabularies (printable Latin-1 as it is, the others from U+0100 on).
+_PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_CHARS = dict(zip([*_PLAIN, *sorted(set(range(256)) - set(_PLAIN))], [*_PLAIN, *range(0x100, 0x200)], strict=False))
+_BYTES = {c: b for b, c in _CHARS.items()}
+
+
 class RankMerger:
     """Byte-pair merges of many pre-tokens at once.
 
@@ -81,16 +92,15 @@ class RankMerger:
         key = left * n + right
         order = np.argsort(key, kind="stable")
         self.keys, self.ranks, self.merged = key[order], order, to[order]
-        # byte to printable character: printable Latin-1 as it is, the others from U+0100 on
-        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-        rest = iter(range(0x100, 0x200))
-        chars = [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
-        self.inner = np.array([self.vocab[c] for c in chars], np.int64)
-        self.last = np.array([self.vocab[c + self.suffix] for c in chars], np.int64)
-
-    def counts(self, tokens: list[bytes]) -> np.ndarray:
+        chars = {c: chr(c) for c in _BYTES}
+        self.inner, self.last = np.zeros(0x200, np.int64), np.zeros(0x200, np.int64)
+        for c, text in chars.items():
+            self.inner[c], self.last[c] = self.vocab[text], self.vocab[text + self.suffix]
+
+    def counts(self, tokens: list[str]) -> np.ndarray:
+        """tokens: pre-tokens as byte-level characters."""
         size = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        raw = np.frombuffer(b"".join(tokens), np.uint8)
+        raw = np.frombuffer("".join(tokens).encode("utf-16-le"), np.uint16)
         symbol = self.inner[raw]
         end = np.cumsum(size)
         symbol[end - 1] = self.last[raw[end - 1]]
@@ -129,39 +139,96 @@ def _merger(path: str) -> RankMerger:
     return RankMerger(path)
 
 
-#: What a pre-token of this vocabulary is, for ASCII words; the library splits all others.
-_ASCII_TOKEN = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: What a pre-token of this vocabulary is, in words of Latin letters below U+0250, where composing changes nothing;
+#: words with other characters or special strings are left to the library.
+_LETTER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f"
+_NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
+_LATIN_TOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_LETTER}{_NUMBER}]+")
+_OTHER = re.compile("[^\x21-\x7e\xa1-\u012f\u0131-\u024f]|<\\|")
 
 
-def _pre_tokens(path: str, words: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Pre-tokens of all words as bytes, how many each word has, and ids of special strings to add to a word."""
+def _pre_tokens(path: str, words: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Pre-tokens of all words as byte-level characters, how many each word has, and how many special strings it holds."""
     tok = _tokenizer(path)
-    special = [x.content.encode() for x in tok.get_added_tokens_decoder().values()]
-    marks = re.compile(b"(" + b"|".join(map(re.escape, special)) + b")") if special else None
-    back = {}
+    special = [re.escape(x.content) for x in tok.get_added_tokens_decoder().values()]
+    marks = re.compile("(" + "|".join(special) + ")") if special else None
     out, n, extra = [], np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-    for i, word in enumerate(words):
-        before = len(out)
-        if b"<|" in word and marks is not None:
-            parts = marks.split(word)
-            extra[i] = len(parts) // 2
-            parts = parts[::2]
+    for i, raw in enumerate(words):
+        before, word = len(out), raw.decode()
+        if not _OTHER.search(word):
+            out += [x if x.isascii() else x.encode().decode("latin-1").translate(_CHARS) for x in _LATIN_TOKEN.findall(word.lower())]
         else:
-            parts = (word,)
-        for part in parts:
-            if part.isascii() and b"\x1c" not in part and b"\x1d" not in part and b"\x1e" not in part and b"\x1f" not in part:
-                out += _ASCII_TOKEN.findall(part.lower())
-            elif part:
-                if not back:
-                    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-                    rest = iter(range(0x100, 0x200))
-                    back = {ord(chr(b) if b in plain else chr(next(rest))): b for b in range(256)}
-                text = tok.normalizer.normalize_str(part.decode())
-                out += [x.translate(back).encode("latin-1") for x, _ in tok.pre_tokenizer.pre_tokenize_str(text)]
+            parts = marks.split(word) if marks else [word]
+            extra[i] = len(parts) // 2
+            for part in parts[::2]:
+                if part:
+                    out += [x for x, _ in tok.pre_tokenizer.pre_tokenize_str(tok.normalizer.normalize_str(part))]
         n[i] = len(out) - before
     return out, n, extra
 
 
+@lru_cache(maxsize=2)
+def _plain_tokenizer(path: str):
+    """The library's tokenizer for pre-tokens between spaces: the same vocabulary and merges, nothing before them."""
+    from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import WhitespaceSplit
+
+    tok = Tokenizer(_tokenizer(path).model)
+    tok.pre_tokenizer = WhitespaceSplit()
+    return tok
+
+
+@lru_cache(maxsize=2)
+def _word_ends(path: str) -> np.ndarray:
+    """Of each id, whether it ends a pre-token: the last symbol of each carries the vocabulary's suffix, no other does."""
+    tok = _tokenizer(path)
+    ends = np.zeros(tok.get_vocab_size(), bool)
+    suffix = tok.model.end_of_word_suffix
+    for token, i in tok.get_vocab(with_added_tokens=False).items():
+        ends[i] = token.endswith(suffix)
+    return ends
+
+
+def _word_ids(path: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Length and ids of each word, as the library encodes it."""
+    whole, tok = _tokenizer(path), _plain_tokenizer(path)
+    texts = [w.decode() for w in words]
+    other = np.fromiter((bool(_OTHER.search(t)) for t in texts), bool, len(texts))
+    pre, n, _ = _pre_tokens(path, [w for w, o in zip(words, other.tolist(), strict=True) if not o])
+    known = list(set(pre))
+    flat = [np.array(x.ids, np.int64) for x in tok.encode_batch_fast([" ".join(known[i : i + 200]) for i in range(0, len(known), 200)], add_special_tokens=False)]
+    last = np.flatnonzero(_word_ends(path)[np.concatenate(flat)]) if flat else np.zeros(0, np.int64)
+    size = [np.diff(last, prepend=-1)]
+    for x in whole.encode_batch_fast([t for t, o in zip(texts, other.tolist(), strict=True) if o], add_special_tokens=False):
+        size.append(np.array([len(x.ids)]))
+        flat.append(np.array(x.ids, np.int64))
+    size, flat = np.concatenate(size).astype(np.int64), np.concatenate([*flat, np.zeros(0, np.int64)])
+    place = {x: i for i, x in enumerate(known)}
+    per = np.ones(len(words), np.int64)
+    per[~other] = n
+    row = np.full(int(per.sum()), -1, np.int64)
+    row[np.repeat(~other, per)] = np.fromiter(map(place.__getitem__, pre), np.int64, len(pre))
+    row[row < 0] = len(known) + np.arange(int(other.sum()))
+    start = np.cumsum(size) - size
+    return _per_text(size[row], per), flat[ragged(start[row], size[row])]
+
+
+@lru_cache(maxsize=2)
+def _id_table(path: str) -> WordTable:
+    return WordTable(lambda words: _word_ids(path, words))
+
+
+@lru_cache(maxsize=2)
+def _count_table(path: str) -> WordTable:
+    def encode(words):
+        out, n, extra = _pre_tokens(path, words)
+        distinct = list(set(out))
+        each = dict(zip(distinct, _merger(path).counts(distinct).tolist() if distinct else [], strict=True))
+        return np.ones(len(words), np.int64), _per_text(np.fromiter(map(each.__getitem__, out), np.int64, len(out)), n) + extra
+
+    return WordTable(encode)
+
+
 def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit).
 
@@ -171,12 +238,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     """
 
     def count(batches):
-        def encode(words):
-            out, n, extra = _pre_tokens(path, words)
-            each = _merger(path).counts(out) if out else np.zeros(0, np.int64)
-            return np.ones(len(words), np.int64), _per_text(each, n) + extra
-
-        known = WordTable(encode)
+        known = _count_table(path)
         for batch in batches:
             for part in pieces(batch, "text"):
                 texts = byte_values(part.column("text"))
@@ -199,13 +261,7 @@ def write_token_ids(docs: DataFrame, out: str, path: str, end_id: int = 1, parts
     spark = docs.sparkSession
 
     def encode_part(batches):
-        def encode(words):
-            tok = _tokenizer(path)
-            ids = [x.ids for x in getattr(tok, "encode_batch_fast", tok.encode_batch)([w.decode() for w in words], add_special_tokens=False)]
-            length = np.fromiter(map(len, ids), np.int64, len(ids))
-            return length, np.fromiter((i for x in ids for i in x), np.int64, int(length.sum()))
-
-        known, start, part_id = WordTable(encode), 0, TaskContext.get().partitionId()
+        known, start, part_id = _id_table(path), 0, TaskContext.get().partitionId()
         for batch in batches:
             for part in pieces(batch, "text"):
                 words, per = _split(byte_values(part.column("text")))
