@@ -5,10 +5,13 @@ from __future__ import annotations
 import public_tokenizers
 
 from .common import table
+from .decontaminate import contamination
 from .exact_dedup import owners
+from .licenses import license_spans
 from .mixing import mix
 from .simhash import simhash_components
 from .substrings import parsed
+from .suffixes import repeats
 from .tokens import read_token_ids, token_counts, token_id_files, with_crc32
 from .toxicity import toxicity
 
@@ -24,6 +27,10 @@ def op2_substring_dedup(spark, sf_dir):
     return parsed(table(spark, sf_dir, "documents")).drop("n_factors")
 
 
+def op3_licenses(spark, sf_dir):
+    return license_spans(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents"))
 
@@ -32,6 +39,10 @@ def op5_toxicity(spark, sf_dir):
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_decontamination(spark, sf_dir):
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
@@ -44,12 +55,24 @@ def op9_exact_dedup(spark, sf_dir):
     return owners(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark, sf_dir):
+    return repeats(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql():
     return {
+        "op2_substring_dedup": r"""
+            WITH l AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+            g AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM l)),
+            m AS (SELECT doc_id, i, doc_id > min(doc_id) OVER (PARTITION BY s) AS dup FROM g),
+            c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM m WHERE dup),
+            k AS (SELECT l.doc_id, list_filter(list_zip(w, range(1, len(w) + 1)), lambda x: NOT list_contains(coalesce(d.gone, []), x[2])) AS kept, len(w) AS n
+                  FROM l LEFT JOIN (SELECT doc_id, list(i) AS gone FROM c GROUP BY doc_id) d USING (doc_id))
+            SELECT doc_id, n AS n_words, n - len(kept) AS n_removed, sha256(array_to_string(list_transform(kept, lambda x: x[1]), ' ')) AS kept_sha256 FROM k""",
         "op4_mixing": r"""
             WITH d AS (
                 SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,

@@ -25,8 +25,10 @@ class Stretches:
     """hash(a, b) of bytes[a:b] for arrays a, b: a polynomial modulo 2^64 in random byte values, with a finalising mix."""
 
     def __init__(self, data: np.ndarray) -> None:
+        """data: bytes, or any values as uint64."""
         power, self.inverse = _up_to(len(data) + 1)
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUE[data] * power[: len(data)])])
+        value = _VALUE[data] if data.dtype == np.uint8 else data
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value * power[: len(data)])])
 
     def hash(self, a, b) -> np.ndarray:
         h = (self.sums[b] - self.sums[a]) * self.inverse[a]
