@@ -25,12 +25,12 @@ def _elements(spark, d):
 
 
 def _unbiased(spark, d):
-    return counts.drop_biased(_elements(spark, d))
+    return counts.drop_biased(_elements(spark, d)).persist()
 
 
 def _located(spark, d):
     deep = counts.with_depth(_unbiased(spark, d), DEPTH).where("deep").drop("depth", "deep")
-    return mapping.located_elements(deep, derived.contigs(spark, d), 15)
+    return mapping.located_elements(deep, derived.contigs(spark, d), 15).persist()
 
 
 def _simple_concat(spark, d) -> DataFrame:
@@ -40,12 +40,12 @@ def _simple_concat(spark, d) -> DataFrame:
     h = counts.length_histograms(e).join(e.select(*counts.CONTEXT, *place).distinct(), counts.CONTEXT)
     h = h.withColumn("n_context", F.lit(1)).withColumn("mode_left", F.col("left_ctx")).withColumn("mode_right", F.col("right_ctx")).withColumn("name", dna.context_name("left_ctx", "base", "right_ctx", "neg_strand"))
     h = h.withColumn("tract_id", F.dense_rank().over(Window.orderBy("location")) - 1).withColumn("concat_idx", F.row_number().over(Window.orderBy("location", F.desc("sample_idx"))) - 1)
-    return stats.histogram_stats(h, counts.sample_coverage(_unbiased(spark, d)))
+    return stats.histogram_stats(h, counts.sample_coverage(_unbiased(spark, d))).persist()
 
 
 def _simple_ref(spark, d) -> DataFrame:
     c = _simple_concat(spark, d)
-    return reference.best_reference_tract(reference.tract_borders(c), c, derived.contigs(spark, d), OPTIONS)
+    return reference.best_reference_tract(reference.tract_borders(c), c, derived.contigs(spark, d), OPTIONS).persist()
 
 
 def _annotated(spark, d) -> DataFrame:
@@ -58,7 +58,7 @@ def _simple_variable(spark, d):
 
 
 def _pipeline(spark, d) -> TractPipeline:
-    return TractPipeline(derived.reads(spark, d), derived.contigs(spark, d), derived.features(spark, d), OPTIONS, lambda df: df)
+    return TractPipeline(derived.reads(spark, d), derived.contigs(spark, d), derived.features(spark, d), OPTIONS)
 
 
 def _contexts(spark, d):
@@ -330,8 +330,8 @@ pool AS (SELECT DISTINCT base, left_ctx, right_ctx FROM elements),
 near_pairs AS (SELECT a.base, a.left_ctx, a.right_ctx, b.left_ctx AS l2, b.right_ctx AS r2 FROM pool a JOIN pool b ON a.base = b.base AND ((a.left_ctx = b.left_ctx AND a.right_ctx < b.right_ctx) OR (a.right_ctx = b.right_ctx AND a.left_ctx < b.left_ctx)))"""
 
 _MAPPED = f"""{_COUNTS},
-asked AS (SELECT sample_idx, base, left_ctx, right_ctx, left_ctx || repeat(base, max(length)) || right_ctx AS query FROM depths WHERE depth >= {DEPTH} GROUP BY ALL),
-wanted AS (SELECT DISTINCT left_ctx || repeat(base, max(length) OVER (PARTITION BY base, left_ctx, right_ctx)) || right_ctx AS query FROM unbiased),
+asked AS (SELECT * EXCLUDE (m), left_ctx || repeat(base, m) || right_ctx AS query FROM (SELECT sample_idx, base, left_ctx, right_ctx, max(length) AS m FROM depths WHERE depth >= {DEPTH} GROUP BY ALL)),
+wanted AS (SELECT DISTINCT left_ctx || repeat(base, m) || right_ctx AS query FROM (SELECT base, left_ctx, right_ctx, max(length) AS m FROM unbiased GROUP BY ALL)),
 every AS (SELECT query FROM asked UNION SELECT query FROM wanted),
 sizes AS (SELECT DISTINCT length(query) AS n FROM every),
 stretches AS (SELECT ref_id, flat_offset, p, n, substr(seq, p + 1, n) AS s FROM (SELECT ref_id, flat_offset, seq, n, unnest(range(0, len - n + 1)) AS p FROM offsets, sizes)),
