@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from polyrun.operators import annotate, cluster, counts, mapping, reference, report, scan, stats
 from polyrun.options import Options
+from polyrun.sources.shared import checkpointed
 
 
 @dataclass
@@ -17,14 +19,14 @@ class TractPipeline:
     """reads (sample_idx, seq), contigs (ref_id, contig, seq, len), features (contig, type, start, end, feature_id) -> tables by attribute.
 
     Every table is made when it is asked for. `keep` is applied to tables that several others use (histograms and
-    tracts); the default caches them, on a cluster pass a function that writes and reads a table.
+    tracts); the default checkpoints them in the shared folder.
     """
 
     reads: DataFrame
     contigs: DataFrame
     features: DataFrame | None = None
     options: Options = Options()
-    keep: object = staticmethod(lambda df: df.persist())
+    keep: Callable[[DataFrame], DataFrame] = field(default=checkpointed)
 
     @cached_property
     def hits(self) -> DataFrame:

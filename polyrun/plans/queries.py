@@ -10,6 +10,7 @@ from polyrun.operators import annotate, cluster, counts, mapping, reference, rep
 from polyrun.options import Options
 from polyrun.plans.pipeline import TractPipeline
 from polyrun.sources import derived
+from polyrun.sources.shared import checkpointed
 
 K, M, DEPTH = 8, 3, 5
 OPTIONS = Options(kmer=K, min_tract=M, min_reads=DEPTH, max_edits=1)
@@ -25,12 +26,12 @@ def _elements(spark, d):
 
 
 def _unbiased(spark, d):
-    return counts.drop_biased(_elements(spark, d)).persist()
+    return checkpointed(counts.drop_biased(_elements(spark, d)))
 
 
 def _located(spark, d):
     deep = counts.with_depth(_unbiased(spark, d), DEPTH).where("deep").drop("depth", "deep")
-    return mapping.located_elements(deep, derived.contigs(spark, d), 15).persist()
+    return checkpointed(mapping.located_elements(deep, derived.contigs(spark, d), 15))
 
 
 def _simple_concat(spark, d) -> DataFrame:
@@ -40,12 +41,12 @@ def _simple_concat(spark, d) -> DataFrame:
     h = counts.length_histograms(e).join(e.select(*counts.CONTEXT, *place).distinct(), counts.CONTEXT)
     h = h.withColumn("n_context", F.lit(1)).withColumn("mode_left", F.col("left_ctx")).withColumn("mode_right", F.col("right_ctx")).withColumn("name", dna.context_name("left_ctx", "base", "right_ctx", "neg_strand"))
     h = h.withColumn("tract_id", F.dense_rank().over(Window.orderBy("location")) - 1).withColumn("concat_idx", F.row_number().over(Window.orderBy("location", F.desc("sample_idx"))) - 1)
-    return stats.histogram_stats(h, counts.sample_coverage(_unbiased(spark, d))).persist()
+    return checkpointed(stats.histogram_stats(h, counts.sample_coverage(_unbiased(spark, d))))
 
 
 def _simple_ref(spark, d) -> DataFrame:
     c = _simple_concat(spark, d)
-    return reference.best_reference_tract(reference.tract_borders(c), c, derived.contigs(spark, d), OPTIONS).persist()
+    return checkpointed(reference.best_reference_tract(reference.tract_borders(c), c, derived.contigs(spark, d), OPTIONS))
 
 
 def _annotated(spark, d) -> DataFrame:
@@ -286,7 +287,7 @@ def euclidean_distance(spark, d):
     return e.join(F.broadcast(few), F.col("vec_id") >= F.col("anchor")).select("vec_id", "anchor", dna.euclidean("embedding", "a").alias("distance"))
 
 
-_NOT_QUERIES = {"Window", "DataFrame", "Options", "TractPipeline", "queries", "oracle_sql"}
+_NOT_QUERIES = {"queries", "oracle_sql"}
 
 
 def queries():
