@@ -67,9 +67,15 @@ def _contexts(spark, d):
 
 
 def _near_pairs(spark, d):
-    """Pairs of contexts of one base that share a flank: what distances are asked of."""
+    """Contexts of one base that share a flank, each with the next in order: what distances are asked of.
+
+    A window and no join, so a common flank costs a row per context and not a row per pair.
+    """
     c = _contexts(spark, d)
-    return c.join(c.select("base", F.col("left_ctx").alias("l2"), F.col("right_ctx").alias("r2")), "base").where("(left_ctx = l2 and right_ctx < r2) or (right_ctx = r2 and left_ctx < l2)")
+    following = lambda shared, other: F.lead(other).over(Window.partitionBy("base", shared).orderBy(other))
+    right = c.withColumn("l2", F.col("left_ctx")).withColumn("r2", following("left_ctx", "right_ctx")).where("r2 is not null")
+    left = c.withColumn("l2", following("right_ctx", "left_ctx")).withColumn("r2", F.col("right_ctx")).where("l2 is not null")
+    return right.unionByName(left)
 
 
 def ht_scan(spark, d):
@@ -281,10 +287,10 @@ def vcf_multi_sample(spark, d):
 
 
 def euclidean_distance(spark, d):
-    """Distances of every vector to the 20 of smallest id."""
+    """Distance of every vector to the one of the next id."""
     e = spark.read.parquet(f"{d}/embeddings.parquet")
-    few = e.where("vec_id < 20").select(F.col("vec_id").alias("anchor"), F.col("embedding").alias("a"))
-    return e.join(F.broadcast(few), F.col("vec_id") >= F.col("anchor")).select("vec_id", "anchor", dna.euclidean("embedding", "a").alias("distance"))
+    before = e.select((F.col("vec_id") + 1).alias("next_id"), F.col("embedding").alias("a"))
+    return e.join(before, F.col("vec_id") == F.col("next_id")).select((F.col("next_id") - 1).alias("vec_id"), "next_id", dna.euclidean("a", "embedding").alias("distance"))
 
 
 _NOT_QUERIES = {"queries", "oracle_sql"}
@@ -328,7 +334,9 @@ depths AS (SELECT *, CAST(sum(count) OVER (PARTITION BY sample_idx, base, left_c
 coverage AS (SELECT sample_idx, max(n) AS coverage FROM (
   SELECT sample_idx, k, CAST(sum(count) AS BIGINT) AS n FROM (SELECT sample_idx, substr(left_ctx, 1, 15) AS k, count FROM unbiased UNION ALL SELECT sample_idx, substr(right_ctx, 1, 15), count FROM unbiased) GROUP BY 1, 2) GROUP BY 1),
 pool AS (SELECT DISTINCT base, left_ctx, right_ctx FROM elements),
-near_pairs AS (SELECT a.base, a.left_ctx, a.right_ctx, b.left_ctx AS l2, b.right_ctx AS r2 FROM pool a JOIN pool b ON a.base = b.base AND ((a.left_ctx = b.left_ctx AND a.right_ctx < b.right_ctx) OR (a.right_ctx = b.right_ctx AND a.left_ctx < b.left_ctx)))"""
+near_pairs AS (
+  SELECT a.base, a.left_ctx, a.right_ctx, b.left_ctx AS l2, min(b.right_ctx) AS r2 FROM pool a JOIN pool b ON a.base = b.base AND a.left_ctx = b.left_ctx AND a.right_ctx < b.right_ctx GROUP BY ALL
+  UNION ALL SELECT a.base, a.left_ctx, a.right_ctx, min(b.left_ctx), b.right_ctx FROM pool a JOIN pool b ON a.base = b.base AND a.right_ctx = b.right_ctx AND a.left_ctx < b.left_ctx GROUP BY ALL)"""
 
 _MAPPED = f"""{_COUNTS},
 asked AS (SELECT * EXCLUDE (m), left_ctx || repeat(base, m) || right_ctx AS query FROM (SELECT sample_idx, base, left_ctx, right_ctx, max(length) AS m FROM depths WHERE depth >= {DEPTH} GROUP BY ALL)),
@@ -459,5 +467,5 @@ def oracle_sql():
         "tract_list": f"WITH {ref} SELECT * FROM tract_list",
         "context_differs_from_ref": f"WITH {ref} SELECT tract_id, tract, ref_tract FROM tract_list WHERE tract <> ref_tract",
         "frameshift_proxy": f"WITH {ref} SELECT feature_type = 'CDS' AS coding, (max_tract_length - ref_tract_length) % 3 = 0 AS in_frame, count(*) AS n_tracts FROM tract_list GROUP BY 1, 2",
-        "euclidean_distance": "SELECT e.vec_id, a.vec_id AS anchor, sqrt(list_sum(list_transform(range(1, len(e.embedding) + 1), lambda i: pow(CAST(e.embedding[i] AS DOUBLE) - CAST(a.embedding[i] AS DOUBLE), 2)))) AS distance FROM embeddings e JOIN embeddings a ON a.vec_id < 20 AND e.vec_id >= a.vec_id",
+        "euclidean_distance": "SELECT a.vec_id, e.vec_id AS next_id, sqrt(list_sum(list_transform(range(1, len(e.embedding) + 1), lambda i: pow(CAST(a.embedding[i] AS DOUBLE) - CAST(e.embedding[i] AS DOUBLE), 2)))) AS distance FROM embeddings a JOIN embeddings e ON e.vec_id = a.vec_id + 1",
     }
