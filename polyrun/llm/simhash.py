@@ -16,6 +16,8 @@ from .common import byte_values, checkpointed, components, pieces, spanning, wid
 #: Rows of one upper node that a task holds at a time; larger nodes are split by more of their bits.
 NODE_ROWS = 16_384
 FAN = 8
+#: Pairs of nodes that are opened at a time; each makes up to FAN * FAN pairs below it.
+PAIRS = 2_500
 
 
 def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -128,9 +130,9 @@ def gray_links(f: np.ndarray, group: np.ndarray, limits: Sequence[int]) -> tuple
         stack = [(len(levels) - 1, root, root)]
         while stack:
             level, u, v = stack.pop()
-            if len(u) > 20_000:
-                stack.append((level, u[20_000:], v[20_000:]))
-                u, v = u[:20_000], v[:20_000]
+            if len(u) > PAIRS:
+                stack.append((level, u[PAIRS:], v[PAIRS:]))
+                u, v = u[:PAIRS], v[:PAIRS]
             apart = np.bitwise_count((ands[level][u] ^ ands[level][v]) & shared[level][u] & shared[level][v]).sum(axis=1)
             one = (low[level][u] == high[level][v]) & (high[level][u] == low[level][v]) & (low[level][u] == high[level][u])
             keep = (apart <= limit) & ~one
