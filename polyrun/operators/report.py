@@ -18,6 +18,24 @@ def matrix(each: DataFrame, value: str, samples: list[int]) -> DataFrame:
     return p.select("tract_id", *[F.col(str(s)).alias(f"sample_{s}") for s in samples])
 
 
+def sample_table(values: DataFrame, tract_ref: DataFrame, concat: DataFrame, value: str, names: dict[int, str]) -> DataFrame:
+    """A matrix as it is written: tract_id, location, feature, reference, then a column per sample by name.
+
+    The reference is its own tract length, 1 for modal frequencies, and nothing for coverage.
+    """
+    own = concat.select(F.col("concat_idx").alias("exemplar_concat_idx"), F.coalesce("feature_id", F.lit("unannotated")).alias("feature"))
+    ref = {"mean_length": F.col("tract_length"), "modal_freq": F.lit(1)}.get(value, F.lit(None)).cast("int")
+    d = values.join(tract_ref.select("tract_id", "ht_location", "tract_length", "exemplar_concat_idx"), "tract_id").join(own, "exemplar_concat_idx")
+    return d.select(tract_label("tract_id").alias("tract_id"), F.col("ht_location").alias("location"), "feature", ref.alias("reference"), *[F.col(f"sample_{s}").alias(n) for s, n in names.items()])
+
+
+def selected_table(selected: DataFrame, concat: DataFrame) -> DataFrame:
+    """Tracts of interest as they are written: tract_id, GFF3_info (of the first histogram, null if it lies in no feature), begin_context, n_genomes, lev_distance and the five spreads."""
+    first = concat.groupBy("tract_id").agg(F.min_by("location", "concat_idx").alias("begin_context"), F.min_by("feature_id", "concat_idx").alias("GFF3_info"))
+    spread = {"rd_modal_freq": "rd_frequency", "rd_mean_length": "rd_avge_tract_length", "rd_prop_coverage": "rd_coverage", "rd_cov_per_context": "rd_context_covge", "rd_entropy": "rd_entropy"}
+    return selected.join(first, "tract_id").select(tract_label("tract_id").alias("tract_id"), "GFF3_info", "begin_context", F.col("n_hist").alias("n_genomes"), "lev_distance", *[F.col(a).alias(b) for a, b in spread.items()])
+
+
 def bed(tract_ref: DataFrame, contigs: DataFrame, variable: DataFrame, k: int) -> DataFrame:
     """contig, start, end, label of variable tracts."""
     d = tract_ref.join(variable.where("variable").select("tract_id"), "tract_id").join(contigs.select("ref_id", "contig"), "ref_id")

@@ -40,6 +40,29 @@ def test_annotation(spark, tmp_path):
     assert [tuple(r) for r in both.orderBy("ref_id").collect()] == [(0, "c1", "GGGG", 4), (1, "c2", "TT", 2)]
 
 
+def test_command_line(spark, tmp_path):
+    """Two samples from files, one with a longer tract; the reports are there and say so."""
+    import random
+
+    from polyrun.__main__ import main
+
+    rng = random.Random(8)
+    left, right = ("".join(rng.choice("ACGT") for _ in range(60)) + "C" for _ in range(2))
+    rc = lambda s: s.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+    genome = left + "AAAA" + "G" + right
+    for name, g in (("run_a.fq", genome), ("run_b.fq", left + "AAAAA" + "G" + right)):
+        (tmp_path / name).write_text("".join(f"@r{j}\n{s}\n+\n{'I' * len(s)}\n" for j, s in enumerate([g, rc(g)] * 4)))
+    (tmp_path / "a.gff3").write_text(f"##gff-version 3\nc0\tx\tCDS\t1\t120\t.\t+\t0\tID=gene1\n##FASTA\n>c0\n{genome}\n")
+    out = f"{tmp_path}/out"
+    main(["-k", "10", "-i", "2", "-e", "1", "-V", "-g", str(tmp_path / "a.gff3"), "-o", out, str(tmp_path / "run_a.fq"), str(tmp_path / "run_b.fq")])
+    table = spark.read.csv(f"{out}/per_sample_average_length.tsv", sep="\t", header=True)
+    assert table.columns == ["tract_id", "location", "feature", "reference", "a", "b"]
+    assert ("61", "gene1", "4", "4.00", "5.00") in {tuple(r)[1:] for r in table.collect()}
+    assert spark.read.csv(f"{out}/variable_tracts.bed", sep="\t").count() == table.count()
+    assert spark.read.csv(f"{out}/tract_list.tsv", sep="\t", header=True).columns[0] == "tract_id"
+    assert spark.read.text(f"{out}/vcf/sample=b").where("value like 'c0%'").count() == 1
+
+
 def test_whole_run(spark, tmp_path):
     """Two samples of error-free reads; one has a longer tract."""
     import random
