@@ -21,6 +21,8 @@ MODEL_TERMS = 512
 #: A term needs so many sample texts, and so large a chi-square, to be known.
 MIN_TEXTS, MIN_CHI2 = 5, 12.0
 FACTORS = 8
+#: The bias is held at this or below: a text without known terms (an empty one, too) is not toxic, however the labels are balanced.
+MOST_BIAS = -0.5
 BUCKETS = 1 << 30
 #: Lengths of word beginnings that are terms besides whole words (inflected and compound words).
 PREFIXES = (4, 5, 6)
@@ -110,7 +112,7 @@ class FactorizationMachine:
                 dv = xb.T @ (s * g[:, None]) - v * (xb.T @ g)[:, None] + 1e-4 * v
                 db = g.sum()
                 gw, gv, gb = gw + dw * dw, gv + dv * dv, gb + db * db
-                w, v, b = w - 0.1 * dw / np.sqrt(gw), v - 0.02 * dv / np.sqrt(gv), b - 0.1 * db / np.sqrt(gb)
+                w, v, b = w - 0.1 * dw / np.sqrt(gw), v - 0.02 * dv / np.sqrt(gv), min(b - 0.1 * db / np.sqrt(gb), MOST_BIAS)
         return cls(terms, float(b), w.astype(np.float64), v.astype(np.float64))
 
 
