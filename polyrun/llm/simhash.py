@@ -191,7 +191,7 @@ def _signed(x: int) -> int:
 
 
 def links(nodes: DataFrame, words: int, masks: list[dict[tuple, list[tuple]]], limits: Sequence[int]) -> DataFrame:
-    """(u, v) node ids that span what is linked at limits[-1] bits. nodes: node (long) and f0, f1, ... (distinct rows).
+    """(u, v) node ids that span what is linked at limits[-1] bits. nodes: node (long) and f0, f1, ... (node is distinct).
 
     The index is dealt out by its upper nodes: a node is a mask with the bits that its rows have under it. A task
     sorts the rows of its nodes by Gray rank and runs gray_links() on them. A node with over NODE_ROWS rows is not
@@ -325,19 +325,40 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, hashes array<long>")
 
 
+def set_fingerprints(docs: DataFrame, shingle: int, words: int) -> DataFrame:
+    """doc_id, s0 and s1 (128 bits of the sorted distinct shingle hashes) and f0, f1, ... (majority bits of them) of each row with words.
+
+    Each shingle counts once, as in the similarity of sets: a word that is repeated all over a text does not decide its bits.
+    """
+    names = ["s0", "s1", *(f"f{k}" for k in range(words))]
+
+    def run(batches):
+        for batch in batches:
+            for part in pieces(batch, "text", 1 << 20):
+                each = [np.unique(shingle_hashes(t, shingle)) for t in byte_values(part.column("text"))]
+                n = np.fromiter(map(len, each), np.int64, len(each))
+                h = np.concatenate(each)
+                whole = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in each), np.int64).reshape(-1, 2)
+                cols = [whole[:, 0], whole[:, 1], *(majority(_more(h, k), n).view(np.int64) for k in range(words))]
+                out = pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c) for c in cols)], names=["doc_id", *names])
+                yield out.filter(pa.array(n > 0))
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(["doc_id long", *(f"{c} long" for c in names)]))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 4, bits: int = 16, tables: int = 48) -> DataFrame:
     """(doc_id, component_id) of documents that are linked to another by a Jaccard similarity of shingle sets of at least `similarity`.
 
     Fingerprints have 64 * words bits, as a similarity of 0.8 turns about 15 % of a SimHash's bits, too many for an
     exact index of 64. Candidates agree under one of `tables` sampled masks and differ in no more bits than a
     similarity of 0.7 makes likely; the exact similarity of the two shingle sets decides. The masks find a pair of
-    similarity 0.8 with a probability of over 0.97, more similar ones almost surely. Documents with equal fingerprints are one node,
-    represented by the smallest doc_id. Rows without doc_id are ignored; texts without words are no duplicates.
+    similarity 0.8 with a probability of over 0.97, more similar ones almost surely. Documents with equal shingle sets are one node,
+    represented by the smallest doc_id; equal fingerprints alone are verified as any other link. Rows without doc_id are ignored; texts without words are no duplicates.
     """
     names = [f"f{k}" for k in range(words)]
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    rows = checkpointed(fingerprints(d, shingle, words).where(" or ".join(f"{c} <> 0" for c in names)))
-    nodes = rows.groupBy(*names).agg(F.min("doc_id").alias("node")).dropDuplicates(["node"])
+    rows = checkpointed(set_fingerprints(d, shingle, words))
+    nodes = rows.groupBy("s0", "s1", *names).agg(F.min("doc_id").alias("node")).dropDuplicates(["node"])
     total = 64 * words
     edges = checkpointed(links(nodes, words, sampled_masks(words, bits, tables, 8, 10), [total // 12, total * 49 // 256]))
     ends = edges.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
@@ -346,8 +367,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     same = F.size(F.array_intersect("a", "b"))
     true = pairs.where(same >= F.lit(similarity) * (F.size("a") + F.size("b") - same)).select("u", "v")
     root = components(true)
-    near = nodes.join(root, "node", "left").select(*names, F.coalesce("root", "node").alias("component_id"))
-    return rows.join(near, names).select("doc_id", "component_id")
+    near = nodes.join(root, "node", "left").select("s0", "s1", F.coalesce("root", "node").alias("component_id"))
+    return rows.join(near, ["s0", "s1"]).select("doc_id", "component_id")
 
 
 def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:

@@ -109,6 +109,14 @@ def test_near_duplicates_of_five_words(corpus, words):
     assert {r.doc_id for r in kept.collect()} == {i for i in texts if comp.get(i, i) == i}
 
 
+def test_texts_with_the_same_filler_are_no_duplicates(corpus, words):
+    """A shingle in over half of the places decides no bits: unrelated texts stay, equal sets and near copies go."""
+    rows = [(i, words(40, i) + " -" * 500) for i in range(12)]
+    rows += [(20, words(40, 3) + " -" * 700), (21, near_copy(words(400, 50), 1, 3) + " x" * 900), (22, words(400, 50) + " x" * 600)]
+    comp = {r.doc_id: r.component_id for r in near_duplicates(corpus(rows)).collect()}
+    assert comp == {**{i: i for i in range(12)}, 20: 3, 21: 21, 22: 21}
+
+
 def test_empty(corpus):
     docs = corpus([(1, "a b c")])
     assert simhash_components(docs.limit(0)).count() == 0
