@@ -11,13 +11,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, checkpointed, components, pieces, spanning, width
+from .common import byte_values, checkpointed, components, pieces, ragged, spanning, width
 
 #: Rows of one upper node that a task holds at a time; larger nodes are split by more of their bits.
 NODE_ROWS = 16_384
 FAN = 8
 #: Pairs of nodes that are opened at a time; each makes up to FAN * FAN pairs below it.
 PAIRS = 2_500
+#: Bits of 256 that candidates may differ in: of a pair of similarity 0.8, 39 are expected with a deviation of 5.7.
+BITS_APART = 62
 
 
 def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -156,6 +158,27 @@ def gray_links(f: np.ndarray, group: np.ndarray, limits: Sequence[int]) -> tuple
     return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
 
+def all_links(f: np.ndarray, group: np.ndarray, part: np.ndarray, limit: int, pairs: int = 1 << 20):
+    """Yields (a, b), index pairs of rows of one group and different parts that differ in `limit` bits at most: all of them."""
+    n = len(f)
+    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if n else np.zeros(0, np.int64)
+    end = np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n)))
+    after = end - np.arange(n) - 1
+    total = np.cumsum(after)
+    at = 0
+    while at < n:  # rows at a time, each with all that follow it in its group
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + pairs, side="right")))
+        a, b = np.repeat(np.arange(at, to), after[at:to]), ragged(np.arange(at, to) + 1, after[at:to])
+        apart = part[a] != part[b]
+        a, b = a[apart], b[apart]
+        distance = np.zeros(len(a), np.int64)
+        for k in range(f.shape[1]):
+            distance += np.bitwise_count(f[a, k] ^ f[b, k])
+        near = distance <= limit
+        yield a[near], b[near]
+        at = to
+
+
 def pigeonhole_masks(limit: int, depth: int = 4) -> list[dict[tuple, list[tuple]]]:
     """For each depth, node mask -> masks of the nodes below. Rows that differ in `limit` bits agree on one of limit + 1 parts of the free bits."""
 
@@ -170,42 +193,52 @@ def pigeonhole_masks(limit: int, depth: int = 4) -> list[dict[tuple, list[tuple]
     return out
 
 
-def sampled_masks(words: int, bits: int, tables: int, more_bits: int, more: int, seed: int = 7) -> list[dict[tuple, list[tuple]]]:
-    """As pigeonhole_masks, of bits drawn at random: tables masks of `bits` bits, and below each `more` masks of more_bits bits more."""
+def sampled_masks(words: int, bits: int, tables: int, seed: int = 7) -> list[dict[tuple, list[tuple]]]:
+    """As pigeonhole_masks, of bits drawn at random: tables masks of `bits` bits; links() splits their large nodes by blocks."""
     rng = random.Random(seed)
 
-    def grown(mask: tuple, k: int) -> tuple:
-        free = [b for b in range(64 * words) if not mask[b // 64] >> b % 64 & 1]
-        out = list(mask)
-        for b in rng.sample(free, k):
+    def mask() -> tuple:
+        out = [0] * words
+        for b in rng.sample(range(64 * words), bits):
             out[b // 64] |= 1 << b % 64
         return tuple(out)
 
-    zero = (0,) * words
-    top = [grown(zero, bits) for _ in range(tables)]
-    return [{zero: top}, {m: [grown(m, more_bits) for _ in range(more)] for m in top}]
+    return [{(0,) * words: [mask() for _ in range(tables)]}]
 
 
 def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
-def links(nodes: DataFrame, words: int, masks: list[dict[tuple, list[tuple]]], limits: Sequence[int]) -> DataFrame:
+def links(nodes: DataFrame, words: int, masks: list[dict[tuple, list[tuple]]], limits: Sequence[int], known: str | None = None) -> DataFrame:
     """(u, v) node ids that span what is linked at limits[-1] bits. nodes: node (long) and f0, f1, ... (node is distinct).
 
+    With `known`, a column of nodes: all links between rows that differ in it, not a forest of them.
+
     The index is dealt out by its upper nodes: a node is a mask with the bits that its rows have under it. A task
     sorts the rows of its nodes by Gray rank and runs gray_links() on them. A node with over NODE_ROWS rows is not
     held: its rows come back and are dealt out again by nodes with more bits, so a dense region is spread over
-    many tasks. At the last depth, rows that agree in so many bits are few with pigeonhole masks (2^20 with 3 bits);
-    with sampled masks they are linked in overlapping stretches of the Gray order.
+    many tasks. At the last depth, rows that agree in so many bits are few with pigeonhole masks (2^20 with 3 bits).
+    With sampled masks, which have one depth, a large node is split without loss: its rows are dealt to blocks, and
+    each two blocks meet in one task.
     """
     names = [f"f{k}" for k in range(words)]
     n = width(nodes.sparkSession)
-    rows = nodes.select("node", *names, F.lit(0).alias("m"))
+    blocks = len(masks) == 1  # large nodes are split by blocks of rows
+    rows = nodes.select("node", *names, (F.col(known) if known else F.lit(None).cast("long")).alias("part"), F.lit(0).alias("m"))
     ids, parents = {0: (0,) * words}, [0]
     edges: list[DataFrame] = []
+    gray = F.col("f0")
+    for s in (1, 2, 4, 8, 16, 32):
+        gray = gray.bitwiseXOR(F.shiftrightunsigned(gray, s))
+
+    def found(dealt, last):
+        dealt = dealt.repartition(n, "key").sortWithinPartitions("key", "m", gray.bitwiseXOR(F.lit(-(2**63))), *names)
+        kinds = ", ".join(["u long", "v long", "m int", *(f"{c} long" for c in names), "part long", "key long"])
+        return checkpointed(dealt.mapInArrow(_linker(names, limits, last, known is not None), kinds))
+
     for depth, below in enumerate(masks):
-        last = depth == len(masks) - 1
+        last = depth == len(masks) - 1 and not blocks
         choice = None
         made: list[int] = []
         for p in parents:
@@ -218,41 +251,50 @@ def links(nodes: DataFrame, words: int, masks: list[dict[tuple, list[tuple]]], l
             each = F.array(*options)
             choice = F.when(F.col("m") == p, each) if choice is None else choice.when(F.col("m") == p, each)
         parents = made
-        gray = F.col("f0")
-        for s in (1, 2, 4, 8, 16, 32):
-            gray = gray.bitwiseXOR(F.shiftrightunsigned(gray, s))
-        dealt = rows.select("node", *names, F.explode(choice).alias("x")).select("node", *names, "x.m", "x.key")
-        dealt = dealt.repartition(n, "key").sortWithinPartitions("key", "m", gray.bitwiseXOR(F.lit(-(2**63))), *names)
-        out = checkpointed(dealt.mapInArrow(_linker(names, limits, last, depth == 0 or words > 1), ", ".join(["u long", "v long", "m int", *(f"{c} long" for c in names)])))
+        dealt = rows.select("node", *names, "part", F.explode(choice).alias("x")).select("node", *names, "part", "x.m", "x.key")
+        out = found(dealt, last)
         edges.append(out.where("m is null").select("u", "v"))
-        rows = out.where("m is not null").select(F.col("u").alias("node"), *names, "m")
+        rows = out.where("m is not null").select(F.col("u").alias("node"), *names, "part", "m", "key")
         if last or rows.isEmpty():
             break
+        if blocks:
+            count = rows.groupBy("key", "m").agg((F.floor(2 * F.count("*") / NODE_ROWS) + 1).cast("long").alias("blocks"))
+            own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+            met = rows.join(count, ["key", "m"]).withColumn("own", own).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+            met = met.select("node", *names, "part", "m", F.xxhash64("m", "key", F.least("own", "other"), F.greatest("own", "other")).alias("key"))
+            edges.append(found(met, True).select("u", "v"))
     total = edges[0]
     for e in edges[1:]:
         total = total.union(e)
     return total.distinct()
 
 
-def _linker(names, limits, last, overlap):
+def _linker(names, limits, last, every):
     def run(batches):
-        schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("m", pa.int32()), *((c, pa.int64()) for c in names)])
+        fixed = [*names, "part", "key"]
+        schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("m", pa.int32()), *((c, pa.int64()) for c in fixed)])
 
-        def linked(key, node, f):
-            a, b = gray_links(f, key, limits)
-            none = pa.nulls(len(a), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b]), pa.nulls(len(a), pa.int32()), *[none] * len(names)], schema=schema)
+        def linked(key, node, m, f, part):
+            found = all_links(f, key, part, limits[-1]) if every else [gray_links(f, key, limits)]
+            for a, b in found:
+                none = pa.nulls(len(a), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b]), pa.nulls(len(a), pa.int32()), *[none] * len(fixed)], schema=schema)
 
-        def returned(node, m, f):
-            return pa.RecordBatch.from_arrays([pa.array(node), pa.nulls(len(node), pa.int64()), pa.array(m), *(pa.array(f[:, k].view(np.int64)) for k in range(len(names)))], schema=schema)
+        def returned(key, node, m, f, part):
+            cols = [pa.array(f[:, k].view(np.int64)) for k in range(len(names))]
+            again = pa.array(part) if every else pa.nulls(len(node), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(node), pa.nulls(len(node), pa.int64()), pa.array(m), *cols, again, pa.array(key)], schema=schema)
 
         held: list[tuple] = []
         large = None  # the key of a node that is being passed back
         for batch in batches:
             key, node, m = (batch.column(c).to_numpy() for c in ("key", "node", "m"))
             f = np.stack([batch.column(c).to_numpy() for c in names], axis=1).view(np.uint64)
+            part = batch.column("part").to_numpy() if every else key
+            now = [key, node, m, f, part]
             if held:
-                key, node, m, f = (np.concatenate([h, x]) for h, x in zip(held, (key, node, m, f), strict=True))
+                now = [np.concatenate([h, x]) for h, x in zip(held, now, strict=True)]
+            key = now[0]
             if not len(key):
                 continue
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -262,7 +304,7 @@ def _linker(names, limits, last, overlap):
             if large is not None and not last:
                 back = key == large
                 if back.any():
-                    yield returned(node[back], m[back], f[back])
+                    yield returned(*(x[back] for x in now))
                     done &= ~back
                     if key[-1] == large:
                         tail = len(key)
@@ -270,25 +312,20 @@ def _linker(names, limits, last, overlap):
                         large = None
                 else:
                     large = None
-            if len(key) - tail > NODE_ROWS:
-                if not last:
-                    large = key[tail]
-                    yield returned(node[tail:], m[tail:], f[tail:])
-                    tail = len(key)
-                elif overlap:  # a stretch of the Gray order; half of it is seen again with the next one
-                    yield linked(key[tail:], node[tail:], f[tail:])
-                    tail = len(key) - NODE_ROWS // 2
+            if len(key) - tail > NODE_ROWS and not last:
+                large = key[tail]
+                yield returned(*(x[tail:] for x in now))
+                tail = len(key)
             if done.any():
                 sizes = np.diff(np.append(starts, len(key)))
                 big = np.repeat(sizes > NODE_ROWS, sizes) & done
                 if big.any() and not last:
-                    yield returned(node[big], m[big], f[big])
+                    yield returned(*(x[big] for x in now))
                     done &= ~big
-                yield linked(key[done], node[done], f[done])
-            held = [x[tail:] for x in (key, node, m, f)]
+                yield from linked(*(x[done] for x in now))
+            held = [x[tail:] for x in now]
         if held and len(held[0]):
-            key, node, m, f = held
-            yield linked(key, node, f)
+            yield from linked(*held)
 
     return run
 
@@ -346,13 +383,14 @@ def set_fingerprints(docs: DataFrame, shingle: int, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(["doc_id long", *(f"{c} long" for c in names)]))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 4, bits: int = 16, tables: int = 48) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 4, bits: int = 14, tables: int = 48) -> DataFrame:
     """(doc_id, component_id) of documents that are linked to another by a Jaccard similarity of shingle sets of at least `similarity`.
 
     Fingerprints have 64 * words bits, as a similarity of 0.8 turns about 15 % of a SimHash's bits, too many for an
-    exact index of 64. Candidates agree under one of `tables` sampled masks and differ in no more bits than a
-    similarity of 0.7 makes likely; the exact similarity of the two shingle sets decides. The masks find a pair of
-    similarity 0.8 with a probability of over 0.97, more similar ones almost surely. Documents with equal shingle sets are one node,
+    exact index of 64. Candidates agree under one of `tables` sampled masks and differ in at most
+    BITS_APART bits of 256; the exact similarity of the two shingle sets decides. The masks find a pair of
+    similarity 0.8 with a probability of over 0.99 by arithmetic, more similar ones almost surely. Candidates are first a forest;
+    wherever one of its links fails the similarity, all candidate pairs that are not joined by true links are verified. Documents with equal shingle sets are one node,
     represented by the smallest doc_id; equal fingerprints alone are verified as any other link. Rows without doc_id are ignored; texts without words are no duplicates.
     """
     names = [f"f{k}" for k in range(words)]
@@ -360,13 +398,27 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     rows = checkpointed(set_fingerprints(d, shingle, words))
     nodes = rows.groupBy("s0", "s1", *names).agg(F.min("doc_id").alias("node")).dropDuplicates(["node"])
     total = 64 * words
-    edges = checkpointed(links(nodes, words, sampled_masks(words, bits, tables, 8, 10), [total // 12, total * 49 // 256]))
-    ends = edges.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    sets = shingle_sets(d.join(ends, "doc_id", "left_semi"), shingle).dropDuplicates(["doc_id"])
-    pairs = edges.join(sets.select(F.col("doc_id").alias("u"), F.col("hashes").alias("a")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("hashes").alias("b")), "v")
-    same = F.size(F.array_intersect("a", "b"))
-    true = pairs.where(same >= F.lit(similarity) * (F.size("a") + F.size("b") - same)).select("u", "v")
+    masks, limits = sampled_masks(words, bits, tables), [total // 12, total * BITS_APART // 256]
+
+    def verified(edges):
+        ends = edges.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+        sets = shingle_sets(d.join(ends, "doc_id", "left_semi"), shingle).dropDuplicates(["doc_id"])
+        pairs = edges.join(sets.select(F.col("doc_id").alias("u"), F.col("hashes").alias("a")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("hashes").alias("b")), "v")
+        same = F.size(F.array_intersect("a", "b"))
+        return checkpointed(pairs.select("u", "v", (same >= F.lit(similarity) * (F.size("a") + F.size("b") - same)).alias("near")))
+
+    forest = verified(checkpointed(links(nodes, words, masks, limits)))
+    true = forest.where("near").select("u", "v")
     root = components(true)
+    failed = forest.where("not near").select("u", "v")
+    if not failed.isEmpty():
+        # a failed link may have stood for others: where a tree of candidates has one, all pairs of its separate parts are looked at
+        tree = components(forest.select("u", "v"))
+        open_ = failed.join(tree, failed.u == tree.node).select("root").distinct()
+        again = nodes.join(tree.join(open_, "root", "left_semi").select("node"), "node").join(root.withColumnRenamed("root", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
+        more = links(checkpointed(again), words, masks, limits, "part").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        true = true.union(verified(checkpointed(more)).where("near").select("u", "v"))
+        root = components(true)
     near = nodes.join(root, "node", "left").select("s0", "s1", F.coalesce("root", "node").alias("component_id"))
     return rows.join(near, ["s0", "s1"]).select("doc_id", "component_id")
 

@@ -117,6 +117,25 @@ def test_texts_with_the_same_filler_are_no_duplicates(corpus, words):
     assert comp == {**{i: i for i in range(12)}, 20: 3, 21: 21, 22: 21}
 
 
+@pytest.mark.parametrize("node_rows", [24, 16_384])
+def test_recall_at_the_threshold(corpus, words, monkeypatch, node_rows):
+    """Families in which many pairs are just below and just above 0.8, in small and in split nodes, against brute force."""
+    monkeypatch.setattr(simhash, "NODE_ROWS", node_rows)
+    rows = []
+    for base in range(4):
+        for group in range(50):  # the two of a group are about 0.82 from each other, 0.68 to 0.78 from other groups
+            centre = near_copy(words(300, 900 + base), 100 * base + group, 2)
+            rows += [(1000 * base + 10 * group + k, near_copy(centre, 7000 + 1000 * base + 10 * group + k, 3)) for k in range(2)]
+    texts = dict(rows)
+    true = [(i, j) for i in texts for j in texts if i < j and i // 1000 == j // 1000 and jaccard(texts[i], texts[j]) >= 0.8]
+    near = [(i, j) for i, j in true if jaccard(texts[i], texts[j]) < 0.9]
+    comp = {r.doc_id: r.component_id for r in near_duplicates(corpus(rows)).collect()}
+    at = {i: k for k, i in enumerate(sorted(texts))}
+    want = roots(len(at), [(at[i], at[j]) for i, j in true])
+    assert len(near) > 150 and sum(comp[i] == comp[j] for i, j in near) >= 0.98 * len(near)
+    assert all(want[at[i]] == want[at[c]] for i, c in comp.items())
+
+
 def test_empty(corpus):
     docs = corpus([(1, "a b c")])
     assert simhash_components(docs.limit(0)).count() == 0
