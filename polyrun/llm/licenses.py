@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Mapping
 
 import numpy as np
@@ -114,21 +115,44 @@ class Templates:
         if not len(k):
             return []
         shift = at - w.before[w.text[at]] - self.place[k]
-        # one candidate for hits of a text and template whose diagonals lie within the band
+        # one candidate for hits of a text and template whose diagonals span at most the band
         order = np.lexsort((shift, self.template[k], w.text[at]))
-        text, template, shift = w.text[at][order], self.template[k][order], shift[order]
-        new = np.concatenate([[True], (np.diff(text) > 0) | (np.diff(template) != 0) | (np.diff(shift) > BAND)])
-        word, out = None, {}
-        for t, m, s in zip(text[new].tolist(), template[new].tolist(), shift[new].tolist(), strict=True):
-            if word is None:
-                word = w.stretches.hash(w.start, w.end)
-            size = int(self.count[m])
-            a = max(0, s - 2 * BAND)
-            own = word[w.before[t] + a : w.before[t] + min(int(w.count[t]), s + size + 2 * BAND)]
-            equal, start, end = align(own, self.word[self.before[m] : self.before[m] + size], s - a + BAND // 2)
+        word = w.stretches.hash(w.start, w.end)
+        found: dict[tuple[int, int], set[tuple[int, int, int]]] = {}
+        first = last = None  # text, template and the extreme shifts of the open candidate
+        for t, m, s in zip(w.text[at][order].tolist(), self.template[k][order].tolist(), shift[order].tolist(), strict=True):
+            if first is not None and first[:2] == (t, m) and s - first[2] <= BAND:
+                last = s
+                continue
+            if first is not None:
+                self._aligned(w, word, *first, last, coverage, found)
+            first, last = (t, m, s), s
+        self._aligned(w, word, *first, last, coverage, found)
+        out = []
+        for (t, m), spans in found.items():
+            taken: list[tuple[int, int]] = []  # by place; of matches that overlap, the one with more words, then the earlier
+            for equal, a, e in sorted(spans, key=lambda x: (-x[0], x[1], x[2])):
+                i = bisect.bisect_left(taken, (a, e))
+                if (i and taken[i - 1][1] > a) or (i < len(taken) and taken[i][0] < e):
+                    continue
+                taken.insert(i, (a, e))
+                out.append((t, self.names[m], equal / int(self.count[m]), a, e))
+        return sorted(out, key=lambda x: (x[0], x[1], x[3], x[4]))
+
+    def _aligned(self, w: Words, word: np.ndarray, t: int, m: int, low: int, high: int, coverage: float, found: dict) -> None:
+        """Adds (equal words, start, end) of the matches near diagonals low to high: the best one, then those before and after it."""
+        size = int(self.count[m])
+        template = self.word[self.before[m] : self.before[m] + size]
+        shift, band = (low + high) // 2, BAND + BAND // 2  # BAND words to both sides of every hit
+        left = [(max(0, low - 2 * BAND), min(int(w.count[t]), high + size + 2 * BAND))]
+        while left:
+            a, b = left.pop()
+            if b - a < coverage * size:
+                continue
+            equal, start, end = align(word[w.before[t] + a : w.before[t] + b], template, shift - a, band)
             if equal >= coverage * size:
-                out[t, self.names[m], a + start, a + end] = equal / size
-        return sorted((t, m, c, a, e) for (t, m, a, e), c in out.items())
+                found.setdefault((t, m), set()).add((equal, a + start, a + end))
+                left += [(a, a + start), (a + end, b)]
 
 
 def license_spans(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, coverage: float = COVERAGE) -> DataFrame:
@@ -136,7 +160,7 @@ def license_spans(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, cov
 
     Words are runs between white space and ASCII punctuation, in lower case. A text's winnowed fingerprints are looked up in the index of the
     templates; each candidate diagonal is aligned within a band, so a match may lack or change some words, up to the
-    coverage. Texts of fewer than GRAM words, null and empty texts match nothing. A template that is part of another is reported
+    coverage; of one template, all matches that do not overlap are reported. Texts of fewer than GRAM words, null and empty texts match nothing. A template that is part of another is reported
     beside it; one of fewer than GRAM words is never found. The templates are of bounded size and sent to the texts, which are not shuffled.
     """
     index = Templates(templates)

@@ -40,6 +40,20 @@ def test_whole_lines_of_a_table_are_all_found(spark):
     assert sorted((g[0], g[1]) for g in spans(docs)) == want and want
 
 
+def test_copies_in_a_row_are_all_found(corpus):
+    lines = {"all-rights-reserved": 3, "MIT": 5, "CC-BY-NC-4.0": 7}
+    rows = [(100 * i + n, " ".join([TEMPLATES[name]] * n)) for i, name in enumerate(lines) for n in (1, 2, 3, 60)]
+    want = sorted((100 * i + n, name, 1.0, size * k, size * (k + 1)) for i, (name, size) in enumerate(lines.items()) for n in (1, 2, 3, 60) for k in range(n))
+    assert spans(corpus(rows)) == want
+
+
+def test_chance_hits_do_not_hide_a_match(corpus):
+    """Chance hits lead, in steps of the band, to a whole match farther on."""
+    template = " ".join(f"w{i}" for i in range(30))
+    got = spans(corpus([(1, "w0 w1 w2 w3 y z " * 3 + template)]), templates={"t": template})
+    assert got == [(1, "t", 1.0, 18, 48)]
+
+
 def test_alignment_in_a_band():
     a = np.array([9, 9, 1, 2, 3, 8, 4, 6, 7, 9], np.uint64)
     b = np.array([1, 2, 3, 4, 5, 6, 7], np.uint64)
