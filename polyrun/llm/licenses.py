@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 from collections.abc import Mapping
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +32,28 @@ TEMPLATES: dict[str, str] = {
     "all-rights-reserved": "All rights reserved.",
 }
 
+#: Standard headers by which texts refer to a licence, besides those above.
+HEADERS: dict[str, str] = {
+    "GPL-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "LGPL-2.1-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "AGPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+}
+
+#: Templates of more words are aligned from the candidate with most hits on, only where no match was found yet.
+LONG = 100
 #: Words of a fingerprint, fingerprints of a winnowing window (a shared run of GRAM + WINDOW - 1 words is always seen), least coverage, band of the alignment.
 GRAM, WINDOW, COVERAGE, BAND = 3, 2, 0.8, 6
 #: Bytes of templates, at most: they are sent to every task.
 TEMPLATE_BYTES = 16 << 20
 
 
+def all_templates() -> dict[str, str]:
+    """TEMPLATES, HEADERS and the whole texts of license_texts, named with "-text"."""
+    texts = {f"{p.stem}-text": p.read_text() for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+    return {**TEMPLATES, **HEADERS, **texts}
+
+
 def align(a: np.ndarray, b: np.ndarray, shift: int, band: int = BAND) -> tuple[int, int, int]:
     """(equal words, start, end) of the best local alignment of template words b in text words a near the diagonal a = b + shift.
 
@@ -119,15 +136,15 @@ class Templates:
         order = np.lexsort((shift, self.template[k], w.text[at]))
         word = w.stretches.hash(w.start, w.end)
         found: dict[tuple[int, int], set[tuple[int, int, int]]] = {}
-        first = last = None  # text, template and the extreme shifts of the open candidate
+        candidates: list[list[int]] = []  # text, template, hits (negative), extreme shifts
         for t, m, s in zip(w.text[at][order].tolist(), self.template[k][order].tolist(), shift[order].tolist(), strict=True):
-            if first is not None and first[:2] == (t, m) and s - first[2] <= BAND:
-                last = s
-                continue
-            if first is not None:
-                self._aligned(w, word, *first, last, coverage, found)
-            first, last = (t, m, s), s
-        self._aligned(w, word, *first, last, coverage, found)
+            if candidates and candidates[-1][:2] == [t, m] and s - candidates[-1][3] <= BAND:
+                candidates[-1][2] -= 1
+                candidates[-1][4] = s
+            else:
+                candidates.append([t, m, -1, s, s])
+        for t, m, _, low, high in sorted(candidates):
+            self._aligned(w, word, t, m, low, high, coverage, found)
         out = []
         for (t, m), spans in found.items():
             taken: list[tuple[int, int]] = []  # by place; of matches that overlap, the one with more words, then the earlier
@@ -145,9 +162,13 @@ class Templates:
         template = self.word[self.before[m] : self.before[m] + size]
         shift, band = (low + high) // 2, BAND + BAND // 2  # BAND words to both sides of every hit
         left = [(max(0, low - 2 * BAND), min(int(w.count[t]), high + size + 2 * BAND))]
+        if size > LONG:
+            for _, start, end in found.get((t, m), ()):
+                left = [x for a, b in left for x in ((a, min(b, start)), (max(a, end), b)) if x[0] < x[1]]
         while left:
             a, b = left.pop()
-            if b - a < coverage * size:
+            # a match needs so many words of the template
+            if b - a < coverage * size or np.isin(word[w.before[t] + a : w.before[t] + b], template).sum() < coverage * size:
                 continue
             equal, start, end = align(word[w.before[t] + a : w.before[t] + b], template, shift - a, band)
             if equal >= coverage * size:

@@ -7,7 +7,7 @@ import public_tokenizers
 from .common import table
 from .decontaminate import contamination
 from .exact_dedup import owners
-from .licenses import license_spans
+from .licenses import all_templates, license_spans
 from .mixing import mix
 from .simhash import simhash_components
 from .substrings import parsed
@@ -28,7 +28,7 @@ def op2_substring_dedup(spark, sf_dir):
 
 
 def op3_licenses(spark, sf_dir):
-    return license_spans(table(spark, sf_dir, "documents"))
+    return license_spans(table(spark, sf_dir, "documents"), all_templates())
 
 
 def op4_mixing(spark, sf_dir):

@@ -54,6 +54,19 @@ def test_chance_hits_do_not_hide_a_match(corpus):
     assert got == [(1, "t", 1.0, 18, 48)]
 
 
+def test_the_query_finds_whole_licences(spark, corpus, words, tmp_path):
+    from pathlib import Path
+
+    import polyrun.llm
+    from polyrun.llm.queries import op3_licenses
+
+    texts = {p.stem: p.read_text() for p in sorted((Path(polyrun.llm.__file__).parent / "license_texts").glob("*.txt"))}
+    assert len(texts) >= 13
+    corpus([(i, words(30, i) + "\n" + t + "\n" + words(20, i)) for i, t in enumerate(texts.values())]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.template) for r in op3_licenses(spark, str(tmp_path)).where("coverage > 0.99 and start = 30").collect()}
+    assert {(i, f"{n}-text") for i, n in enumerate(texts)} <= got
+
+
 def test_alignment_in_a_band():
     a = np.array([9, 9, 1, 2, 3, 8, 4, 6, 7, 9], np.uint64)
     b = np.array([1, 2, 3, 4, 5, 6, 7], np.uint64)
