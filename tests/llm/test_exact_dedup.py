@@ -1,6 +1,7 @@
 import hashlib
+import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from polyrun.llm.exact_dedup import PatriciaTrie, owners
 
@@ -44,4 +45,37 @@ def test_trie_splits_edges():
     keys = [b"", b"a", b"abc", b"abd", b"ab", b"b", b"abc", b"x" * 1000, b"x" * 999 + b"y"]
     for i, k in enumerate(keys):
         trie.add(k, i, 1)
-    assert {k: (i, n) for k, i, n in trie.terminals()} == {b"": (0, 1), b"a": (1, 1), b"abc": (2, 2), b"abd": (3, 1), b"ab": (4, 1), b"b": (5, 1), b"x" * 1000: (7, 1), b"x" * 999 + b"y": (8, 1)}
+    assert {k: (i, n) for k, i, n, _ in trie.terminals()} == {b"": (0, 1), b"a": (1, 1), b"abc": (2, 2), b"abd": (3, 1), b"ab": (4, 1), b"b": (5, 1), b"x" * 1000: (7, 1), b"x" * 999 + b"y": (8, 1)}
+
+
+def test_spilled_subtrees_keep_all_keys_under_one_prefix():
+    rng = random.Random(3)
+    keys = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 12))).encode() for _ in range(4000)]
+    trie, gone, prefix = PatriciaTrie(), Counter(), {}
+    for k in keys:
+        to = trie.add(k, 1, 1)
+        if to is not None:
+            gone[k] += 1
+            assert k.startswith(to) and prefix.setdefault(k, to) == to
+        if trie.bytes > 60_000:
+            for to, found in trie.spill(mark=True):
+                for key, _, n, _ in found:
+                    gone[key] += n
+                    assert prefix.setdefault(key, to) == to
+    assert prefix
+    for k, _, n, _ in trie.terminals():
+        assert k not in prefix
+        gone[k] += n
+    assert gone == Counter(keys)
+
+
+def test_crowded_partitions_are_spilled_by_subtree(corpus, words):
+    rows = [(i, words(3, i % 500)) for i in range(1500)] + [(2000 + i, "same beginning " + words(40, i % 90)) for i in range(300)] + [(3000, None), (3001, "")]
+    want = brute(rows)
+    for held in (1000, 5000, 40_000):
+        assert sorted((tuple(r) for r in owners(corpus(rows), held_bytes=held).collect()), key=str) == want
+
+
+def test_texts_that_share_a_hash_stay_apart(corpus):
+    rows = [(i, f"{i % 300:04d}") for i in range(900)] + [(1000, "lone")]
+    assert sorted((tuple(r) for r in owners(corpus(rows), key_bytes=1).collect()), key=str) == brute(rows)
