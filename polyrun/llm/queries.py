@@ -83,11 +83,15 @@ def oracle_sql():
             y AS (SELECT *, budget - (sum(cap) OVER o - cap) AS lb, all_w - (sum(weight) OVER o - weight) AS lw FROM x
                   WINDOW o AS (ORDER BY cap / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
             z AS (SELECT *, lb / lw AS lev, cap <= weight * (lb / lw) AS stopped FROM y),
-            t AS (SELECT source, source_size, CASE WHEN stopped THEN cap ELSE weight * (SELECT arg_min(lev, cap / weight) FROM z WHERE NOT stopped) END AS target FROM z),
-            q AS (SELECT d.doc_id, d.size, t.source_size, t.target, sum(d.size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING) AS e
-                  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-            SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
-                   CAST(greatest(0, least(size, floor(target) - (e - size))) + greatest(0, least(size, floor(target) - (e + source_size - size))) AS BIGINT) AS taken FROM q""",
+            t AS (SELECT source, source_size, weight, CASE WHEN stopped THEN cap ELSE weight * (SELECT arg_min(lev, cap / weight) FROM z WHERE NOT stopped) END AS target FROM z),
+            q AS (SELECT row_number() OVER () AS r, d.doc_id, d.source, d.size, t.source_size, t.target, t.weight,
+                         sum(d.size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING) - d.size AS st
+                  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+            i AS (SELECT *, unnest(range(0, CAST(ceil(size / 512.0) AS BIGINT))) AS n FROM (SELECT *, unnest([0, 1]) AS p FROM q)),
+            f AS (SELECT r, source, least(size, (n + 1) * 512) - n * 512 AS words, CAST(st + p * source_size + least(size, (n + 1) * 512) AS DOUBLE) / weight AS finish FROM i),
+            g AS (SELECT r, words, sum(words) OVER (ORDER BY finish, source NULLS LAST ROWS UNBOUNDED PRECEDING) AS until FROM f),
+            k AS (SELECT r, sum(greatest(0, least(words, (SELECT floor(1.5 * sum(size)) FROM d) - until + words))) AS taken FROM g GROUP BY r)
+            SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM q LEFT JOIN k USING (r)""",
         "op9_exact_dedup": r"""
             WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
             SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
