@@ -1,9 +1,10 @@
 import random
+import resource
 
 import numpy as np
 import pytest
 
-from polyrun.llm.decontaminate import contamination, tiles, without_contaminated
+from polyrun.llm.decontaminate import Items, contamination, tiles, without_contaminated
 
 
 def greedy(a, b, least):
@@ -62,13 +63,27 @@ def test_leaks_in_any_order(corpus, benchmark_table, words):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if not r.contaminated}
 
 
-def test_blocks_and_empty(corpus, benchmark_table, words, monkeypatch):
-    from polyrun.llm import decontaminate as m
+def test_a_large_benchmark_is_joined_and_gives_the_same(corpus, benchmark_table, words):
+    docs = corpus([(i, words(60, 5000 + i) if i < 30 else words(60, i)) for i in range(60)] + [(200, None), (None, words(60, 5001)), (3, words(60, 5003)), (3, "clean")]).withColumnRenamed("lang", "t")
+    for d in (docs, docs.limit(0)):
+        whole = sorted(map(tuple, contamination(d, benchmark_table).collect()), key=str)
+        assert sorted(map(tuple, contamination(d, benchmark_table, sent_bytes=100).collect()), key=str) == whole
+        kept = sorted(map(tuple, without_contaminated(d, benchmark_table).collect()), key=str)
+        assert sorted(map(tuple, without_contaminated(d, benchmark_table, sent_bytes=100).collect()), key=str) == kept
+        assert len(kept) == sum(not x[1] for x in whole)
+    assert sum(x[1] for x in contamination(docs, benchmark_table, sent_bytes=100).collect()) == 32
 
+
+def test_one_repeated_word_takes_bounded_memory():
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    items = Items([1, 2], [b"again " * 200, b"x " * 30 + b"again " * 170], 5)
+    (got,) = items.best([b"again " * 170_000], 0.5)
+    assert got[0] == 1 and got[1] == 1
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000
+
+
+def test_empty(corpus, benchmark_table, words):
     docs = corpus([(i, words(60, 5000 + i) if i < 30 else words(60, i)) for i in range(60)])
-    whole = sorted(map(tuple, contamination(docs, benchmark_table).collect()))
-    monkeypatch.setattr(m.blocks, "__defaults__", (m.MIN_TILE, 2000))
-    assert sorted(map(tuple, contamination(docs, benchmark_table).collect())) == whole and sum(x[1] for x in whole) == 30
     assert contamination(docs.limit(0), benchmark_table).count() == 0
     assert contamination(docs, benchmark_table.limit(0)).where("contaminated").count() == 0
     assert without_contaminated(docs, benchmark_table.limit(0)).count() == 60
