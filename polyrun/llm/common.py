@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,10 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none, as in tests."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share. Where the session names none, a local master gets one of its own; a cluster is refused."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        path = spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='polyrun-')}"
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        path = f"file://{tempfile.mkdtemp(prefix='polyrun-')}"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -49,7 +52,7 @@ def byte_values(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def pieces(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
+def pieces(batch: pa.RecordBatch, column: str, limit: int = 1 << 20):
     """Row slices of a batch with about limit bytes in column (a longer row is a slice of its own)."""
     n = batch.num_rows
     if n:

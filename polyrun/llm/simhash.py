@@ -18,8 +18,8 @@ NODE_ROWS = 16_384
 FAN = 8
 #: Pairs of nodes that are opened at a time; each makes up to FAN * FAN pairs below it.
 PAIRS = 2_500
-#: Bits of 256 that candidates may differ in: of a pair of similarity 0.8, 39 are expected with a deviation of 5.7.
-BITS_APART = 62
+#: Bits of 256 that candidates may differ in: of a pair of similarity 0.8, 39 are expected with a deviation of 5.7 (0.4 % differ in more).
+BITS_APART = 54
 
 
 def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -158,7 +158,7 @@ def gray_links(f: np.ndarray, group: np.ndarray, limits: Sequence[int]) -> tuple
     return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
 
-def all_links(f: np.ndarray, group: np.ndarray, part: np.ndarray, limit: int, pairs: int = 1 << 20):
+def all_links(f: np.ndarray, group: np.ndarray, part: np.ndarray, limit: int, pairs: int = 1 << 17):
     """Yields (a, b), index pairs of rows of one group and different parts that differ in `limit` bits at most: all of them."""
     n = len(f)
     starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if n else np.zeros(0, np.int64)

@@ -11,19 +11,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, checkpointed, pieces
+from .common import byte_values, checkpointed, pieces, ragged
 from .tokens import WordTable, _per_text, _split
 
 #: Labelled rows that are learned from, at most: those of smallest hash of doc_id.
 SAMPLE_ROWS = 24_000
-#: Hashed terms that the model knows, at most: those that tell the labels apart best.
-MODEL_TERMS = 512
-#: A term needs so many sample texts, and so large a chi-square, to be known.
-MIN_TEXTS, MIN_CHI2 = 5, 12.0
-FACTORS = 8
-#: The bias is held at this or below: a text without known terms (an empty one, too) is not toxic, however the labels are balanced.
-MOST_BIAS = -0.5
+FACTORS = 4
 BUCKETS = 1 << 30
+#: Least sum of gradients that lets a term have a weight, and a group of terms a factor.
+WEIGHT_GAIN, FACTOR_GAIN = 10.0, 3.0
+#: Learning rate of weights; factors learn at a fifth of it.
+RATE = 0.5
 #: Lengths of word beginnings that are terms besides whole words (inflected and compound words).
 PREFIXES = (4, 5, 6)
 
@@ -55,11 +53,8 @@ def _encoder(known: np.ndarray | None):
     return encode
 
 
-def _distinct_terms(batches, known: np.ndarray | None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(rows, text, term) of slices of batches: each pair of a text and a term in it once."""
-    from .common import ragged
-
-    table = WordTable(_encoder(known))
+def _distinct_words(batches, table: WordTable) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, text, row of table) of slices of batches: each pair of a text and a word in it once, by text."""
     for batch in batches:
         for part in pieces(batch, "text", 1 << 20):
             words, per = _split(byte_values(part.column("text")))
@@ -67,102 +62,191 @@ def _distinct_terms(batches, known: np.ndarray | None) -> Iterator[tuple[pa.Reco
             if not len(rows):
                 yield part, np.zeros(0, np.int64), np.zeros(0, np.int64)
                 continue
-            n = table.length[rows]
-            term = table.flat[ragged(table.start[rows], n)]
-            text = np.repeat(np.repeat(np.arange(len(per)), per), n)
-            pair = np.unique(text * BUCKETS + term)
-            yield part, pair // BUCKETS, pair % BUCKETS
+            k = len(table.length)
+            pair = np.unique(np.repeat(np.arange(len(per)), per) * k + rows)
+            yield part, pair // k, pair % k
 
 
 class FactorizationMachine:
-    """bias + sum of weights of the terms of a text + sum over pairs of terms of the product of their factors."""
+    """bias + sum of weights of the terms of a text + sum over pairs of terms of the product of their factors.
+
+    The terms of a text are those of its distinct words. terms: the buckets that have a weight or factors, sorted.
+    """
 
     def __init__(self, terms: np.ndarray, bias: float, weight: np.ndarray, factor: np.ndarray) -> None:
         self.terms, self.bias, self.weight, self.factor = terms, bias, weight, factor
 
-    def raw(self, text: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
-        out = self.bias + np.bincount(text, self.weight[term], n)
-        for v in self.factor.T:
-            s = np.bincount(text, v[term], n)
-            out += 0.5 * (s * s - np.bincount(text, v[term] ** 2, n))
-        return out
+    def of_words(self, n: np.ndarray, term: np.ndarray) -> np.ndarray:
+        """Per word (n terms each, places in self.terms): its weight, the sum of squares of its factors, the sums of its factors."""
+        word = np.repeat(np.arange(len(n)), n)
+        cols = [self.weight[term], (self.factor[term] ** 2).sum(axis=1), *self.factor[term].T]
+        return np.stack([np.bincount(word, c, len(n)) for c in cols], axis=1)
 
-    def score(self, text: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.raw(text, term, n), -30, 30)))
+    def score(self, text: np.ndarray, word: np.ndarray, words: np.ndarray, n: int) -> np.ndarray:
+        """Scores of n texts from pairs of a text and one of its distinct words, a row of words (see of_words)."""
+        sums = np.stack([np.bincount(text, c[word], n) for c in words.T], axis=1)
+        raw = self.bias + sums[:, 0] + 0.5 * ((sums[:, 2:] ** 2).sum(axis=1) - sums[:, 1])
+        return 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
 
     @classmethod
-    def learn(cls, terms: np.ndarray, rows: list[np.ndarray], label: np.ndarray, steps: int = 8000, seed: int = 3) -> FactorizationMachine:
-        """Minibatch AdaGrad on the log loss with a small L2 penalty; rows: places in terms, of each text."""
+    def learn(cls, terms: np.ndarray, rows: list[np.ndarray], label: np.ndarray, steps: int = 2000, seed: int = 3) -> FactorizationMachine:
+        """rows: places in terms, of each text, repeats included.
+
+        Weights come first: a log loss over all terms with a penalty that leaves those without gain at zero. What they do not explain is
+        searched for pairs: leading directions of the sum of residual * (terms x terms) over the texts are where factors
+        can gain, whether or not their terms gain alone. Weights and factors of the terms that are left are then learned together.
+        One text in fifty is blank and not toxic, so that the bias says what nothing but the absence of terms tells.
+        """
         rng = np.random.default_rng(seed)
-        k = len(terms)
-        x = np.zeros((len(rows), k), np.float32)
-        for i, r in enumerate(rows):
-            x[i, r] = 1
-        w, v, b = np.zeros(k, np.float32), rng.normal(0, 0.01, (k, FACTORS)).astype(np.float32), np.float32(np.log((label.sum() + 0.5) / (len(label) - label.sum() + 0.5)))
-        gw, gv, gb = np.full(k, 1e-3, np.float32), np.full((k, FACTORS), 1e-3, np.float32), np.float32(1e-3)
-        for _ in range(max(1, steps * 256 // len(rows))):
-            order = rng.permutation(len(rows))
-            for at in range(0, len(rows), 256):
-                some = order[at : at + 256]
-                xb, y = x[some], label[some].astype(np.float32)
-                s = xb @ v
-                raw = b + xb @ w + 0.5 * (s * s - xb @ (v * v)).sum(1)
-                g = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y) / len(some)
-                dw = xb.T @ g + 1e-5 * w
-                dv = xb.T @ (s * g[:, None]) - v * (xb.T @ g)[:, None] + 1e-4 * v
+        blank = 1 + len(rows) // 50
+        rows, label = [*rows, *[np.zeros(0, np.int64)] * blank], np.append(label, np.zeros(blank, label.dtype))
+        n = len(rows)
+        size = np.fromiter(map(len, rows), np.int64, n)
+        flat, text = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64), np.repeat(np.arange(n), size)
+        w, b = _weights(flat, text, label.astype(np.float64), len(terms))
+        residual = label - _sigmoid(b + np.bincount(text, w[flat], n))
+        v = _directions(flat, text, size, residual, len(terms), rng)
+        live = np.flatnonzero((w != 0) | (np.abs(v).sum(axis=1) > 0))
+        w, v = w[live], 0.3 * v[live] + rng.normal(0, 0.01, (len(live), FACTORS))
+        at = np.minimum(np.searchsorted(live, flat), max(len(live) - 1, 0))
+        held = live[at] == flat if len(live) else np.zeros(len(flat), bool)
+        flat, text = at[held], text[held]
+        size = np.bincount(text, minlength=n)
+        start = np.cumsum(size) - size
+        gw, gv, gb = np.full(len(live), 1e-3), np.full(v.shape, 1e-3), 1e-3
+        for _ in range(max(1, steps * 256 // n)):
+            order = rng.permutation(n)
+            for cut in range(0, n, 256):
+                some = order[cut : cut + 256]
+                m = len(some)
+                x, of = flat[ragged(start[some], size[some])], np.repeat(np.arange(m), size[some])
+                s = np.stack([np.bincount(of, c[x], m) for c in v.T], axis=1)
+                raw = b + np.bincount(of, w[x], m) + 0.5 * ((s * s).sum(axis=1) - np.bincount(of, (v * v).sum(axis=1)[x], m))
+                g = (_sigmoid(raw) - label[some]) / m
+                each = g[of]
+                dw = np.bincount(x, each, len(live))
+                dv = np.stack([np.bincount(x, each * s[:, c][of], len(live)) for c in range(v.shape[1])], axis=1) - v * dw[:, None] + 1e-4 * v
+                dw += 1e-5 * w
                 db = g.sum()
                 gw, gv, gb = gw + dw * dw, gv + dv * dv, gb + db * db
-                w, v, b = w - 0.1 * dw / np.sqrt(gw), v - 0.02 * dv / np.sqrt(gv), min(b - 0.1 * db / np.sqrt(gb), MOST_BIAS)
-        return cls(terms, float(b), w.astype(np.float64), v.astype(np.float64))
+                w, v, b = w - RATE * dw / np.sqrt(gw), v - RATE / 5 * dv / np.sqrt(gv), b - RATE * db / np.sqrt(gb)
+        return cls(terms[live], float(b), w, v)
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def _weights(flat: np.ndarray, text: np.ndarray, label: np.ndarray, k: int, rounds: int = 60) -> tuple[np.ndarray, float]:
+    """Weights and bias that minimise the log loss plus WEIGHT_GAIN * sum of |weight|, by accelerated proximal steps on all texts.
+
+    Steps are scaled per term by how often it occurs times the terms of its texts, which bounds the curvature.
+    """
+    n = len(label)
+    size = np.bincount(text, minlength=n)
+    curve = np.maximum(np.bincount(flat, (size[text] + 1.0), k) / 4, 1e-9)
+    curve_b = max((size + 1).sum() / 4, 1.0)
+    w, b = np.zeros(k), float(np.log((label.sum() + 0.5) / (n - label.sum() + 0.5)))
+    y, yb, t = w, b, 1.0
+    for _ in range(rounds):
+        g = _sigmoid(yb + np.bincount(text, y[flat], n)) - label
+        z = y - np.bincount(flat, g[text], k) / curve
+        new = np.sign(z) * np.maximum(np.abs(z) - WEIGHT_GAIN / curve, 0)
+        new_b = yb - g.sum() / curve_b
+        after = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        y, yb = new + (t - 1) / after * (new - w), new_b + (t - 1) / after * (new_b - b)
+        w, b, t = new, new_b, after
+    return w, b
+
+
+def _directions(flat: np.ndarray, text: np.ndarray, size: np.ndarray, residual: np.ndarray, k: int, rng, rounds: int = 40) -> np.ndarray:
+    """k x FACTORS: sparse leading directions of the residuals' pairs of terms, by truncated power steps; those of too little gain are zero.
+
+    A text counts by 1 / its terms, so that one long text is no direction of its own.
+    """
+    n = len(residual)
+    scale = 1 / np.sqrt(np.maximum(size, 1))
+    own = np.bincount(flat, (residual / np.maximum(size, 1))[text], k)
+    out = np.zeros((k, FACTORS))
+    if not len(flat):
+        return out
+    gains: list[float] = []
+    for c in range(FACTORS):
+        v = rng.normal(0, 1, k)
+        v /= np.linalg.norm(v)
+        gain = 0.0
+        for step in range(rounds):
+            s = np.bincount(text, v[flat], n) * scale
+            u = np.bincount(flat, (residual * s * scale)[text], k) - own * v
+            for d, was in enumerate(gains):
+                u -= was * (out[:, d] @ v) * out[:, d]
+            gain = float(v @ u)
+            z = u + max(np.linalg.norm(u), 1e-9) * v  # shifted, so that the largest positive gain leads
+            if step >= rounds // 4:
+                z[np.abs(z) < 0.2 * np.abs(z).max()] = 0
+            v = z / max(np.linalg.norm(z), 1e-12)
+        if gain < FACTOR_GAIN:
+            break
+        gains.append(gain)
+        out[:, c] = v
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> FactorizationMachine:
     """A model of labels.toxic from rows of docs whose crc32(doc_id as text) mod 5 is not 0.
 
-    The sample is bounded (sample_rows); so are the terms (MODEL_TERMS) and what the driver gets: ids of the sample, and
-    per sample text the known terms in it. Counts of terms are made by tasks and summed before they are ranked.
+    The sample is bounded (sample_rows), and nothing else is: all terms of its texts are learned from, but for those that
+    only one of them holds, which tell nothing about another text. The driver gets the terms of the sample's texts.
     """
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     ids = ids.where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = checkpointed(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows))
-    texts = checkpointed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id").select("toxic", "text"))
-
-    def counted(batches):
-        total: dict[int, list[int]] = {}
-        for part, text, term in _distinct_terms(batches, None):
-            bad = part.column("toxic").to_numpy()[text] > 0
-            for t, n in zip(*np.unique(term, return_counts=True), strict=True):
-                total.setdefault(int(t), [0, 0])[0] += int(n)
-            for t, n in zip(*np.unique(term[bad], return_counts=True), strict=True):
-                total[int(t)][1] += int(n)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x[0] for x in total.values()], pa.int64()), pa.array([x[1] for x in total.values()], pa.int64())], names=["term", "n", "bad"])
-
-    size = texts.agg(F.count("*"), F.sum("toxic")).first()
-    rows_, bad_ = int(size[0]), int(size[1] or 0)
-    if not 0 < bad_ < rows_:
-        return FactorizationMachine(np.zeros(0, np.int64), -20.0 if not bad_ else 20.0, np.zeros(0), np.zeros((0, FACTORS)))
-    counts = texts.mapInArrow(counted, "term long, n long, bad long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).where(F.col("n") >= min(MIN_TEXTS, max(1, bad_ // 4)))
-    d = F.col("bad") * F.lit(float(rows_)) - F.col("n") * F.lit(float(bad_))
-    chi2 = d * d * F.lit(float(rows_)) / (F.col("n") * (F.lit(float(rows_ + 1)) - F.col("n")) * F.lit(float(bad_) * (rows_ - bad_)))
-    best = counts.select("term", chi2.alias("chi2")).where(F.col("chi2") >= MIN_CHI2).orderBy(F.desc("chi2"), "term").limit(MODEL_TERMS).collect()
-    terms = np.sort(np.array([r.term for r in best], np.int64))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id").select("toxic", "text")
 
     def found(batches):
-        for part, text, term in _distinct_terms(batches, terms):
-            cut = np.searchsorted(text, np.arange(part.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(term.astype(np.int32)))], names=["toxic", "terms"])
-
-    rows = texts.mapInArrow(found, "toxic int, terms array<int>").collect()
-    rows.sort(key=lambda r: (r.toxic, r.terms))  # the order of tasks does not matter
-    return FactorizationMachine.learn(terms, [np.array(r.terms, np.int64) for r in rows], np.array([r.toxic for r in rows]))
+        table = WordTable(_encoder(None))
+        for part, text, word in _distinct_words(batches, table):
+            n = table.length[word]
+            cut = np.concatenate([[0], np.cumsum(np.bincount(text, n, part.num_rows))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.ListArray.from_arrays(pa.array(cut), pa.array(table.flat[ragged(table.start[word], n)].astype(np.int32)))], names=["toxic", "terms"])
+
+    rows = checkpointed(texts.mapInArrow(found, "toxic int, terms array<int>")).toArrow()
+    label = rows.column("toxic").to_numpy()
+    if not 0 < label.sum() < len(label):
+        return FactorizationMachine(np.zeros(0, np.int64), 20.0 if label.sum() else -20.0, np.zeros(0), np.zeros((0, FACTORS)))
+    each = [x.values.to_numpy()[a:z] for c in rows.column("terms").chunks for x in [c] for a, z in zip(c.offsets.to_numpy()[:-1].tolist(), c.offsets.to_numpy()[1:].tolist(), strict=True)]
+    order = sorted(range(len(each)), key=lambda i: (label[i], each[i].tobytes()))  # the order of tasks does not matter
+    distinct, texts_of = np.unique(np.concatenate([np.unique(x) for x in each]), return_counts=True)
+    terms = distinct[texts_of > 1]
+    keep = [x[np.isin(x, terms)] for x in (each[i] for i in order)]
+    return FactorizationMachine.learn(terms.astype(np.int64), [np.searchsorted(terms, x) for x in keep], label[order])
+
+
+def _scorer(spark, model: FactorizationMachine):
+    """For batches of rows with a text: (rows, their scores). The model goes to the workers once; its size is that of the sample's terms."""
+    sent = spark.sparkContext.broadcast(model)
+
+    def scores(batches):
+        m = sent.value
+        table = WordTable(_encoder(m.terms))
+        words, done = np.zeros((0, 2 + FACTORS)), 0
+        for part, text, word in _distinct_words(batches, table):
+            if len(table.length) < done:  # the table was emptied
+                words, done = words[:0], 0
+            if len(table.length) > done:
+                words = np.concatenate([words, m.of_words(table.length[done:], table.flat[int(table.start[done]) :])])
+                done = len(table.length)
+            yield part, m.score(text, word, words, part.num_rows)
+
+    return scores
 
 
 def scored(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
     """doc_id, held_out, score (0 to 1), predicted of each row of docs; null and empty texts get the score of a text without known terms. No shuffle."""
+    scores = _scorer(docs.sparkSession, model)
 
     def run(batches):
-        for part, text, term in _distinct_terms(batches, model.terms):
-            s = model.score(text, term, part.num_rows)
+        for part, s in scores(batches):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False))
@@ -176,11 +260,11 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs, with its columns, without the rows that are predicted toxic."""
-    model = train(docs, labels)
+    scores = _scorer(docs.sparkSession, train(docs, labels))
     names, schema = docs.columns, docs.schema
 
     def run(batches):
-        for part, text, term in _distinct_terms(batches, model.terms):
-            yield part.filter(pa.array(model.score(text, term, part.num_rows) < 0.5))
+        for part, s in scores(batches):
+            yield part.filter(pa.array(s < 0.5))
 
     return docs.select(*[docs[c] for c in names]).mapInArrow(run, schema)
