@@ -90,6 +90,8 @@ def tiles(a: np.ndarray, b: np.ndarray, least: int) -> list[tuple[int, int, int]
             if taken.any():
                 again |= n - int(taken.sum()) >= s  # a part of it may still be a match
                 continue
+            if (a[x : x + n] != b[y : y + n]).any():
+                continue  # equal hashes of unequal words
             marked_a[x : x + n] = marked_b[y : y + n] = True
             out.append((x, y, n))
             if not (_free(marked_b) >= s).any():  # no room in b
@@ -108,7 +110,7 @@ class Items:
     def __init__(self, ids: list[int], texts: list[bytes], least: int) -> None:
         w = plain_words(texts)
         self.ids, self.least = ids, least
-        self.word = w.stretches.hash(w.start, w.end)
+        self.word = w.word
         self.before, self.count = w.before, w.count
         self.gram, self.full = w.gram(least)
         at = np.flatnonzero(self.full)
@@ -153,7 +155,7 @@ class Items:
                 if c < share * size:
                     continue
                 if word is None:
-                    word = w.stretches.hash(w.start, w.end)
+                    word = w.word
                 own = np.arange(w.before[t], w.before[t] + w.count[t])
                 got = self.tiled(word[own], h[own], ok[own], item)
                 if got[0] >= share and (out[t] is None or (-got[0], got[1]) < (-out[t][0], out[t][1])):

@@ -107,7 +107,7 @@ class Templates:
             raise ValueError("templates: more text than may be sent to every task")
         self.names = sorted(templates)
         w = plain_words([templates[n].encode() for n in self.names])
-        self.word, self.before, self.count = w.stretches.hash(w.start, w.end), w.before, w.count
+        self.word, self.before, self.count = w.word, w.before, w.count
         # a template's own places are all indexed, so that a fingerprint of a text meets it wherever it was chosen
         h, ok = w.gram(GRAM)
         at = np.flatnonzero(ok)
@@ -134,7 +134,7 @@ class Templates:
         shift = at - w.before[w.text[at]] - self.place[k]
         # one candidate for hits of a text and template whose diagonals span at most the band
         order = np.lexsort((shift, self.template[k], w.text[at]))
-        word = w.stretches.hash(w.start, w.end)
+        word = w.word
         found: dict[tuple[int, int], set[tuple[int, int, int]]] = {}
         candidates: list[list[int]] = []  # text, template, hits (negative), extreme shifts
         for t, m, s in zip(w.text[at][order].tolist(), self.template[k][order].tolist(), shift[order].tolist(), strict=True):

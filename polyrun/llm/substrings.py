@@ -6,12 +6,14 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_values, pieces, ragged, width
 from .rolling import Stretches, anchors
 
+LONG_WORD = 256
 _NO_ID = np.iinfo(np.int64).max
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -36,13 +38,17 @@ class Words:
         self.last = np.repeat(np.cumsum(self.count), self.count)  # one after the text's last word
         self.before = np.cumsum(self.count) - self.count
         self.stretches = Stretches(self.data)
+        #: A hash of each word. Polynomials modulo 2^64 can be fooled by long periodic strings, so long words have another one.
+        self.word = self.stretches.hash(self.start, self.end)
+        for k in np.flatnonzero(self.end - self.start > LONG_WORD).tolist():
+            self.word[k] = xxhash.xxh3_64_intdigest(self.data[self.start[k] : self.end[k]].tobytes())
+        self._words = Stretches(self.word)
 
     def gram(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the n words from each word on, and whether the text has so many."""
         i = np.arange(len(self.start))
         ok = i + n <= self.last
-        to = np.minimum(i + n - 1, len(i) - 1)
-        h = self.stretches.hash(self.start, np.where(ok, self.end[to] if len(i) else i, self.start))
+        h = self._words.hash(i, np.where(ok, i + n, i))
         return np.where(ok, h, np.uint64(2**64 - 1)), ok
 
 
@@ -101,15 +107,34 @@ def _batches(table: pa.Table):
         yield from pieces(batch, "text", 2 << 20)
 
 
+def factored(first: np.ndarray, last: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Greedy factors, one after the other: (run, first word, one after the last word) of each, and the stretches of words at their boundaries.
+
+    Runs are windows first[k] to last[k] - 1, in order, whose reference places go on in one text. A factor is what one run can
+    give from the end of the factor before it on. Windows that reach over a boundary (of the run that follows, or of runs
+    too short to give a factor after it) are checked there, and stretch the span by their words.
+    """
+    out, straddling, stop = [], [], 0
+    for k, (a, z) in enumerate(zip(first.tolist(), last.tolist(), strict=True)):
+        begin = max(a, stop)
+        if a < begin:
+            straddling.append((a, min(begin, z) + window - 1))
+        if begin < z:
+            stop = z + window - 1
+            out.append((k, begin, stop))
+    run, begin, end = (np.array(x, np.int64) for x in zip(*out, strict=True))
+    return run, begin, end, straddling
+
+
 def parsed(docs: DataFrame, window: int = 13, seed: int = 7, give: str = "digest") -> DataFrame:
     """Relative Lempel-Ziv parse of every text against all texts with smaller doc_id.
 
     The reference is the whole corpus, indexed by hash blocks. Block entries are windows (`window` consecutive words) with their
     first place: smallest doc_id, then position. So that only windows that can repeat are indexed, each window first
     chooses a seed of `seed` words (equal windows choose equal seeds), and only windows of seeds that several documents
-    hold are sent to the blocks. A text is then looked up in every block and parsed greedily: a factor starts at the first window with an earlier
-    place and grows while the places go on in the same reference text; where it ends, the windows that straddle the
-    boundary have been looked up too, so none is missed. The words of all factors are the duplicate spans.
+    hold are sent to the blocks. A text is then looked up in every block and parsed greedily (see factored): a factor starts at the first window with
+    an earlier place after the factor before it, and grows while the places go on in the same reference text. The words of all factors, and
+    of the windows that reach over their boundaries, are the duplicate spans.
 
     A block gets each window once per group of documents (with its smallest doc_id), so a passage that a third of all
     rows hold is no hot key. Windows are told apart by 64-bit hashes.
@@ -163,7 +188,7 @@ def parsed(docs: DataFrame, window: int = 13, seed: int = 7, give: str = "digest
                 continue
             use = shared[np.minimum(np.searchsorted(shared, h), len(shared) - 1)] == h
             at = ragged(lo[use], hi[use] - lo[use] + 1)
-            value = w.stretches.hash(w.start[at], w.end[at + window - 1])
+            value = w.gram(window)[0][at]
             found.append((value, ids[w.text[at]], (at - w.before[w.text[at]]).astype(np.int32)))
         if not found:
             return _rows(_WINDOWS, [])
@@ -205,17 +230,22 @@ def parsed(docs: DataFrame, window: int = 13, seed: int = 7, give: str = "digest
                 i = np.minimum(np.searchsorted(h, value), len(h) - 1)
                 at = np.flatnonzero(ok & (h[i] == value) & (ref[i] < ids[w.text]))
                 i = i[at]
-                edge = np.bincount(at, minlength=len(covered) + 1) - np.bincount(at + window, minlength=len(covered) + 1)[: len(covered) + 1]
-                covered = np.cumsum(edge)[: len(covered)] > 0
                 new = np.concatenate([[True], (np.diff(at) > 1) | (w.text[at[1:]] != w.text[at[:-1]]) | (ref[i[1:]] != ref[i[:-1]]) | (place[i[1:]] != place[i[:-1]] + 1)]) if len(at) else np.zeros(0, bool)
                 first = np.flatnonzero(new)
-                length = np.diff(np.append(first, len(at))) + window - 1
-                begin, i = at[first], i[first]
+                run, begin, end, straddling = factored(at[first], at[np.append(first[1:], len(at)) - 1] + 1, window) if len(at) else (np.zeros(0, np.int64),) * 3 + ([],)
+                edge = np.bincount(begin, minlength=len(covered) + 1) - np.bincount(end, minlength=len(covered) + 1)
+                for a, z in straddling:
+                    edge[a] += 1
+                    edge[z] -= 1
+                covered = np.cumsum(edge)[: len(covered)] > 0
+                i = i[first[run]]
+                source, offset = ref[i], place[i] + begin - at[first[run]]
+                length = end - begin
             doc_ids = part.column("doc_id").to_pylist()
             if give == "factors":
                 if len(at):
                     text = w.text[begin]
-                    out.extend(zip([doc_ids[t] for t in text.tolist()], (begin - w.before[text]).tolist(), length.tolist(), ref[i].tolist(), place[i].tolist(), strict=True))
+                    out.extend(zip([doc_ids[t] for t in text.tolist()], (begin - w.before[text]).tolist(), length.tolist(), source.tolist(), offset.tolist(), strict=True))
                 continue
             size = w.end - w.start + 1
             kept = w.data[np.repeat(~covered, size)].tobytes()

@@ -5,7 +5,7 @@ import re
 import numpy as np
 
 from polyrun.llm.rolling import anchors
-from polyrun.llm.substrings import parsed
+from polyrun.llm.substrings import factored, parsed
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -88,3 +88,30 @@ def test_each_window_has_one_anchor():
                 got[j] = a
         want = {j: j + int(np.argmin(np.maximum(h[j : j + width] >> np.uint64(32), 1))) for j in np.flatnonzero(ok)}
         assert got == want
+
+
+def test_greedy_factors_and_their_boundaries():
+    rng = random.Random(2)
+    for _ in range(300):
+        window, at, runs = 4, 0, []
+        for _ in range(rng.randrange(1, 8)):
+            at += rng.randrange(0, 6)
+            size = rng.randrange(1, 7)
+            runs.append((at, at + size))
+            at += size
+        run, begin, end, straddling = factored(*(np.array(x) for x in zip(*runs, strict=True)), window)
+        assert all(runs[k][0] <= b and e == runs[k][1] + window - 1 for k, b, e in zip(run, begin, end, strict=True))
+        assert (begin[1:] >= end[:-1]).all()  # factors do not overlap
+        want = {x for a, z in runs for p in range(a, z) for x in range(p, p + window)}
+        assert {x for a, z in [*zip(begin, end, strict=True), *straddling] for x in range(a, z)} == want
+
+
+def test_long_periodic_words_are_told_apart(corpus):
+    """Thue-Morse strings, which any polynomial modulo 2^64 hashes alike when they are long."""
+    t = "a"
+    for _ in range(11):
+        t += t.translate(str.maketrans("ab", "ba"))
+    other = t.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"w{i}" for i in range(12))
+    got = {r.doc_id: r.n_removed for r in parsed(corpus([(1, f"{t} {rest}"), (2, f"{other} {rest}"), (3, f"{t} {rest}")])).collect()}
+    assert got == {1: 0, 2: 0, 3: 13}
