@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from polyrun.options import Options
+from polyrun.sources.shared import checkpointed
 
 HISTOGRAM = "sample_idx int, base string, name string, contexts array<string>, n_context int, integral long, location long, ref_id int, loc_pos int, loc_last int, mismatches int, neg_strand boolean, multi boolean, indel boolean, mode_count long, mode_length int, mode_left string, mode_right string, lengths array<struct<length:int,count:bigint>>"
 _PLAIN = ["sample_idx", "base", "left_ctx", "right_ctx", "length", "count", "location", "ref_id", "loc_pos", "loc_last", "mismatches", "neg_strand", "multi"]
@@ -205,3 +206,18 @@ def assign_tracts(histograms: DataFrame, options: Options) -> DataFrame:
     sums = sums.select("ref_id", F.coalesce(F.sum("n_all").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("t_all").over(before), F.lit(0)).alias("t0"))
     ids = led.join(sums, "ref_id").select("sample_idx", "ref_id", "location", (F.col("n0") + F.col("n") - 1).cast("int").alias("concat_idx"), (F.col("t0") + F.col("t") - 1).cast("int").alias("tract_id"), "lev")
     return histograms.join(ids, ["sample_idx", "ref_id", "location"])
+
+
+def numbered(histograms: DataFrame) -> DataFrame:
+    """histograms with tract_id (rank of their location) and concat_idx (place in order of location, larger sample first).
+
+    Places are counted within ranges of location and added to the totals of the ranges before, of which there is a row each;
+    a location lies in one range.
+    """
+    d = checkpointed(histograms.repartitionByRange("location").withColumn("_part", F.spark_partition_id()))
+    w = Window.partitionBy("_part").orderBy("location", F.desc("sample_idx"))
+    sums = d.groupBy("_part").agg(F.count("*").alias("_n"), F.count_distinct("location").alias("_t"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_t0"))
+    out = d.withColumn("concat_idx", F.row_number().over(w) - 1).withColumn("tract_id", F.dense_rank().over(Window.partitionBy("_part").orderBy("location")) - 1).join(F.broadcast(sums), "_part")
+    return out.withColumn("concat_idx", (F.col("concat_idx") + F.col("_n0")).cast("int")).withColumn("tract_id", (F.col("tract_id") + F.col("_t0")).cast("int")).drop("_part", "_n0", "_t0")

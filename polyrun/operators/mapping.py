@@ -68,8 +68,10 @@ def best_match(hits: DataFrame, contigs: DataFrame) -> DataFrame:
     """Of each query the hit with the fewest mismatches, then leftmost on the flattened genome; multi: another place is as good."""
     h = hits.join(with_offsets(contigs).select("ref_id", "flat_offset"), "ref_id").withColumn("location", F.col("flat_offset") + F.col("loc_pos"))
     order = F.struct("mismatches", "location", F.col("neg_strand").cast("int"), "loc_last")
-    kept = h.groupBy("query").agg(F.min(F.struct(order.alias("o"), "ref_id", "loc_pos", "loc_last", "mismatches", "neg_strand", "location")).alias("b"), F.collect_set(F.struct("mismatches", "location")).alias("all"))
-    return kept.select("query", "b.ref_id", "b.loc_pos", "b.loc_last", "b.mismatches", "b.neg_strand", "b.location", (F.size(F.filter("all", lambda x: x["mismatches"] == F.col("b.mismatches"))) > 1).alias("multi"))
+    # equally good places are counted by their extremes, so a query with many hits costs a task no more than one row
+    each = h.groupBy("query", "mismatches").agg(F.min(F.struct(order.alias("o"), "ref_id", "loc_pos", "loc_last", "neg_strand", "location")).alias("b"), F.max("location").alias("far"))
+    kept = each.groupBy("query").agg(F.min_by(F.struct("b", "far", "mismatches"), "mismatches").alias("x"))
+    return kept.select("query", "x.b.ref_id", "x.b.loc_pos", "x.b.loc_last", "x.mismatches", "x.b.neg_strand", "x.b.location", (F.col("x.far") > F.col("x.b.location")).alias("multi"))
 
 
 def located_elements(elements: DataFrame, contigs: DataFrame, q: int, edits: int = 0) -> DataFrame:
@@ -80,3 +82,14 @@ def located_elements(elements: DataFrame, contigs: DataFrame, q: int, edits: int
     asked = longest.withColumn("query", text)
     found = best_match(locate(asked, contigs, q, edits), contigs)
     return elements.join(asked.join(found, "query").drop("query", "longest"), context)
+
+
+def mapping_counts(elements: DataFrame, located: DataFrame) -> DataFrame:
+    """Per sample: distinct contexts and elements (contexts with a length) that are found on the reference, and those that are not."""
+    context = ["sample_idx", "base", "left_ctx", "right_ctx"]
+    found = located.select(*context, F.lit(True).alias("found")).distinct()
+    e = elements.join(found, context, "left").groupBy(*context).agg(F.count("*").alias("n"), F.coalesce(F.first("found"), F.lit(False)).alias("found"))
+    count = lambda x: F.coalesce(F.sum(x), F.lit(0)).cast("long")
+    return e.groupBy("sample_idx").agg(
+        count(F.col("found").cast("int")).alias("contexts_found"), count((~F.col("found")).cast("int")).alias("contexts_not_found"), count(F.when(F.col("found"), F.col("n"))).alias("elements_found"), count(F.when(~F.col("found"), F.col("n"))).alias("elements_not_found")
+    )

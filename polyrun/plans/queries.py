@@ -29,33 +29,38 @@ def _unbiased(spark, d):
     return checkpointed(counts.drop_biased(_elements(spark, d)))
 
 
-def _located(spark, d):
-    deep = counts.with_depth(_unbiased(spark, d), DEPTH).where("deep").drop("depth", "deep")
+def _located_of(unbiased, spark, d):
+    deep = counts.with_depth(unbiased, DEPTH).where("deep").drop("depth", "deep")
     return checkpointed(mapping.located_elements(deep, derived.contigs(spark, d), 15))
 
 
+def _located(spark, d):
+    return _located_of(_unbiased(spark, d), spark, d)
+
+
 def _simple_concat(spark, d) -> DataFrame:
-    """Histograms of exactly mapped contexts; contexts at one place are one tract. Ids are numbered over this small table."""
+    """Histograms of exactly mapped contexts; contexts at one place are one tract. The reads are scanned once."""
     place = ["ref_id", "loc_pos", "loc_last", "mismatches", "neg_strand", "location", "multi"]
-    e = _located(spark, d)
+    unbiased = _unbiased(spark, d)
+    e = _located_of(unbiased, spark, d)
     h = counts.length_histograms(e).join(e.select(*counts.CONTEXT, *place).distinct(), counts.CONTEXT)
     h = h.withColumn("n_context", F.lit(1)).withColumn("mode_left", F.col("left_ctx")).withColumn("mode_right", F.col("right_ctx")).withColumn("name", dna.context_name("left_ctx", "base", "right_ctx", "neg_strand"))
-    h = h.withColumn("tract_id", F.dense_rank().over(Window.orderBy("location")) - 1).withColumn("concat_idx", F.row_number().over(Window.orderBy("location", F.desc("sample_idx"))) - 1)
-    return checkpointed(stats.histogram_stats(h, counts.sample_coverage(_unbiased(spark, d))))
+    return checkpointed(stats.histogram_stats(cluster.numbered(h), counts.sample_coverage(unbiased)))
 
 
-def _simple_ref(spark, d) -> DataFrame:
-    c = _simple_concat(spark, d)
+def _simple_ref(spark, d, c=None) -> DataFrame:
+    c = _simple_concat(spark, d) if c is None else c
     return checkpointed(reference.best_reference_tract(reference.tract_borders(c), c, derived.contigs(spark, d), OPTIONS))
 
 
-def _annotated(spark, d) -> DataFrame:
-    c = _simple_concat(spark, d).join(derived.contigs(spark, d).select("ref_id", "contig"), "ref_id").withColumn("position", F.col("loc_pos") + K)
+def _annotated(spark, d, c=None) -> DataFrame:
+    c = (_simple_concat(spark, d) if c is None else c).join(derived.contigs(spark, d).select("ref_id", "contig"), "ref_id").withColumn("position", F.col("loc_pos") + K)
     return annotate.with_feature(c, derived.features(spark, d), ["sample_idx", "location"])
 
 
-def _simple_variable(spark, d):
-    return stats.variable_tracts(_simple_concat(spark, d), _simple_ref(spark, d), derived.SAMPLES)
+def _simple_variable(spark, d, c=None, ref=None):
+    c = _simple_concat(spark, d) if c is None else c
+    return stats.variable_tracts(c, _simple_ref(spark, d, c) if ref is None else ref, derived.SAMPLES)
 
 
 def _pipeline(spark, d) -> TractPipeline:
@@ -235,11 +240,14 @@ def pivot_prop_coverage(spark, d):
 
 
 def bed(spark, d):
-    return report.bed(_simple_ref(spark, d), derived.contigs(spark, d), _simple_variable(spark, d), K)
+    c = _simple_concat(spark, d)
+    ref = _simple_ref(spark, d, c)
+    return report.bed(ref, derived.contigs(spark, d), _simple_variable(spark, d, c, ref), K)
 
 
 def tract_list(spark, d):
-    return report.tract_list(_simple_ref(spark, d), _annotated(spark, d), derived.contigs(spark, d))
+    c = _simple_concat(spark, d)
+    return report.tract_list(_simple_ref(spark, d, c), _annotated(spark, d, c), derived.contigs(spark, d))
 
 
 def context_differs_from_ref(spark, d):
@@ -250,6 +258,34 @@ def frameshift_proxy(spark, d):
     return report.frameshift_counts(tract_list(spark, d))
 
 
+def mapping_counts(spark, d):
+    """Contexts and elements of each sample that are found on the reference, and those that are not."""
+    e = _unbiased(spark, d)
+    return mapping.mapping_counts(e, _located_of(e, spark, d))
+
+
+def tract_by_id(spark, d):
+    """The matrices' rows of the tracts of the tract list: average length, modal frequency and list entry side by side."""
+    c = _simple_concat(spark, d)
+    own = stats.last_of_sample(c).select(F.format_string("tid_%06d", F.col("tract_id").cast("long")).alias("tract_id"), "sample_idx", "mean_length", "modal_freq")
+    listed = report.tract_list(_simple_ref(spark, d, c), _annotated(spark, d, c), derived.contigs(spark, d))
+    return listed.join(own, "tract_id").select("tract_id", "contig_name", "location_in_contig", "feature", "sample_idx", "mean_length", "modal_freq")
+
+
+def tracts_per_report(spark, d):
+    """Tracts in the list, and variable ones (rows of the BED file), of each contig."""
+    c = _simple_concat(spark, d)
+    ref = _simple_ref(spark, d, c)
+    v = _simple_variable(spark, d, c, ref)
+    return ref.join(v, "tract_id").join(derived.contigs(spark, d).select("ref_id", "contig"), "ref_id").groupBy("contig").agg(F.count("*").alias("listed"), F.sum(F.col("variable").cast("long")).alias("variable"))
+
+
+def context_evidence(spark, d):
+    """Contexts behind every tract with the counts of each length: what a debug dump joined to the matrices tells."""
+    c = _simple_concat(spark, d)
+    return c.select("tract_id", "sample_idx", "name", "n_lengths", "integral", "mode_length", "mode_count", "mean_length")
+
+
 def cluster_contexts(spark, d):
     return cluster.cluster_contexts(_pipeline(spark, d).located, OPTIONS).select("sample_idx", "location", "name", "n_context", "integral", "mode_length", "indel")
 
@@ -287,10 +323,12 @@ def vcf_multi_sample(spark, d):
 
 
 def euclidean_distance(spark, d):
-    """Distance of every vector to the one of the next id."""
+    """Distance of every vector whose id is divisible by 50 to all vectors, the asked ones in blocks."""
     e = spark.read.parquet(f"{d}/embeddings.parquet")
-    before = e.select((F.col("vec_id") + 1).alias("next_id"), F.col("embedding").alias("a"))
-    return e.join(before, F.col("vec_id") == F.col("next_id")).select((F.col("next_id") - 1).alias("vec_id"), "next_id", dna.euclidean("a", "embedding").alias("distance"))
+    blocks = 16
+    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("a"), (F.col("vec_id") / 50 % blocks).cast("int").alias("block"))
+    every = e.select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    return every.join(asked, "block").select("query_id", "vec_id", dna.euclidean("a", "embedding").alias("distance"))
 
 
 _NOT_QUERIES = {"queries", "oracle_sql"}
@@ -304,14 +342,14 @@ _FIXTURE = f"""
 contigs AS (
   SELECT CAST(p_partkey // {derived.CONTIG_KEYS} AS INT) AS ref_id, 'contig' || CAST(p_partkey // {derived.CONTIG_KEYS} AS VARCHAR) AS contig,
          string_agg(translate(md5(CAST(p_partkey AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTACGT'), '' ORDER BY p_partkey) AS seq
-  FROM part WHERE p_partkey < {derived.CONTIG_KEYS * derived.CONTIGS} GROUP BY 1, 2),
+  FROM part GROUP BY 1, 2),
 offsets AS (SELECT ref_id, contig, seq, length(seq) AS len, CAST(coalesce(sum(length(seq)) OVER (ORDER BY ref_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS flat_offset FROM contigs),
 features AS (
   SELECT contig, CASE i % 3 WHEN 0 THEN 'CDS' WHEN 1 THEN 'gene' ELSE 'region' END AS type, CAST(i * 150 + 1 AS INT) AS start, CAST(i * 150 + 220 AS INT) AS "end", 'f' || i AS feature_id
   FROM (SELECT contig, unnest(range(0, length(seq) // 150 + 1)) AS i FROM contigs)),
 pieces AS (
   SELECT CAST(user_id % {derived.SAMPLES} AS INT) AS sample_idx, event_id AS read_id, substr(seq, CAST(event_id * 37 % (length(seq) - {derived.READ}) + 1 AS BIGINT), {derived.READ}) AS r
-  FROM events JOIN contigs ON ref_id = (event_id // 2) % {derived.CONTIGS}),
+  FROM events JOIN contigs ON ref_id = (event_id // 2) % (SELECT max(ref_id) + 1 FROM contigs) AND length(seq) > {derived.READ}),
 changed AS (SELECT sample_idx, read_id, CASE sample_idx WHEN 1 THEN replace(r, 'CAAAG', 'CAAAAG') WHEN 2 THEN replace(r, 'GTTTA', 'GTTTTTA') ELSE r END AS r FROM pieces),
 reads AS (SELECT sample_idx, read_id, CASE WHEN read_id % 2 = 0 THEN r ELSE reverse(translate(r, 'ACGT', 'TGCA')) END AS seq FROM changed)"""
 
@@ -459,6 +497,11 @@ def oracle_sql():
         "variable_tracts": f"WITH {ref} SELECT * FROM variable",
         "tract_spread": f"WITH {_MAPPED} SELECT * FROM spread",
         "selected_tracts": f"WITH {_MAPPED} SELECT tract_id, n_hist FROM spread WHERE n_hist < {derived.SAMPLES} OR greatest(rd_modal_freq, rd_mean_length, rd_entropy) > 1e-6",
+        "mapping_counts": f"""WITH {_MAPPED}, c AS (SELECT sample_idx, base, left_ctx, right_ctx, count(*) AS n, bool_or(EXISTS (SELECT 1 FROM located l WHERE l.sample_idx = u.sample_idx AND l.base = u.base AND l.left_ctx = u.left_ctx AND l.right_ctx = u.right_ctx)) AS found FROM unbiased u GROUP BY 1, 2, 3, 4)
+            SELECT sample_idx, count(*) FILTER (found) AS contexts_found, count(*) FILTER (NOT found) AS contexts_not_found, CAST(coalesce(sum(n) FILTER (found), 0) AS BIGINT) AS elements_found, CAST(coalesce(sum(n) FILTER (NOT found), 0) AS BIGINT) AS elements_not_found FROM c GROUP BY 1""",
+        "tract_by_id": f"WITH {ref} SELECT t.tract_id, contig_name, location_in_contig, feature, sample_idx, arg_max(mean_length, concat_idx) AS mean_length, arg_max(modal_freq, concat_idx) AS modal_freq FROM tract_list t JOIN stat s ON t.tract_id = printf('tid_%06d', s.tract_id) GROUP BY ALL",
+        "tracts_per_report": f"WITH {ref} SELECT contig, count(*) AS listed, CAST(sum(CASE WHEN variable THEN 1 ELSE 0 END) AS BIGINT) AS variable FROM ref_ht JOIN variable USING (tract_id) JOIN contigs USING (ref_id) GROUP BY 1",
+        "context_evidence": f"WITH {_MAPPED} SELECT tract_id, sample_idx, name, n_lengths, integral, mode_length, mode_count, mean_length FROM stat",
         "pairwise_histogram_distance": f"WITH {_MAPPED} SELECT a.tract_id, a.concat_idx AS a, b.concat_idx AS b, {d1} AS d1, pow(a.mean_length - b.mean_length, 2) AS d2 FROM stat a JOIN stat b ON a.tract_id = b.tract_id AND a.concat_idx < b.concat_idx",
         "pivot_average_length": pivot("mean_length"),
         "pivot_modal_frequency": pivot("modal_freq"),
@@ -467,5 +510,5 @@ def oracle_sql():
         "tract_list": f"WITH {ref} SELECT * FROM tract_list",
         "context_differs_from_ref": f"WITH {ref} SELECT tract_id, tract, ref_tract FROM tract_list WHERE tract <> ref_tract",
         "frameshift_proxy": f"WITH {ref} SELECT feature_type = 'CDS' AS coding, (max_tract_length - ref_tract_length) % 3 = 0 AS in_frame, count(*) AS n_tracts FROM tract_list GROUP BY 1, 2",
-        "euclidean_distance": "SELECT a.vec_id, e.vec_id AS next_id, sqrt(list_sum(list_transform(range(1, len(e.embedding) + 1), lambda i: pow(CAST(a.embedding[i] AS DOUBLE) - CAST(e.embedding[i] AS DOUBLE), 2)))) AS distance FROM embeddings a JOIN embeddings e ON e.vec_id = a.vec_id + 1",
+        "euclidean_distance": "SELECT a.vec_id AS query_id, e.vec_id, sqrt(list_sum(list_transform(range(1, len(e.embedding) + 1), lambda i: pow(CAST(a.embedding[i] AS DOUBLE) - CAST(e.embedding[i] AS DOUBLE), 2)))) AS distance FROM embeddings a JOIN embeddings e ON a.vec_id % 50 = 0",
     }

@@ -6,16 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Part keys of each contig, reads' length, samples.
-CONTIG_KEYS, CONTIGS, READ, SAMPLES = 96, 2, 100, 5
+CONTIG_KEYS, READ, SAMPLES = 96, 100, 5
 
 
 def _dna(x):
     return F.translate(F.md5(x.cast("string")), "0123456789abcdef", "ACGTACGTACGTACGT")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores: a small table is one file, and so one task, however long its rows take afterwards."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= n else df.repartition(n)
+
+
 def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ref_id, contig, seq, len; 32 bases for each of a fixed number of part keys."""
-    p = spark.read.parquet(f"{sf_dir}/part.parquet").where(F.col("p_partkey") < CONTIG_KEYS * CONTIGS)
+    """ref_id, contig, seq, len: a contig for every CONTIG_KEYS part keys, 32 bases of each; the genome grows with the table."""
+    p = _spread(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey"))
     p = p.select(F.floor(F.col("p_partkey") / CONTIG_KEYS).cast("int").alias("ref_id"), "p_partkey", _dna(F.col("p_partkey")).alias("d"))
     seq = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "d"))), lambda x: x["d"]), "")
     return p.groupBy("ref_id").agg(seq.alias("seq")).select("ref_id", F.concat(F.lit("contig"), F.col("ref_id")).alias("contig"), "seq", F.length("seq").alias("len"))
@@ -36,8 +42,10 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """sample_idx, read_id, seq: 100-base pieces of the contigs on both strands; two samples have longer tracts."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", (F.col("user_id") % SAMPLES).cast("int").alias("sample_idx"))
-    e = e.withColumn("ref_id", (F.floor(F.col("event_id") / 2) % CONTIGS).cast("int")).join(contigs(spark, sf_dir), "ref_id")
+    e = _spread(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", (F.col("user_id") % SAMPLES).cast("int").alias("sample_idx")))
+    last = spark.read.parquet(f"{sf_dir}/part.parquet").agg(F.max("p_partkey")).first()[0]
+    n = 1 + (last or 0) // CONTIG_KEYS
+    e = e.withColumn("ref_id", (F.floor(F.col("event_id") / 2) % n).cast("int")).join(contigs(spark, sf_dir).where(F.col("len") > READ), "ref_id")
     r = F.substring("seq", (F.col("event_id") * 37 % (F.col("len") - READ) + 1).cast("int"), F.lit(READ))
     r = F.when(F.col("sample_idx") == 1, F.replace(r, F.lit("CAAAG"), F.lit("CAAAAG"))).when(F.col("sample_idx") == 2, F.replace(r, F.lit("GTTTA"), F.lit("GTTTTTA"))).otherwise(r)
     e = e.select("sample_idx", F.col("event_id").alias("read_id"), r.alias("r"))

@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df from a checkpoint: later steps neither compute it again nor carry its plan, and a lost executor costs nothing."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        path = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(path or f"file://{tempfile.mkdtemp(prefix='polyrun-')}")
+    """df from a checkpoint: later steps neither compute it again nor carry its plan, and a lost executor costs nothing.
+
+    Where the session names no spark.checkpoint.dir, a local master gets a folder of its own; a cluster is refused.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not path:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            path = f"file://{tempfile.mkdtemp(prefix='polyrun-')}"
+        context.setCheckpointDir(path)
     return df.checkpoint()
