@@ -182,7 +182,7 @@ def _weights(flat: np.ndarray, text: np.ndarray, label: np.ndarray, k: int, roun
     return w, b
 
 
-def _directions(flat: np.ndarray, text: np.ndarray, size: np.ndarray, residual: np.ndarray, k: int, rng, rounds: int = 40) -> np.ndarray:
+def _directions(flat: np.ndarray, text: np.ndarray, size: np.ndarray, residual: np.ndarray, k: int, rng, rounds: int = 24) -> np.ndarray:
     """k x FACTORS: sparse leading directions of the residuals' pairs of terms, by truncated power steps; those of too little gain are zero.
 
     A text counts by 1 / its terms, so that one long text is no direction of its own.
@@ -237,12 +237,16 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     label = rows.column("toxic").to_numpy()
     if not 0 < label.sum() < len(label):
         return FactorizationMachine(np.zeros(0, np.int64), 20.0 if label.sum() else -20.0, np.zeros(0), np.zeros((0, FACTORS)))
-    each = [x.values.to_numpy()[a:z] for c in rows.column("terms").chunks for x in [c] for a, z in zip(c.offsets.to_numpy()[:-1].tolist(), c.offsets.to_numpy()[1:].tolist(), strict=True)]
+    lists = rows.column("terms").combine_chunks()
+    size = np.diff(lists.offsets.to_numpy())
+    terms, flat = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    text = np.repeat(np.arange(len(size)), size)
+    pairs = np.unique(text * len(terms) + flat)
+    shared = np.bincount(pairs % len(terms), minlength=len(terms)) > 1
+    flat, text = (np.cumsum(shared) - 1)[flat[shared[flat]]], text[shared[flat]]
+    each = np.split(flat, np.cumsum(np.bincount(text, minlength=len(size)))[:-1])
     order = sorted(range(len(each)), key=lambda i: (label[i], each[i].tobytes()))  # the order of tasks does not matter
-    distinct, texts_of = np.unique(np.concatenate([np.unique(x) for x in each]), return_counts=True)
-    terms = distinct[texts_of > 1]
-    keep = [x[np.isin(x, terms)] for x in (each[i] for i in order)]
-    return FactorizationMachine.learn(terms.astype(np.int64), [np.searchsorted(terms, x) for x in keep], label[order])
+    return FactorizationMachine.learn(terms[shared].astype(np.int64), [each[i] for i in order], label[order])
 
 
 def _scorer(spark, model: FactorizationMachine):
