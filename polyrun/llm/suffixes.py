@@ -14,70 +14,57 @@ from .substrings import _blob, _by_bucket, _rows, _spark_schema, grouped
 
 #: Stretches around one seed that a task indexes together, at most; seeds with more are counted window by window.
 SEED_STRETCHES = 1000
-#: Bytes of stretches in one index.
-INDEX_BYTES = 512 << 10
+#: Stretches, about, and groups, at most, in one index.
+INDEX_ROWS, GROUPS = 4000, 250
 
 
 class RunLengthIndex:
-    """Suffixes of stretches in lexical order, as runs of equal preceding bytes with a sample at each end of a run.
+    """Burrows-Wheeler transform of stretches that share seeds, column by column, in runs.
 
-    Stretch k has windows[k] suffixes, those at its first bytes; no place of the corpus is indexed twice. The
-    preceding bytes in suffix order are the Burrows-Wheeler transform; only where it changes (at the ends of its runs)
-    is the common prefix with the neighbour measured. Inside a run the neighbours go on from their predecessors
-    in the text, so the length is one less than one byte before: matching statistics of all suffixes are streamed along
-    the text from the samples at the run ends.
+    Stretches of one seed (a group) lie on one another at the seed, and two equal windows lie in the same columns, so the
+    suffixes that start in one column are an order of their own. From the order of the column to the right, the bytes of a
+    column are its transform: a stable sort by them is the step to the left (LF mapping). Inside a run of equal bytes
+    neighbours stay neighbours and their common prefix grows by one; only at the ends of runs is it sampled anew, as
+    the least of those between the two suffixes, plus one. Groups up to GROUPS share an index and are kept apart by the sort.
     """
 
-    def __init__(self, stretches: list[bytes], windows: np.ndarray) -> None:
-        self.windows = windows
-        self.base = np.cumsum(windows) - windows
-        self.suffix = [s[i:] for s, n in zip(stretches, windows.tolist(), strict=True) for i in range(n)]
-        n = len(self.suffix)
-        self.order = np.array(sorted(range(n), key=self.suffix.__getitem__), np.int64)
-        first = np.zeros(n, bool)
-        first[self.base] = True
-        before = np.concatenate([np.frombuffer(s[: k - 1], np.uint8).astype(np.int16) if j else np.full(1, -1, np.int16) for s, k in zip(stretches, windows.tolist(), strict=True) for j in (0, 1)])
-        bwt = before[self.order]
-        self.change = np.concatenate([[True], (bwt[1:] != bwt[:-1]) | (bwt[1:] < 0)])  # heads of runs; a first suffix is a run of its own
-
-    def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Length of the common prefix of suffixes a and b."""
-        out = np.zeros(len(a), np.int64)
-        for k, (i, j) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-            x, y = self.suffix[i], self.suffix[j]
-            size = min(len(x), len(y))
-            if x[:size] == y[:size]:
-                out[k] = size
-            else:
-                p, q = np.frombuffer(x, np.uint8, size), np.frombuffer(y, np.uint8, size)
-                out[k] = int((p != q).argmax())
-        return out
-
-    def _streamed(self, sampled: np.ndarray, rank: np.ndarray, neighbour: int) -> np.ndarray:
-        """Match lengths with the neighbour in suffix order, of all suffixes in text order."""
-        n = len(self.order)
-        value = np.zeros(n, np.int64)
-        at = np.flatnonzero(sampled)
-        has = (at + neighbour >= 0) & (at + neighbour < n)
-        value[self.order[at[has]]] = self._common(self.order[at[has]], self.order[at[has] + neighbour])
-        marked = np.zeros(n, bool)
-        marked[self.order[at]] = True
-        place = np.arange(n)
-        last = np.maximum.accumulate(np.where(marked, place, 0))
-        return value[last] - (place - last)
+    def __init__(self, stretches: list[bytes], group: np.ndarray, left: np.ndarray) -> None:
+        """left: bytes of each stretch before its seed. group: ascending numbers from 0."""
+        self.most = int(left.max())
+        self.first = self.most - left  # column of each stretch's first byte
+        size = np.fromiter(map(len, stretches), np.int64, len(stretches))
+        width = int((self.first + size).max())
+        self.columns = np.zeros((width, len(stretches)), np.uint16)  # 0: nothing here
+        place = ragged(self.first, size)
+        self.columns[place, np.repeat(np.arange(len(stretches)), size)] = np.frombuffer(b"".join(stretches), np.uint8).astype(np.uint16) + 1
+        self.group = (group * 257).astype(np.uint16)
 
     def matches(self, length: int) -> np.ndarray:
-        """Of each suffix in text order, whether its first `length` bytes also start another."""
-        heads = self.change
-        tails = np.append(heads[1:], True)
-        tails = tails | np.isin(self.order, self.base)
-        heads = heads | np.isin(self.order, self.base)
-        return np.maximum(self._streamed(heads, self.order, -1), self._streamed(tails, self.order, 1)) >= length
+        """(stretch, column) -> whether the `length` bytes from there also lie in another stretch; columns 0 to the last start of a window."""
+        n = len(self.group)
+        out = np.zeros((n, self.most + 1), bool)
+        order, common = np.arange(n), np.zeros(n + 1, np.int64)  # of each suffix with the one before it
+        for c in range(len(self.columns) - 1, -1, -1):
+            byte = self.columns[c][order]
+            key = self.group[order] + byte
+            to = np.argsort(key, kind="stable")
+            key = key[to]
+            step = np.diff(to)
+            same = (key[1:] == key[:-1]) & (byte[to[1:]] != 0)
+            new = np.zeros(n + 1, np.int64)
+            new[1:n] = np.where(same, common[to[1:]] + 1, 0)
+            ends = np.flatnonzero(same & (step != 1))  # run ends
+            if len(ends):
+                new[1 + ends] = np.minimum.reduceat(common, np.stack([to[ends] + 1, to[ends + 1] + 1], axis=1).ravel())[::2] + 1
+            order, common = order[to], new
+            if c <= self.most:
+                out[order, c] = np.maximum(common[:-1], common[1:]) >= length
+        return out
 
 
 _SEEDS = pa.schema([("bucket", pa.int32()), ("g", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
 _SHARED = pa.schema([("g", pa.int32()), ("hashes", pa.binary()), ("hot", pa.binary())])
-_STRETCHES = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("g", pa.int32()), ("keys", pa.binary()), ("many", pa.binary()), ("seeds", pa.binary()), ("windows", pa.binary()), ("sizes", pa.binary()), ("bytes", pa.binary())])
+_STRETCHES = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("g", pa.int32()), ("keys", pa.binary()), ("many", pa.binary()), ("seeds", pa.binary()), ("windows", pa.binary()), ("lefts", pa.binary()), ("sizes", pa.binary()), ("bytes", pa.binary())])
 _ANSWERS = pa.schema([("kind", pa.int32()), ("g", pa.int32()), ("keys", pa.binary()), ("starts", pa.binary()), ("counts", pa.binary())])
 
 
@@ -86,8 +73,8 @@ def repeats(docs: DataFrame, length: int = 400, seed: int = 64, give: str = "dig
 
     Every window of `length` bytes chooses a seed of `seed` bytes in it (equal windows choose equal seeds). Seeds that occur twice
     anywhere mark the stretches that can repeat: a seed with the windows that chose it. Stretches go to blocks by
-    seed, equal ones of a group of documents once, and each block builds a RunLengthIndex of them and returns the windows
-    that match elsewhere. A seed with over SEED_STRETCHES stretches is never gathered in one task: its windows are counted by
+    seed, those that a group of documents holds often twice, and each block builds RunLengthIndexes of them, equal ones included,
+    and returns the windows that match elsewhere. A seed with over SEED_STRETCHES stretches is never gathered in one task: its windows are counted by
     their hashes in as many tasks as there are blocks, which decides the same question exactly.
 
     give = "digest": doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 of each row of docs; "text": doc_id
@@ -168,19 +155,19 @@ def repeats(docs: DataFrame, length: int = 400, seed: int = 64, give: str = "dig
                 if own:
                     own[0] = True
                 else:
-                    held[int(key[k])] = [False, int(b.seed[k]), int(b.hi[k] - b.lo[k] + 1), b.data[b.lo[k] : b.hi[k] + length].tobytes()]
+                    held[int(key[k])] = [False, int(b.seed[k]), int(b.hi[k] - b.lo[k] + 1), b.data[b.lo[k] : b.hi[k] + length].tobytes(), int(b.at[k] - b.lo[k])]
         g = table.column("g")[0].as_py()
         rows: list[tuple] = []
         if held:
             keys, many, seed_, windows = np.array(list(held), np.uint64), np.array([x[0] for x in held.values()]), np.array([x[1] for x in held.values()], np.uint64), np.array([x[2] for x in held.values()], np.int32)
-            texts = [x[3] for x in held.values()]
+            texts, left = [x[3] for x in held.values()], np.array([x[4] for x in held.values()], np.int32)
             for bucket, i in _by_bucket(seed_, n):
                 own = [texts[k] for k in i.tolist()]
-                rows.append((0, bucket, g, _blob(keys[i]), _blob(many[i]), _blob(seed_[i]), _blob(windows[i]), _blob(np.array([len(t) for t in own], np.int32)), b"".join(own)))
+                rows.append((0, bucket, g, _blob(keys[i]), _blob(many[i]), _blob(seed_[i]), _blob(windows[i]), _blob(left[i]), _blob(np.array([len(t) for t in own], np.int32)), b"".join(own)))
         if counted:
             h, c = np.unique(np.concatenate(counted), return_counts=True)
-            rows += [(1, bucket, g, _blob(h[i]), _blob(c[i] > 1), b"", b"", b"", b"") for bucket, i in _by_bucket(h, n)]
-            rows.append((2, g % n, g, _blob(shared[hot]), b"", b"", b"", b"", b""))
+            rows += [(1, bucket, g, _blob(h[i]), _blob(c[i] > 1), b"", b"", b"", b"", b"") for bucket, i in _by_bucket(h, n)]
+            rows.append((2, g % n, g, _blob(shared[hot]), b"", b"", b"", b"", b"", b""))
         return _rows(_STRETCHES, rows)
 
     def indexed(table: pa.Table) -> pa.Table:
@@ -190,56 +177,53 @@ def repeats(docs: DataFrame, length: int = 400, seed: int = 64, give: str = "dig
             return _rows(_ANSWERS, [(2, g, k, b"", b"") for g, k in zip(gs, table.column("keys").to_pylist(), strict=True)])
         each = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
         many = np.frombuffer(b"".join(table.column("many").to_pylist()), bool)
-        keys, first, where, count = np.unique(np.concatenate(each), return_index=True, return_inverse=True, return_counts=True)
-        copies = count > 1
-        copies[where[many]] = True
         cut = np.cumsum([0, *map(len, each)])
         if kind == 1:
+            keys, where, count = np.unique(np.concatenate(each), return_inverse=True, return_counts=True)
+            copies = count > 1
+            copies[where[many]] = True
             return _rows(_ANSWERS, [(1, g, _blob(x[copies[where[a:b]]]), b"", b"") for g, x, a, b in zip(gs, each, cut[:-1].tolist(), cut[1:].tolist(), strict=True)])
-        seed_, windows, sizes = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("seeds", np.uint64), ("windows", np.int32), ("sizes", np.int32)))
+        seed_, windows, left, sizes = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("seeds", np.uint64), ("windows", np.int32), ("lefts", np.int32), ("sizes", np.int32)))
         data = table.column("bytes").to_pylist()
-        source = np.searchsorted(cut, first, side="right") - 1
-        begin = np.cumsum(sizes.astype(np.int64)) - sizes
-        begin = begin - begin[np.minimum(cut[:-1], len(begin) - 1)][np.searchsorted(cut, np.arange(len(sizes)), side="right") - 1]
-        seed_, windows, size, begin = seed_[first], windows[first].astype(np.int64), sizes[first], begin[first]
-        texts = [data[s][a : a + z] for s, a, z in zip(source.tolist(), begin.tolist(), size.tolist(), strict=True)]
-        order = np.argsort(seed_, kind="stable")
-        new = np.flatnonzero(np.concatenate([[True], np.diff(seed_[order]) != 0]))
-        groups = np.diff(np.append(new, len(order)))
-        flagged: list = [np.ones(w, bool) if c else None for w, c in zip(windows.tolist(), copies.tolist(), strict=True)]
-        batch: list[int] = []
-        held = 0
+        source = np.repeat(np.arange(len(data)), [len(x) for x in each])
+        end = np.cumsum(sizes.astype(np.int64))
+        begin = end - sizes - np.concatenate([[0], end])[cut[:-1]][source]
+        # every stretch is in the index, and once more if its group of documents holds it twice
+        row = np.concatenate([np.arange(len(seed_)), np.flatnonzero(many)])
+        row = row[np.argsort(seed_[row], kind="stable")]
+        new = np.flatnonzero(np.concatenate([[True], np.diff(seed_[row]) != 0]))
+        groups = np.diff(np.append(new, len(row)))
+        found: dict[int, np.ndarray] = {}
 
-        def close():
-            ix = RunLengthIndex([texts[k] for k in batch], windows[batch])
-            hit = ix.matches(length)
-            for k, a, w in zip(batch, ix.base.tolist(), ix.windows.tolist(), strict=True):
-                if flagged[k] is None:
-                    flagged[k] = hit[a : a + w]
+        def close(members: list[tuple[int, int]]) -> None:
+            rows = np.concatenate([row[a : a + c] for a, c in members])
+            texts = [data[source[k]][begin[k] : begin[k] + sizes[k]] for k in rows.tolist()]
+            hit = RunLengthIndex(texts, np.repeat(np.arange(len(members)), [c for _, c in members]), left[rows].astype(np.int64)).matches(length)
+            first = int(left[rows].max()) - left[rows]
+            for i in np.flatnonzero(hit.any(axis=1)).tolist():
+                found[int(rows[i])] = hit[i, first[i] : first[i] + windows[rows[i]]]
 
+        members, size = [], 0
         for a, c in zip(new.tolist(), groups.tolist(), strict=True):
-            own = order[a : a + c].tolist()
-            if c == 1 or all(copies[k] for k in own):
-                continue  # one stretch, or all of them occur twice: nothing to look up
-            batch += own
-            held += sum(len(texts[k]) for k in own)
-            if held > INDEX_BYTES:
-                close()
-                batch, held = [], 0
-        if batch:
-            close()
-        runs = []
-        for f in flagged:
-            if f is None or not f.any():
-                runs.append((np.zeros(0, np.int32), np.zeros(0, np.int32)))
-            else:
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], f.view(np.int8), [0]])))
-                runs.append((edge[::2].astype(np.int32), (edge[1::2] - edge[::2]).astype(np.int32)))
+            if c == 1:
+                continue  # nothing to match
+            members.append((a, c))
+            size += c
+            if size > INDEX_ROWS or len(members) == GROUPS:
+                close(members)
+                members, size = [], 0
+        if members:
+            close(members)
         out = []
-        for g, a, b in zip(gs, cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            w = where[a:b].tolist()
-            parts = [runs[k] for k in w]
-            out.append((0, g, _blob(np.repeat(keys[w], [len(p[0]) for p in parts])), b"".join(p[0].tobytes() for p in parts), b"".join(p[1].tobytes() for p in parts)))
+        for g, x, a, b in zip(gs, each, cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            own, starts, counts = [], [], []
+            for k in range(a, b):
+                if k in found:
+                    edge = np.flatnonzero(np.diff(np.concatenate([[0], found[k].view(np.int8), [0]])))
+                    own.append(np.full(len(edge) // 2, x[k - a]))
+                    starts.append(edge[::2].astype(np.int32))
+                    counts.append((edge[1::2] - edge[::2]).astype(np.int32))
+            out.append((0, g, *(b"".join(z.tobytes() for z in y) for y in (own, starts, counts))))
         return _rows(_ANSWERS, out)
 
     def cut_out(table: pa.Table, answers: pa.Table) -> pa.Table:

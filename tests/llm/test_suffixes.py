@@ -63,23 +63,21 @@ def test_kept_bytes_and_empty(corpus, words):
 
 def test_index_of_stretches():
     rng = random.Random(5)
-    for _ in range(40):
-        text = "".join(rng.choice("ab") for _ in range(rng.randrange(30, 120)))
-        texts, windows = [], []
-        for _ in range(12):
-            a = rng.randrange(len(text) - 20)
-            t = list(text[a : a + 20])
-            if rng.random() < 0.5:
-                t[rng.randrange(20)] = "c"
-            texts.append("".join(t).encode())
-            windows.append(rng.randrange(1, 13))
-        ix = RunLengthIndex(texts, np.array(windows))
-        all_ = [t[i:] for t, n in zip(texts, windows, strict=True) for i in range(n)]
-        for length in (4, 6, 8):
-            # any place of a stretch is a true match; what starts at an indexed place must be found
-            at_least = [any(s[:length] == o[:length] for j, o in enumerate(all_) if j != i) for i, s in enumerate(all_)]
-            got = ix.matches(length)
-            for i, s in enumerate(all_):
-                assert got[i] or not at_least[i]
-                if got[i]:
-                    assert sum(t[j : j + length] == s[:length] for t in texts for j in range(len(t) - length + 1)) > 1
+    some = lambda n: "".join(rng.choice("ab") for _ in range(n))
+    for _ in range(60):
+        texts, group, left = [], [], []
+        for g in range(rng.randrange(1, 5)):
+            seed, around = some(6), some(20)
+            for _ in range(rng.randrange(1, 9)):
+                before, after = (around[:10] if rng.random() < 0.6 else some(10))[rng.randrange(8) :], (around[10:] if rng.random() < 0.6 else some(10))[: rng.randrange(1, 10)]
+                texts.append((before + seed + after).encode())
+                group.append(g)
+                left.append(len(before))
+        got = RunLengthIndex(texts, np.array(group), np.array(left)).matches(10)
+        most = max(left)
+        for i, t in enumerate(texts):
+            for c in range(most + 1):
+                at = c - most + left[i]
+                own = t[at : at + 10] if at >= 0 else b""
+                want = len(own) == 10 and any(o[x : x + 10] == own for j, o in enumerate(texts) if j != i and group[j] == group[i] and (x := c - most + left[j]) >= 0)
+                assert got[i, c] == want
