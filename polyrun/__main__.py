@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import time
 
 from pyspark.sql import SparkSession
 
@@ -41,6 +42,10 @@ def main(argv: list[str] | None = None) -> None:
         raise SystemExit("no reference sequence: give --fasta, or an annotation with sequences")
     run = TractPipeline(read_samples(spark, a.reads, a.paired), contigs, gff.read_features(spark, a.gff), options)
     names = dict(enumerate(simplified_names([sample_name(x) for x in (a.reads[: len(a.reads) // 2 * 2 : 2] if a.paired else a.reads)])))
+    started = time.time()
+    for r in run.mapping_counts.orderBy("sample_idx").collect():  # a row per sample
+        print(f"{names[r.sample_idx]}: contexts found {r.contexts_found}, not found {r.contexts_not_found}; with lengths, {r.elements_found} and {r.elements_not_found}")
+    print(f"samples with tracts: {len(run.samples)} of {len(names)}; counted and mapped in {time.time() - started:.1f} s")
     out = sinks.output_dir(a.outdir)
     tables = {"average_length": ("mean_length", 2), "modal_frequency": ("modal_freq", 2), "proportional_coverage": ("prop_coverage", 5)}
     for name, (value, decimals) in tables.items():
@@ -53,6 +58,7 @@ def main(argv: list[str] | None = None) -> None:
     sinks.write_tsv(selected.where("GFF3_info is null").drop("GFF3_info"), out + "selected_tracts_unknown.tsv")
     if options.vcf:
         sinks.write_vcf(run.vcf, contigs, names, out + "vcf")
+    print(f"reports in {out}, {time.time() - started:.1f} s in all")
 
 
 if __name__ == "__main__":

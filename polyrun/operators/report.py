@@ -36,6 +36,12 @@ def selected_table(selected: DataFrame, concat: DataFrame) -> DataFrame:
     return selected.join(first, "tract_id").select(tract_label("tract_id").alias("tract_id"), "GFF3_info", "begin_context", F.col("n_hist").alias("n_genomes"), "lev_distance", *[F.col(a).alias(b) for a, b in spread.items()])
 
 
+def tract_samples(concat: DataFrame) -> DataFrame:
+    """tract_id, n_samples and the samples (ascending, separated by commas) that have the tract; a list is as long as there are samples at most."""
+    own = concat.groupBy("tract_id").agg(F.sort_array(F.collect_set("sample_idx")).alias("s"))
+    return own.select("tract_id", F.size("s").cast("long").alias("n_samples"), F.array_join(F.transform("s", lambda x: x.cast("string")), ",").alias("samples"))
+
+
 def bed(tract_ref: DataFrame, contigs: DataFrame, variable: DataFrame, k: int) -> DataFrame:
     """contig, start, end, label of variable tracts."""
     d = tract_ref.join(variable.where("variable").select("tract_id"), "tract_id").join(contigs.select("ref_id", "contig"), "ref_id")

@@ -53,6 +53,9 @@ class TractPipeline:
         h = cluster.merge_histograms(cluster.cluster_contexts(self.located, self.options), self.options)
         h = h.withColumn("hist", F.map_from_entries("lengths")).drop("lengths")
         if self.features is not None:
+            unknown = [r.contig for r in self.features.join(self.contigs, "contig", "left_anti").select("contig").distinct().orderBy("contig").limit(5).collect()]
+            if unknown:
+                raise ValueError(f"features lie on contigs that the reference does not have: {', '.join(map(str, unknown))}")
             h = h.join(self.contigs.select("ref_id", "contig"), "ref_id").withColumn("position", F.col("loc_pos") + self.options.kmer)
             h = annotate.with_feature(h, self.features, ["sample_idx", "location"]).drop("contig", "position")
         else:
@@ -61,8 +64,17 @@ class TractPipeline:
 
     @cached_property
     def samples(self) -> list[int]:
-        """Samples with a histogram."""
-        return sorted(r.sample_idx for r in self.histograms.select("sample_idx").distinct().collect())
+        """Samples with a histogram; the others are left out, and it is an error if none is left."""
+        found = sorted(r.sample_idx for r in self.histograms.select("sample_idx").distinct().collect())
+        if not found:
+            counts_ = "; ".join(f"sample {r.sample_idx}: {r.contexts_found} contexts found on the reference, {r.contexts_not_found} not" for r in self.mapping_counts.orderBy("sample_idx").limit(20).collect())
+            raise ValueError(f"no sample has a tract that passes the filters and lies on the reference ({counts_ or 'no tract passes the strand or depth filter'})")
+        return found
+
+    @cached_property
+    def mapping_counts(self) -> DataFrame:
+        """Contexts and elements of each sample that are found on the reference, and those that are not."""
+        return mapping.mapping_counts(self.elements, self.located)
 
     @cached_property
     def concat(self) -> DataFrame:

@@ -280,6 +280,11 @@ def tracts_per_report(spark, d):
     return ref.join(v, "tract_id").join(derived.contigs(spark, d).select("ref_id", "contig"), "ref_id").groupBy("contig").agg(F.count("*").alias("listed"), F.sum(F.col("variable").cast("long")).alias("variable"))
 
 
+def tract_samples(spark, d):
+    """The samples that have each tract."""
+    return report.tract_samples(_simple_concat(spark, d))
+
+
 def context_evidence(spark, d):
     """Contexts behind every tract with the counts of each length: what a debug dump joined to the matrices tells."""
     c = _simple_concat(spark, d)
@@ -501,6 +506,7 @@ def oracle_sql():
             SELECT sample_idx, count(*) FILTER (found) AS contexts_found, count(*) FILTER (NOT found) AS contexts_not_found, CAST(coalesce(sum(n) FILTER (found), 0) AS BIGINT) AS elements_found, CAST(coalesce(sum(n) FILTER (NOT found), 0) AS BIGINT) AS elements_not_found FROM c GROUP BY 1""",
         "tract_by_id": f"WITH {ref} SELECT t.tract_id, contig_name, location_in_contig, feature, sample_idx, arg_max(mean_length, concat_idx) AS mean_length, arg_max(modal_freq, concat_idx) AS modal_freq FROM tract_list t JOIN stat s ON t.tract_id = printf('tid_%06d', s.tract_id) GROUP BY ALL",
         "tracts_per_report": f"WITH {ref} SELECT contig, count(*) AS listed, CAST(sum(CASE WHEN variable THEN 1 ELSE 0 END) AS BIGINT) AS variable FROM ref_ht JOIN variable USING (tract_id) JOIN contigs USING (ref_id) GROUP BY 1",
+        "tract_samples": f"WITH {_MAPPED} SELECT tract_id, count(*) AS n_samples, string_agg(CAST(sample_idx AS VARCHAR), ',' ORDER BY sample_idx) AS samples FROM (SELECT DISTINCT tract_id, sample_idx FROM stat) GROUP BY 1",
         "context_evidence": f"WITH {_MAPPED} SELECT tract_id, sample_idx, name, n_lengths, integral, mode_length, mode_count, mean_length FROM stat",
         "pairwise_histogram_distance": f"WITH {_MAPPED} SELECT a.tract_id, a.concat_idx AS a, b.concat_idx AS b, {d1} AS d1, pow(a.mean_length - b.mean_length, 2) AS d2 FROM stat a JOIN stat b ON a.tract_id = b.tract_id AND a.concat_idx < b.concat_idx",
         "pivot_average_length": pivot("mean_length"),

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,6 +7,7 @@ from polyrun.functions import dna
 from polyrun.functions.similarity import best_edit_distance, diagonal_scores, pattern_distance
 from polyrun.operators import annotate, mapping, reference, report, stats
 from polyrun.options import Options
+from polyrun.plans.pipeline import TractPipeline
 
 
 def one(spark, *columns):
@@ -93,3 +96,16 @@ def test_queries_match_sql(spark, name):
     tidy = lambda v: f"{v:.9g}" if isinstance(v, float) else str(v)
     assert sorted(df.columns) == sorted(cols)
     assert sorted(tuple(tidy(r[c]) for c in cols) for r in df.collect()) == sorted(tuple(map(tidy, r)) for r in cur.fetchall())
+
+
+def test_run_without_tracts_or_with_unknown_contigs_stops(spark):
+    rng = random.Random(1)
+    genome = "".join(rng.choice("ACGT") for _ in range(400))
+    c = contigs(spark, genome)
+    empty = TractPipeline(spark.createDataFrame([(0, "ACGTACGTACGT")], "sample_idx int, seq string"), c, None, Options(kmer=5, min_tract=3, min_reads=1))
+    with pytest.raises(ValueError, match="no sample has a tract"):
+        empty.samples  # noqa: B018
+    lost = spark.createDataFrame([("nowhere", "gene", 1, 9, "g")], "contig string, type string, start int, end int, feature_id string")
+    run = TractPipeline(spark.createDataFrame([(0, genome)], "sample_idx int, seq string"), c, lost, Options(kmer=5, min_tract=3, min_reads=1))
+    with pytest.raises(ValueError, match="nowhere"):
+        run.histograms  # noqa: B018
