@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -99,18 +100,20 @@ class FactorizationMachine:
         """
         rng = np.random.default_rng(seed)
         blank = 1 + len(rows) // 200
-        rows, label = [*rows, *[np.zeros(0, np.int64)] * blank], np.append(label, np.zeros(blank, label.dtype))
-        n = len(rows)
-        size = np.fromiter(map(len, rows), np.int64, n)
-        flat, text = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64), np.repeat(np.arange(n), size)
-        w, b = _weights(flat, text, label.astype(np.float64), len(terms))
-        residual = label - _sigmoid(b + np.bincount(text, w[flat], n))
-        v = _directions(flat, text, size, residual, len(terms), rng)
+        label = np.append(label, np.zeros(blank, label.dtype))
+        x = _Terms([*rows, *[np.zeros(0, np.int32)] * blank], len(terms))
+        n = x.n
+        w, b = _weights(x, label.astype(np.float64))
+        residual = label - _sigmoid(b + x.dot(w))
+        v = _directions(x, residual, rng)
         live = np.flatnonzero((w != 0) | (np.abs(v).sum(axis=1) > 0))
         w, v = w[live], 0.3 * v[live] + rng.normal(0, 0.01, (len(live), FACTORS))
-        at = np.minimum(np.searchsorted(live, flat), max(len(live) - 1, 0))
-        held = live[at] == flat if len(live) else np.zeros(len(flat), bool)
-        flat, text = at[held], text[held]
+        to = np.full(len(terms), -1, np.int32)
+        to[live] = np.arange(len(live))
+        at = to[x.flat]
+        text = np.repeat(np.arange(n, dtype=np.int32), x.size)[at >= 0].astype(np.int64)
+        flat = at[at >= 0].astype(np.int64)
+        del x, at
         size = np.bincount(text, minlength=n)
         start = np.cumsum(size) - size
         gw, gv, gb = np.full(len(live), 1e-3), np.full(v.shape, 1e-3), 1e-3
@@ -160,20 +163,46 @@ def _calibrated(raw: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     return float(at[0]), float(at[1])
 
 
-def _weights(flat: np.ndarray, text: np.ndarray, label: np.ndarray, k: int, rounds: int = 60) -> tuple[np.ndarray, float]:
+class _Terms:
+    """Terms of texts as one flat array; sums over the terms of texts, and over the texts of terms, in blocks of bounded size."""
+
+    def __init__(self, rows: list[np.ndarray], k: int, block: int = 1 << 20) -> None:
+        self.n, self.k = len(rows), k
+        self.size = np.fromiter(map(len, rows), np.int64, self.n)
+        self.flat = np.concatenate([*rows, np.zeros(0, np.int32)]).astype(np.int32)
+        end = np.cumsum(self.size)
+        self.start = end - self.size
+        cut = np.flatnonzero(np.diff(end // block)) + 1
+        self.blocks = list(zip([0, *cut.tolist()], [*cut.tolist(), self.n], strict=True))
+
+    def _block(self, a: int, z: int) -> np.ndarray:
+        return self.flat[self.start[a] : self.start[z - 1] + self.size[z - 1]].astype(np.int64)
+
+    def dot(self, v: np.ndarray) -> np.ndarray:
+        out = []
+        for a, z in self.blocks:
+            sums = np.concatenate([[0.0], np.cumsum(v[self._block(a, z)])])
+            at = self.start[a:z] - self.start[a]
+            out.append(sums[at + self.size[a:z]] - sums[at])
+        return np.concatenate(out)
+
+    def back(self, g: np.ndarray) -> np.ndarray:
+        return sum((np.bincount(self._block(a, z), np.repeat(g[a:z], self.size[a:z]), self.k) for a, z in self.blocks), np.zeros(self.k))
+
+
+def _weights(x: _Terms, label: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the log loss plus WEIGHT_GAIN * sum of |weight|, by accelerated proximal steps on all texts.
 
     Steps are scaled per term by how often it occurs times the terms of its texts, which bounds the curvature.
     """
     n = len(label)
-    size = np.bincount(text, minlength=n)
-    curve = np.maximum(np.bincount(flat, (size[text] + 1.0), k) / 4, 1e-9)
-    curve_b = max((size + 1).sum() / 4, 1.0)
-    w, b = np.zeros(k), float(np.log((label.sum() + 0.5) / (n - label.sum() + 0.5)))
+    curve = np.maximum(x.back(x.size + 1.0) / 4, 1e-9)
+    curve_b = max((x.size + 1).sum() / 4, 1.0)
+    w, b = np.zeros(x.k), float(np.log((label.sum() + 0.5) / (n - label.sum() + 0.5)))
     y, yb, t = w, b, 1.0
     for _ in range(rounds):
-        g = _sigmoid(yb + np.bincount(text, y[flat], n)) - label
-        z = y - np.bincount(flat, g[text], k) / curve
+        g = _sigmoid(yb + x.dot(y)) - label
+        z = y - x.back(g) / curve
         new = np.sign(z) * np.maximum(np.abs(z) - WEIGHT_GAIN / curve, 0)
         new_b = yb - g.sum() / curve_b
         after = (1 + np.sqrt(1 + 4 * t * t)) / 2
@@ -182,25 +211,23 @@ def _weights(flat: np.ndarray, text: np.ndarray, label: np.ndarray, k: int, roun
     return w, b
 
 
-def _directions(flat: np.ndarray, text: np.ndarray, size: np.ndarray, residual: np.ndarray, k: int, rng, rounds: int = 24) -> np.ndarray:
-    """k x FACTORS: sparse leading directions of the residuals' pairs of terms, by truncated power steps; those of too little gain are zero.
+def _directions(x: _Terms, residual: np.ndarray, rng, rounds: int = 24) -> np.ndarray:
+    """terms x FACTORS: sparse leading directions of the residuals' pairs of terms, by truncated power steps; those of too little gain are zero.
 
     A text counts by 1 / its terms, so that one long text is no direction of its own.
     """
-    n = len(residual)
-    scale = 1 / np.sqrt(np.maximum(size, 1))
-    own = np.bincount(flat, (residual / np.maximum(size, 1))[text], k)
-    out = np.zeros((k, FACTORS))
-    if not len(flat):
+    part = residual / np.maximum(x.size, 1)
+    own = x.back(part)
+    out = np.zeros((x.k, FACTORS))
+    if not len(x.flat):
         return out
     gains: list[float] = []
     for c in range(FACTORS):
-        v = rng.normal(0, 1, k)
+        v = rng.normal(0, 1, x.k)
         v /= np.linalg.norm(v)
         gain = 0.0
         for step in range(rounds):
-            s = np.bincount(text, v[flat], n) * scale
-            u = np.bincount(flat, (residual * s * scale)[text], k) - own * v
+            u = x.back(part * x.dot(v)) - own * v
             for d, was in enumerate(gains):
                 u -= was * (out[:, d] @ v) * out[:, d]
             gain = float(v @ u)
@@ -224,29 +251,37 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     ids = ids.where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = checkpointed(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id").select("toxic", "text")
+    texts = checkpointed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id").select("toxic", "text"))
 
-    def found(batches):
+    def counted(batches):
         table = WordTable(_encoder(None))
+        for part, text, word in _distinct_words(batches, table):
+            n = table.length[word]
+            pair = np.unique(np.repeat(text, n) * BUCKETS + table.flat[ragged(table.start[word], n)])
+            term, many = np.unique(pair % BUCKETS, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(many)], names=["term", "n"])
+
+    shared = texts.mapInArrow(counted, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).where("n > 1").select("term").toArrow()
+    terms = np.sort(shared.column("term").to_numpy())
+    sent = docs.sparkSession.sparkContext.broadcast(terms)  # bounded by the sample
+
+    def found(batches):
+        table = WordTable(_encoder(sent.value))
         for part, text, word in _distinct_words(batches, table):
             n = table.length[word]
             cut = np.concatenate([[0], np.cumsum(np.bincount(text, n, part.num_rows))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.ListArray.from_arrays(pa.array(cut), pa.array(table.flat[ragged(table.start[word], n)].astype(np.int32)))], names=["toxic", "terms"])
+            flat = table.flat[ragged(table.start[word], n)].astype(np.int32)
+            flat = flat[np.lexsort((flat, np.repeat(text, n)))]
+            key = [xxhash.xxh64_intdigest(flat[a:z].tobytes()) >> 1 for a, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(key, pa.int64()), pa.ListArray.from_arrays(pa.array(cut), pa.array(flat))], names=["toxic", "key", "terms"])
 
-    rows = checkpointed(texts.mapInArrow(found, "toxic int, terms array<int>")).toArrow()
+    rows = texts.mapInArrow(found, "toxic int, key long, terms array<int>").toArrow()
     label = rows.column("toxic").to_numpy()
     if not 0 < label.sum() < len(label):
         return FactorizationMachine(np.zeros(0, np.int64), 20.0 if label.sum() else -20.0, np.zeros(0), np.zeros((0, FACTORS)))
-    lists = rows.column("terms").combine_chunks()
-    size = np.diff(lists.offsets.to_numpy())
-    terms, flat = np.unique(lists.flatten().to_numpy(), return_inverse=True)
-    text = np.repeat(np.arange(len(size)), size)
-    pairs = np.unique(text * len(terms) + flat)
-    shared = np.bincount(pairs % len(terms), minlength=len(terms)) > 1
-    flat, text = (np.cumsum(shared) - 1)[flat[shared[flat]]], text[shared[flat]]
-    each = np.split(flat, np.cumsum(np.bincount(text, minlength=len(size)))[:-1])
-    order = sorted(range(len(each)), key=lambda i: (label[i], each[i].tobytes()))  # the order of tasks does not matter
-    return FactorizationMachine.learn(terms[shared].astype(np.int64), [each[i] for i in order], label[order])
+    each = [x for c in rows.column("terms").chunks for x in np.split(c.flatten().to_numpy(), (c.offsets.to_numpy() - c.offsets[0].as_py())[1:-1])]
+    order = np.lexsort((rows.column("key").to_numpy(), label))  # the order of tasks does not matter
+    return FactorizationMachine.learn(terms, [each[i] for i in order.tolist()], label[order])
 
 
 def _scorer(spark, model: FactorizationMachine):
