@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ FACTORS = 4
 BUCKETS = 1 << 30
 #: Least sum of gradients that lets a term have a weight, and a group of terms a factor.
 WEIGHT_GAIN, FACTOR_GAIN = 10.0, 3.0
+#: Parts in which the driver fetches the sample's terms.
+PARTS = 8
 #: Learning rate of weights; factors learn at a fifth of it.
 RATE = 0.5
 #: Lengths of word beginnings that are terms besides whole words (inflected and compound words).
@@ -98,10 +101,16 @@ class FactorizationMachine:
         can gain, whether or not their terms gain alone. Weights and factors of the terms that are left are then learned together.
         One text in two hundred is blank and not toxic, so that the bias says what nothing but the absence of terms tells.
         """
+        return cls._learn(terms, np.concatenate([*rows, np.zeros(0, np.int32)]), np.fromiter(map(len, rows), np.int64, len(rows)), label, steps, seed)
+
+    @classmethod
+    def _learn(cls, terms: np.ndarray, flat: np.ndarray, size: np.ndarray, label: np.ndarray, steps: int = 2000, seed: int = 3) -> FactorizationMachine:
+        """As learn(), of the terms of all texts in one array and how many each text has."""
         rng = np.random.default_rng(seed)
-        blank = 1 + len(rows) // 200
+        blank = 1 + len(size) // 200
         label = np.append(label, np.zeros(blank, label.dtype))
-        x = _Terms([*rows, *[np.zeros(0, np.int32)] * blank], len(terms))
+        x = _Terms(flat, np.append(size, np.zeros(blank, np.int64)), len(terms))
+        del flat
         n = x.n
         w, b = _weights(x, label.astype(np.float64))
         residual = label - _sigmoid(b + x.dot(w))
@@ -110,10 +119,13 @@ class FactorizationMachine:
         w, v = w[live], 0.3 * v[live] + rng.normal(0, 0.01, (len(live), FACTORS))
         to = np.full(len(terms), -1, np.int32)
         to[live] = np.arange(len(live))
-        at = to[x.flat]
-        text = np.repeat(np.arange(n, dtype=np.int32), x.size)[at >= 0].astype(np.int64)
-        flat = at[at >= 0].astype(np.int64)
-        del x, at
+        flat, text = [], []
+        for a, z in x.blocks:
+            at = to[x.block(a, z)]
+            flat.append(at[at >= 0].astype(np.int64))
+            text.append(np.repeat(np.arange(a, z), x.size[a:z])[at >= 0])
+        flat, text = np.concatenate(flat), np.concatenate(text)
+        del x
         size = np.bincount(text, minlength=n)
         start = np.cumsum(size) - size
         gw, gv, gb = np.full(len(live), 1e-3), np.full(v.shape, 1e-3), 1e-3
@@ -166,28 +178,28 @@ def _calibrated(raw: np.ndarray, label: np.ndarray) -> tuple[float, float]:
 class _Terms:
     """Terms of texts as one flat array; sums over the terms of texts, and over the texts of terms, in blocks of bounded size."""
 
-    def __init__(self, rows: list[np.ndarray], k: int, block: int = 1 << 20) -> None:
-        self.n, self.k = len(rows), k
-        self.size = np.fromiter(map(len, rows), np.int64, self.n)
-        self.flat = np.concatenate([*rows, np.zeros(0, np.int32)]).astype(np.int32)
+    def __init__(self, flat: np.ndarray, size: np.ndarray, k: int, block: int = 1 << 20) -> None:
+        self.n, self.k = len(size), k
+        self.size = size.astype(np.int64)
+        self.flat = flat.astype(np.int32, copy=False)
         end = np.cumsum(self.size)
         self.start = end - self.size
         cut = np.flatnonzero(np.diff(end // block)) + 1
         self.blocks = list(zip([0, *cut.tolist()], [*cut.tolist(), self.n], strict=True))
 
-    def _block(self, a: int, z: int) -> np.ndarray:
+    def block(self, a: int, z: int) -> np.ndarray:
         return self.flat[self.start[a] : self.start[z - 1] + self.size[z - 1]].astype(np.int64)
 
     def dot(self, v: np.ndarray) -> np.ndarray:
         out = []
         for a, z in self.blocks:
-            sums = np.concatenate([[0.0], np.cumsum(v[self._block(a, z)])])
+            sums = np.concatenate([[0.0], np.cumsum(v[self.block(a, z)])])
             at = self.start[a:z] - self.start[a]
             out.append(sums[at + self.size[a:z]] - sums[at])
         return np.concatenate(out)
 
     def back(self, g: np.ndarray) -> np.ndarray:
-        return sum((np.bincount(self._block(a, z), np.repeat(g[a:z], self.size[a:z]), self.k) for a, z in self.blocks), np.zeros(self.k))
+        return sum((np.bincount(self.block(a, z), np.repeat(g[a:z], self.size[a:z]), self.k) for a, z in self.blocks), np.zeros(self.k))
 
 
 def _weights(x: _Terms, label: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, float]:
@@ -275,13 +287,22 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
             key = [xxhash.xxh64_intdigest(flat[a:z].tobytes()) >> 1 for a, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(key, pa.int64()), pa.ListArray.from_arrays(pa.array(cut), pa.array(flat))], names=["toxic", "key", "terms"])
 
-    rows = texts.mapInArrow(found, "toxic int, key long, terms array<int>").toArrow()
-    label = rows.column("toxic").to_numpy()
+    # fetched in parts, each in the order of a hash of its terms: the order of tasks does not matter
+    encoded = checkpointed(texts.mapInArrow(found, "toxic int, key long, terms array<int>"))
+    flat, size, label = [], [], []
+    for part in range(PARTS):
+        got = encoded.where(F.pmod("key", F.lit(PARTS)) == part).toArrow()
+        order = pa.compute.sort_indices(got, [("toxic", "ascending"), ("key", "ascending")])
+        lists = got.column("terms").take(order)
+        size.append(pa.compute.list_value_length(lists).to_numpy())
+        flat.append(lists.combine_chunks().flatten().to_numpy().copy() if len(lists) else np.zeros(0, np.int32))
+        label.append(got.column("toxic").take(order).to_numpy())
+        del got, lists
+        pa.default_memory_pool().release_unused()
+    label = np.concatenate(label)
     if not 0 < label.sum() < len(label):
         return FactorizationMachine(np.zeros(0, np.int64), 20.0 if label.sum() else -20.0, np.zeros(0), np.zeros((0, FACTORS)))
-    each = [x for c in rows.column("terms").chunks for x in np.split(c.flatten().to_numpy(), (c.offsets.to_numpy() - c.offsets[0].as_py())[1:-1])]
-    order = np.lexsort((rows.column("key").to_numpy(), label))  # the order of tasks does not matter
-    return FactorizationMachine.learn(terms, [each[i] for i in order.tolist()], label[order])
+    return FactorizationMachine._learn(terms, np.concatenate(flat), np.concatenate(size), label)
 
 
 def _scorer(spark, model: FactorizationMachine):
