@@ -254,8 +254,8 @@ def write_token_ids(docs: DataFrame, out: str, path: str, end_id: int = 1, parts
     """Writes the ids of all texts to out as Parquet, in ascending doc_id order (nulls first; of equal ids the shorter text first).
 
     File format: part (int, the range that the row is in), doc_id, start_in_part, n_tokens, ids (list of int).
-    Ranges of doc_id are encoded each by one task in order, and its file holds part, start_in_part and n_tokens as
-    delta-encoded and ids as dictionary-encoded columns, in row groups of 32 MB with page indexes, so that a
+    Ranges of doc_id are encoded each by one task in order, and its file holds doc_id, start_in_part and n_tokens as
+    delta-encoded, part and ids as dictionary-encoded columns, in row groups of 32 MB with page indexes, so that a
     reader of counts or of some documents fetches no other pages. Null and empty texts hold only the end id.
     """
     spark = docs.sparkSession
