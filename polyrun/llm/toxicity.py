@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from .common import byte_values, checkpointed, pieces, ragged
 from .tokens import WordTable, _per_text, _split
 
-#: Labelled rows that are learned from, at most: those of smallest hash of doc_id.
-SAMPLE_ROWS = 24_000
+#: Labelled rows that are learned from, at most: those of smallest hash of doc_id. The driver holds about 4 kB of terms of each.
+SAMPLE_ROWS = 16_000
 FACTORS = 4
 BUCKETS = 1 << 30
 #: Least sum of gradients that lets a term have a weight, and a group of terms a factor.
@@ -289,20 +289,24 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
     # fetched in parts, each in the order of a hash of its terms: the order of tasks does not matter
     encoded = checkpointed(texts.mapInArrow(found, "toxic int, key long, terms array<int>"))
-    flat, size, label = [], [], []
+    total = int(encoded.agg(F.sum(F.size("terms"))).first()[0] or 0)
+    flat, at, size, label = np.empty(total, np.int32), 0, [], []
     for part in range(PARTS):
         got = encoded.where(F.pmod("key", F.lit(PARTS)) == part).toArrow()
         order = pa.compute.sort_indices(got, [("toxic", "ascending"), ("key", "ascending")])
         lists = got.column("terms").take(order)
         size.append(pa.compute.list_value_length(lists).to_numpy())
-        flat.append(lists.combine_chunks().flatten().to_numpy().copy() if len(lists) else np.zeros(0, np.int32))
+        for chunk in lists.chunks:
+            own = chunk.flatten().to_numpy()
+            flat[at : at + len(own)] = own
+            at += len(own)
         label.append(got.column("toxic").take(order).to_numpy())
         del got, lists
         pa.default_memory_pool().release_unused()
     label = np.concatenate(label)
     if not 0 < label.sum() < len(label):
         return FactorizationMachine(np.zeros(0, np.int64), 20.0 if label.sum() else -20.0, np.zeros(0), np.zeros((0, FACTORS)))
-    return FactorizationMachine._learn(terms, np.concatenate(flat), np.concatenate(size), label)
+    return FactorizationMachine._learn(terms, flat, np.concatenate(size), label)
 
 
 def _scorer(spark, model: FactorizationMachine):
