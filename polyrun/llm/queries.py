@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
+from .alignment import alignment
 from .common import table
 from .decontaminate import contamination
 from .exact_dedup import owners
@@ -17,6 +18,8 @@ from .toxicity import toxicity
 
 #: The vocabulary of the token queries.
 VOCABULARY = "word_bpe_49k.json"
+#: Those of the aligned tokenizers.
+ALIGNED = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 
 
 def op1_simhash(spark, sf_dir):
@@ -59,6 +62,10 @@ def op10_suffix_dedup(spark, sf_dir):
     return repeats(table(spark, sf_dir, "documents"))
 
 
+def op13_alignment(spark, sf_dir):
+    return alignment(table(spark, sf_dir, "documents"), *map(public_tokenizers.path, ALIGNED))
+
+
 def queries():
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
