@@ -15,6 +15,7 @@ from .substrings import parsed
 from .suffixes import repeats
 from .tokens import read_token_ids, token_counts, token_id_files, with_crc32
 from .toxicity import toxicity
+from .vector_codes import vector_codes
 
 #: The vocabulary of the token queries.
 VOCABULARY = "word_bpe_49k.json"
@@ -62,6 +63,10 @@ def op10_suffix_dedup(spark, sf_dir):
     return repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark, sf_dir):
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 def op13_alignment(spark, sf_dir):
     return alignment(table(spark, sf_dir, "documents"), *map(public_tokenizers.path, ALIGNED))
 
@@ -70,6 +75,30 @@ def queries():
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
+def _vector_codes_sql(rounds=2):
+    """Vectors of 64 components: p has a row per part, c0, c1, ... are the codebooks, a0, a1, ... the nearest entries."""
+    x = ("a", "b", "c", "d")
+    near = "min(({}) * 64 + entry)".format(" + ".join(f"(p.{k} - c.{k}) * (p.{k} - c.{k})" for k in x))
+    sql = f"""
+            WITH k AS (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id NULLS LAST, v) AS r, v FROM (
+                    SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256.0::DOUBLE * x) AS BIGINT)) AS v FROM embeddings
+                    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)),
+            p AS (SELECT r, vec_id, label, part, {", ".join(f"v[4 * part + {i + 1}] AS {k}" for i, k in enumerate(x))} FROM k, range(16) AS t(part)),
+            c0 AS (SELECT part, r - 1 AS entry, a, b, c, d FROM p WHERE r <= 64)"""
+    for i in range(rounds + 1):
+        sql += f""",
+            a{i} AS (SELECT p.r, p.part, {near} AS x FROM p JOIN c{i} c USING (part) GROUP BY ALL)"""
+        if i < rounds:
+            sql += f""",
+            m{i} AS (SELECT part, x % 64 AS entry, {", ".join(f"CAST(floor(sum({k}) / CAST(count(*) AS DOUBLE)) AS BIGINT) AS {k}" for k in x)} FROM a{i} JOIN p USING (r, part) GROUP BY 1, 2),
+            c{i + 1} AS (SELECT part, entry, {", ".join(f"coalesce(m.{k}, c.{k}) AS {k}" for k in x)} FROM c{i} c LEFT JOIN m{i} m USING (part, entry))"""
+    return f"""{sql},
+            e AS (SELECT r, string_agg(printf('%02x', x % 64), '' ORDER BY part) AS code, CAST(sum(x // 64) AS BIGINT) AS error FROM a{rounds} GROUP BY r)
+            SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+                   (SELECT sha256(string_agg(concat_ws(',', a, b, c, d), ',' ORDER BY part, entry)) FROM c{rounds}) AS codebooks_sha256
+            FROM e JOIN k USING (r)"""
+
+
 def oracle_sql():
     return {
         "op2_substring_dedup": r"""
@@ -114,4 +143,5 @@ def oracle_sql():
             k AS (SELECT r, sum(z - a) AS gone, count(*) AS spans, max(z) AS last, string_agg(substr(h, 2 * f + 1, 2 * (a - f)), '' ORDER BY a) AS kept FROM y JOIN b USING (r) GROUP BY r)
             SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
                    sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM b LEFT JOIN k USING (r)""",
+        "op11_vector_codes": _vector_codes_sql(),
     }
