@@ -112,3 +112,19 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         raise RuntimeError("components: more rounds are needed")
     root = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return root.union(e.select("v", "v").distinct().toDF("node", "root"))
+
+
+#: A key that a thousandth of all rows or more hold is hot; there are HOT such keys at most.
+HOT = 1_000
+
+
+def with_hot_keys(rows: DataFrame, keys: DataFrame, on, count: str) -> DataFrame:
+    """rows joined to keys (one per key; checkpointed, with the number of rows that hold each in `count`), every row once; a hot key does not meet its rows in one task.
+
+    The HOT keys at most that hold a HOT-th of all rows each are sent to the rows; the others are joined by a shuffle, where each is small.
+    """
+    total = keys.agg(F.sum(count)).first()[0] or 0
+    met = rows.join(F.broadcast(keys.where(F.col(count) * HOT >= total).withColumn("_hot", F.lit(True))), on, "left")
+    rest = met.where("_hot is null").select(*[rows[c] for c in rows.columns]).join(keys.where(F.col(count) * HOT < total), on)
+    names = [*rows.columns, *keys.columns]
+    return met.where("_hot").select(*names).union(rest.select(*names))

@@ -10,6 +10,7 @@ from .decontaminate import contamination
 from .exact_dedup import owners
 from .licenses import all_templates, license_spans
 from .mixing import mix
+from .ngram_join import ngram_components
 from .simhash import simhash_components
 from .substrings import parsed
 from .suffixes import repeats
@@ -67,6 +68,10 @@ def op11_vector_codes(spark, sf_dir):
     return vector_codes(table(spark, sf_dir, "embeddings"))
 
 
+def op12_ngram_join(spark, sf_dir):
+    return ngram_components(table(spark, sf_dir, "documents"))
+
+
 def op13_alignment(spark, sf_dir):
     return alignment(table(spark, sf_dir, "documents"), *map(public_tokenizers.path, ALIGNED))
 
@@ -144,4 +149,13 @@ def oracle_sql():
             SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
                    sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM b LEFT JOIN k USING (r)""",
         "op11_vector_codes": _vector_codes_sql(),
+        "op12_ngram_join": r"""
+            WITH RECURSIVE l AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+            s AS (SELECT DISTINCT r, md5(array_to_string(w[i:i + 4], ' ')) AS g FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 3, CASE WHEN len(w) > 0 THEN 2 ELSE 1 END))) AS i FROM l)),
+            n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+            p AS (SELECT a.r AS u, b.r AS v, count(*) AS c FROM s a JOIN s b USING (g) GROUP BY 1, 2),
+            k AS (SELECT u, v FROM p JOIN n a ON u = a.r JOIN n b ON v = b.r WHERE 100 * c >= 80 * (a.n + b.n - c)),
+            t AS (SELECT r AS u, r AS v FROM l UNION SELECT t.u, k.v FROM t JOIN k ON t.v = k.u)
+            SELECT l.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(m.doc_id) AS component_id
+            FROM l JOIN t ON l.r = t.u JOIN l m ON m.r = t.v LEFT JOIN n ON n.r = l.r GROUP BY l.r, l.doc_id""",
     }

@@ -11,14 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed
+from .common import checkpointed, with_hot_keys
 
 #: Vectors of a block, which has one tree for each part position; parts in a leaf, about.
 BLOCK, LEAF = 8_192, 8
 #: Nodes, and pairs of a part and an entry, that are compared at a time.
 NODES, PAIRS = 1_024, 1 << 19
-#: A label with a thousandth of all rows or more is hot; there are HOT at most.
-HOT = 1_000
 #: Integer components are below this, so that squared distances stay exact in 64 bits.
 LARGEST = 1 << 28
 
@@ -283,9 +281,5 @@ def vector_codes(vectors: DataFrame, parts: int = 16, entries: int = 64, rounds:
     books = codebooks(blocks, books, rounds)
     coded = checkpointed(blocks.mapInArrow(_coding(books, final.names), final))
     sums = checkpointed(coded.groupBy("label").agg(F.sum("error").alias("label_error"), F.count("*").alias("n")).withColumnRenamed("label", "of"))
-    total = sums.agg(F.sum("n")).first()[0]
-    hot = sums.where(F.col("n") * HOT >= total)  # HOT rows at most: each has a HOT-th of all
-    met = coded.join(F.broadcast(hot.select("of", "label_error", F.lit(True).alias("hot"))), F.col("label").eqNullSafe(F.col("of")), "left")
-    rest = met.where("hot is null").select(*final.names).join(sums.where(F.col("n") * HOT < total), F.col("label").eqNullSafe(F.col("of")))
-    names = ["vec_id", "code", "error", "label_error"]
-    return met.where("hot").select(*names).union(rest.select(*names)).withColumn("codebooks_sha256", F.lit(books_sha256(books)))
+    out = with_hot_keys(coded, sums, F.col("label").eqNullSafe(F.col("of")), "n")
+    return out.select("vec_id", "code", "error", "label_error").withColumn("codebooks_sha256", F.lit(books_sha256(books)))

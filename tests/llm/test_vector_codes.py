@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from polyrun.llm import common
 from polyrun.llm import vector_codes as vc
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
@@ -63,7 +64,7 @@ def test_drops_ties_copies_and_extremes(spark):
 
 
 def test_labels_that_are_rare_and_small_parts(spark, monkeypatch):
-    monkeypatch.setattr(vc, "HOT", 3)
+    monkeypatch.setattr(common, "HOT", 3)
     data = [(i, v, i % 50 if i % 3 else None) for i, v, _ in made(120, seed=7, dim=8)]
     assert rows(vc.vector_codes(spark.createDataFrame(data, SCHEMA), parts=4, entries=5, rounds=3)) == brute(data, 4, 5, 3)
 
