@@ -7,7 +7,7 @@ import json
 import os
 import re
 from functools import lru_cache
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -95,20 +95,25 @@ class Aligned:
 
     def _add(self, words: list[str]) -> None:
         spaced = [" " + w for w in words]
-        ids_a = [x.ids for x in self.tok.encode_batch(spaced, add_special_tokens=False)]
+        ids_a = [x.ids for x in self.tok.encode_batch_fast(spaced, add_special_tokens=False)]
         ids_b = self.model.encode(words, num_threads=1)
         raw = [x.encode() for x in spaced]
-        same = np.fromiter(
-            (b"".join(map(self.text_a.__getitem__, x)) == r and b"".join(map(self.text_b.__getitem__, y)) == r for x, y, r in zip(ids_a, ids_b, raw, strict=True)),
-            bool,
-            len(words),
-        )
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        same = np.ones(len(words), bool)
+        flat, counts = [], np.zeros((len(words), 4), np.int64)
+        for k, (ids, text, length) in enumerate(((ids_a, self.text_a, self.bytes_a), (ids_b, self.text_b, self.bytes_b))):
+            counts[:, k] = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat.append(np.fromiter(chain.from_iterable(ids), np.int64, counts[:, k].sum()))
+            got = np.bincount(np.repeat(np.arange(len(ids)), counts[:, k]), length[flat[k]], len(ids)).astype(np.int64)
+            if (got != size).any() or b"".join(map(text.__getitem__, flat[k].tolist())) != b"".join(raw):
+                same &= np.fromiter((b"".join(map(text.__getitem__, x)) == r for x, r in zip(ids, raw, strict=True)), bool, len(words))
+        a, b = (x[np.repeat(same, n)] for x, n in zip(flat, counts[:, :2].T, strict=True))
+        counts[~same] = 0
         good = np.flatnonzero(same).tolist()
-        size = np.fromiter((len(raw[i]) for i in good), np.int64, len(good))
-        n_a, n_b = (np.fromiter((len(x[i]) for i in good), np.int64, len(good)) for x in (ids_a, ids_b))
-        a, b = (np.array([t for i in good for t in x[i]], np.int64) for x in (ids_a, ids_b))
+        n_a, n_b, size = counts[same, 0], counts[same, 1], size[same]
         end_a, end_b = np.cumsum(self.bytes_a[a]), np.cumsum(self.bytes_b[b])
-        cut = np.intersect1d(end_a, end_b)  # ends of groups; each word's end is one
+        at = np.minimum(np.searchsorted(end_b, end_a), len(end_b) - 1)
+        cut = end_a[end_b[at] == end_a]  # ends of groups; each word's end is one
         in_a, in_b = np.searchsorted(cut, end_a), np.searchsorted(cut, end_b)
         each_a, each_b = np.bincount(in_a, minlength=len(cut)), np.bincount(in_b, minlength=len(cut))
         n_groups = np.diff(np.searchsorted(cut, np.cumsum(size), side="right"), prepend=0)
@@ -129,8 +134,7 @@ class Aligned:
         text: list[str | None] = [None] * len(words)
         for i, t in zip(good, full, strict=True):
             text[i] = t
-        counts = np.zeros((len(words), 4), np.int64)
-        counts[good] = np.stack([n_a, n_b, n_groups, n_links], axis=1)
+        counts[same, 2], counts[same, 3] = n_groups, n_links
         self.text += text
         self.start = np.concatenate([self.start, len(self.pairs) + np.cumsum(counts[:, 3]) - counts[:, 3]])
         self.counts = np.concatenate([self.counts, counts])

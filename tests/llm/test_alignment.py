@@ -23,6 +23,9 @@ TEXTS = [
     "the the the of the",
     "supercalifragilistic " * 300,
     "a\x00b",
+    "ends \n",
+    "a\xa0 b\x1c c \xa0d\n\xa0 e\u3000 f",
+    "tab\tx\ny\r\nz\n\n w \n v\n ",
 ]
 
 
@@ -129,6 +132,6 @@ def test_empty_tables_and_clashing_columns(spark, corpus):
     assert rows(al.alignment(odd, A, B)) == brute([(1, "a b")])
 
 
-@pytest.mark.parametrize("text", ["a b", " a", "a  b c", "", "x\n y z", "a\u180e b c d", "\u3000 a b"])
+@pytest.mark.parametrize("text", ["a b", " a", " \t ", "a ", "a\n\n b\tc \n", "a  b c", "", "x\n y z", "a\u180e b c d", "\u3000 a b"])
 def test_words_join_to_the_text(text):
     assert " " + " ".join(al.words_of(text)) == " " + text
