@@ -1,11 +1,14 @@
 """Merging of neighbours in location order: contexts into histograms, histograms into one another, and across samples into tracts.
 
-Each rule only looks back to a place that is near, so rows are first cut where the gap to the one before is wider than any
-rule reaches (an island); islands are independent, and many of them go to one grouped call.
+Each rule compares a row with the last group only, so all three are folds over ranges of the genome (ranges.py).
 """
 
 from __future__ import annotations
 
+import pickle
+from functools import lru_cache
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,18 +16,32 @@ from pyspark.sql import functions as F
 from polyrun.options import Options
 from polyrun.sources.shared import checkpointed
 
+from .ranges import fold_ranges, in_ranges, open_groups
+
 HISTOGRAM = "sample_idx int, base string, name string, contexts array<string>, n_context int, integral long, location long, ref_id int, loc_pos int, loc_last int, mismatches int, neg_strand boolean, multi boolean, indel boolean, mode_count long, mode_length int, mode_left string, mode_right string, lengths array<struct<length:int,count:bigint>>"
 _PLAIN = ["sample_idx", "base", "left_ctx", "right_ctx", "length", "count", "location", "ref_id", "loc_pos", "loc_last", "mismatches", "neg_strand", "multi"]
 _COMPLEMENT = str.maketrans("ACGT", "TGCA")
 
 
+@lru_cache(maxsize=1 << 16)
 def levenshtein(a: str, b: str) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+    """Edits between two strings: a column of differences is two integers with a bit per symbol of a."""
+    if not a:
+        return len(b)
+    masks: dict[str, int] = {}
+    for i, c in enumerate(a):
+        masks[c] = masks.get(c, 0) | 1 << i
+    full, top, score = (1 << len(a)) - 1, 1 << len(a) - 1, len(a)
+    plus, minus = full, 0
+    for c in b:
+        eq = masks.get(c, 0)
+        x = eq | minus
+        d = (((eq & plus) + plus) ^ plus) | eq | minus
+        up, down = minus | (~(d | plus) & full), plus & d
+        score += bool(up & top) - bool(down & top)
+        up, down = (up << 1 | 1) & full, (down << 1) & full
+        plus, minus = down | (~(x | up) & full), up & x
+    return score
 
 
 def _name(left: str, base: str, right: str, neg: bool) -> str:
@@ -32,7 +49,7 @@ def _name(left: str, base: str, right: str, neg: bool) -> str:
 
 
 def _differ(a: str, b: str, cap: int) -> int:
-    return min(cap, sum(x != y for x, y in zip(a, b, strict=True)))
+    return 0 if a == b else min(cap, sum(x != y for x, y in zip(a, b, strict=True)))
 
 
 def context_distance(h: dict, e: dict, options: Options) -> tuple[int | None, int]:
@@ -53,21 +70,21 @@ def context_distance(h: dict, e: dict, options: Options) -> tuple[int | None, in
     return most, -1
 
 
-def fold_contexts(rows: list[dict], options: Options) -> list[dict]:
-    """Histograms of elements of one sample in location order; an element is compared with the last histogram only."""
-    out: list[dict] = []
-    for e in rows:
+def context_step(options: Options):
+    """Adds an element to the open histogram of its sample, or closes it; an element is compared with the last histogram only."""
+
+    def step(h: dict | None, e: dict) -> tuple[dict, dict | None]:
         name, context = _name(e["left_ctx"], e["base"], e["right_ctx"], e["neg_strand"]), f"{e['left_ctx']}.{e['right_ctx']}"
-        h, joined = (out[-1] if out else None), False
-        if h is not None:
+        joined, closed, match = False, None, -1
+        if h is not None and h["sample_idx"] == e["sample_idx"]:
             d, match = context_distance(h, e, options)
             if d is not None and d < options.max_dist:
                 joined = True
             elif d is not None and levenshtein(h["name"], name) < options.leven:
                 joined = h["indel"] = True
         if not joined:
+            closed = h
             h = {"contexts": [], "n_context": 0, "integral": 0, "mode_count": 0, "indel": False, "multi": False, "lengths": {}, "base": e["base"], "sample_idx": e["sample_idx"]}
-            out.append(h)
             match = -1
         if match < 0:
             h["contexts"].append(context)
@@ -77,7 +94,9 @@ def fold_contexts(rows: list[dict], options: Options) -> list[dict]:
         h["multi"] |= e["multi"]
         h["integral"] += e["count"]
         h["lengths"][e["length"]] = h["lengths"].get(e["length"], 0) + e["count"]
-    return out
+        return h, closed
+
+    return step
 
 
 def overlap(a: dict, b: dict, options: Options) -> int | None:
@@ -93,65 +112,36 @@ def overlap(a: dict, b: dict, options: Options) -> int | None:
     return d if d <= options.leven else None
 
 
-def fold_histograms(rows: list[dict], options: Options) -> list[dict]:
-    """Histograms of one sample in location order, neighbours that overlap the last one kept merged into it."""
-    out: list[dict] = []
-    for h in rows:
-        if not out or overlap(out[-1], h, options) is None:
-            out.append(h)
-            continue
-        to = out[-1]
+def histogram_step(options: Options):
+    """Merges a histogram into the last one kept of its sample if they overlap."""
+
+    def step(to: dict | None, h: dict) -> tuple[dict, dict | None]:
+        lengths = h["lengths"] if isinstance(h["lengths"], dict) else {x["length"]: x["count"] for x in h["lengths"]}
+        h = {**h, "lengths": lengths}
+        if to is None or to["sample_idx"] != h["sample_idx"] or overlap(to, h, options) is None:
+            return h, to
         lengths = dict(to["lengths"])
         for n, c in h["lengths"].items():
             lengths[n] = lengths.get(n, 0) + c
         first, second = (h, to) if to["mode_count"] < h["mode_count"] else (to, h)
         contexts = list(dict.fromkeys(first["contexts"] + second["contexts"]))
-        out[-1] = {**first, "contexts": contexts, "n_context": len(contexts), "lengths": lengths, "integral": to["integral"] + h["integral"], "multi": to["multi"] | h["multi"], "indel": to["indel"] | h["indel"]}
-    return out
+        return {**first, "contexts": contexts, "n_context": len(contexts), "lengths": lengths, "integral": to["integral"] + h["integral"], "multi": to["multi"] | h["multi"], "indel": to["indel"] | h["indel"]}, None
 
+    return step
 
-def fold_tracts(rows: list[dict], options: Options) -> list[tuple[int, int]]:
-    """(block, distance to the block's leader) of histograms in order; a row that does not overlap the leader leads the next block."""
-    out, leader, block = [], None, -1
-    for h in rows:
-        d = None if leader is None else overlap(h, leader, options)
-        if d is None:
-            leader, block, d = h, block + 1, 0
-        out.append((block, d))
-    return out
 
+def tract_step(options: Options):
+    """(leader, distance to it or None if the row leads the next tract) of each histogram in order."""
 
-def _islands(df: DataFrame, by: list[str], order: list, gap, per_call: int = 2000) -> DataFrame:
-    """Adds island (count of gaps before, within `by`) and call (islands that go to one grouped call)."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    new = F.coalesce(F.col("location") - F.lag("location").over(w) > gap, F.lit(True))
-    d = df.withColumn("_new", new.cast("int")).withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
-    return d.withColumn("call", F.floor(F.col("island") / per_call))
-
-
-def _element_key(r: dict):
-    return (r["location"], -r["length"], r["base"], r["left_ctx"][::-1], r["right_ctx"][::-1])
-
+    def step(leader: dict | None, h: dict) -> tuple[dict, int | None]:
+        d = None if leader is None else overlap(h, leader, options)
+        return ({c: h[c] for c in ("ref_id", "location", "mode_length", "base", "name")} if d is None else leader), d
 
-def _call(fold, key, options):
-    """A grouped function that folds each island of a call by itself."""
+    return step
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        for r in rows:
-            if isinstance(r.get("lengths"), list):
-                r["lengths"] = {x["length"]: x["count"] for x in r["lengths"]}
-        by: dict[int, list[dict]] = {}
-        for r in rows:
-            by.setdefault(r["island"], []).append(r)
-        out = []
-        for i in sorted(by):
-            out += fold(sorted(by[i], key=key), options)
-        for h in out:
-            h["lengths"] = [{"length": n, "count": c} for n, c in sorted(h["lengths"].items())]
-        return pa.Table.from_pylist([{f.name: h[f.name] for f in _ARROW} for h in out], schema=_ARROW)
 
-    return run
+def _finished(h: dict) -> dict:
+    return {**{f.name: h[f.name] for f in _ARROW if f.name != "lengths"}, "lengths": [{"length": n, "count": c} for n, c in sorted(h["lengths"].items())]}
 
 
 _ARROW = pa.schema(
@@ -161,51 +151,60 @@ _ARROW = pa.schema(
 
 def cluster_contexts(located: DataFrame, options: Options) -> DataFrame:
     """Histograms of contexts that are near and alike, per sample."""
-    d = _islands(located.select(*_PLAIN), ["sample_idx", "ref_id"], ["location"], options.min_tract)
-    return d.groupBy("sample_idx", "ref_id", "call").applyInArrow(_call(fold_contexts, _element_key, options), HISTOGRAM)
+    d = in_ranges(located.select(*_PLAIN), ["sample_idx"], [F.desc("length"), F.col("base"), F.reverse("left_ctx"), F.reverse("right_ctx")])
+    return fold_ranges(d, ["sample_idx"], options.min_tract, context_step(options), _finished, HISTOGRAM, _ARROW)
+
+
+def _reach(histograms: DataFrame) -> int:
+    """How far apart two histograms that overlap can be, at most."""
+    return (histograms.agg(F.max("mode_length")).first()[0] or 1) - 1
 
 
 def merge_histograms(histograms: DataFrame, options: Options) -> DataFrame:
     """Neighbouring histograms of a sample that overlap become one. compat: the last one of each sample is dropped."""
-    reach = histograms.groupBy("sample_idx").agg((F.max("mode_length") - 1).alias("reach"))
-    d = _islands(histograms.join(reach, "sample_idx"), ["sample_idx", "ref_id"], ["location"], F.col("reach")).drop("reach")
-    out = d.groupBy("sample_idx", "ref_id", "call").applyInArrow(_call(fold_histograms, lambda r: (r["location"], r["base"], r["name"]), options), HISTOGRAM)
+    d = in_ranges(histograms, ["sample_idx"], [F.col("base"), F.col("name")])
+    out = fold_ranges(d, ["sample_idx"], _reach(d), histogram_step(options), _finished, HISTOGRAM, _ARROW)
     if options.compat:
+        out = checkpointed(out)
         last = out.groupBy("sample_idx").agg(F.max("location").alias("last"))
         out = out.join(last, "sample_idx").where("location < last").drop("last")
     return out
 
 
 def assign_tracts(histograms: DataFrame, options: Options) -> DataFrame:
-    """Histograms of all samples with concat_idx (place in order of location, larger sample first), tract_id and lev (distance to the tract's leader)."""
-    reach = histograms.groupBy("ref_id").agg((F.max("mode_length") - 1).alias("reach"))
-    d = _islands(histograms.join(reach, "ref_id"), ["ref_id"], ["location", F.desc("sample_idx")], F.col("reach")).drop("reach")
-    schema = pa.schema([("sample_idx", pa.int32()), ("ref_id", pa.int32()), ("location", pa.int64()), ("leader", pa.int64()), ("leader_sample", pa.int32()), ("lev", pa.int32())])
-
-    def run(table: pa.Table) -> pa.Table:
-        by: dict[int, list[dict]] = {}
-        for r in table.to_pylist():
-            by.setdefault(r["island"], []).append(r)
-        out = []
-        for i in sorted(by):
-            rows = sorted(by[i], key=lambda r: (r["location"], -r["sample_idx"]))
-            leader, block = None, -1
-            for r, (b, lev) in zip(rows, fold_tracts(rows, options), strict=True):
-                if b != block:
-                    leader, block = r, b
-                out.append({"sample_idx": r["sample_idx"], "ref_id": r["ref_id"], "location": r["location"], "leader": leader["location"], "leader_sample": leader["sample_idx"], "lev": lev})
-        return pa.Table.from_pylist(out, schema=schema)
-
-    slim = d.select("sample_idx", "ref_id", "location", "base", "name", "mode_length", "island", "call")
-    led = slim.groupBy("ref_id", "call").applyInArrow(run, "sample_idx int, ref_id int, location long, leader long, leader_sample int, lev int")
-    w = Window.partitionBy("ref_id").orderBy("location", F.desc("sample_idx"))
-    is_leader = (F.col("leader") == F.col("location")) & (F.col("leader_sample") == F.col("sample_idx"))
-    led = led.withColumn("n", F.row_number().over(w)).withColumn("t", F.sum(is_leader.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    sums = led.groupBy("ref_id").agg(F.max("n").alias("n_all"), F.max("t").alias("t_all"))  # one row per contig
-    before = Window.orderBy("ref_id").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("ref_id", F.coalesce(F.sum("n_all").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("t_all").over(before), F.lit(0)).alias("t0"))
-    ids = led.join(sums, "ref_id").select("sample_idx", "ref_id", "location", (F.col("n0") + F.col("n") - 1).cast("int").alias("concat_idx"), (F.col("t0") + F.col("t") - 1).cast("int").alias("tract_id"), "lev")
-    return histograms.join(ids, ["sample_idx", "ref_id", "location"])
+    """Histograms of all samples with concat_idx (place in order of location, larger sample first), tract_id and lev (distance to the tract's leader).
+
+    The rows are not moved again after they are in ranges: each range tells its places and the tracts that it begins, and is added the totals of the ranges before, of which there is a row each.
+    """
+    ranged = in_ranges(histograms, [], [F.desc("sample_idx"), F.col("name")])
+    step = tract_step(options)
+    start, _ = open_groups(ranged, [], _reach(ranged), step)
+
+    def run(batches):
+        part = leader = None
+        n = t = 0
+        for batch in batches:
+            levs, tracts = [], []
+            slim = batch.select(["ref_id", "location", "mode_length", "base", "name", "_part"])
+            for r in slim.to_pylist():
+                if part is None:
+                    part = r["_part"]
+                    leader = pickle.loads(start[part]) if part in start else None
+                leader, d = step(leader, r)
+                t += d is None
+                tracts.append(t)
+                levs.append(d or 0)
+            place = np.arange(n, n + batch.num_rows)
+            n += batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place, pa.int64()), pa.array(tracts, pa.int64()), pa.array(levs, pa.int32())], names=[*batch.schema.names, "_n", "_t", "lev"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranged.schema)
+    led = checkpointed(ranged.mapInArrow(run, f"{kinds}, _n long, _t long, lev int"))
+    sums = led.groupBy("_part").agg(F.count("*").alias("_rows"), F.max("_t").alias("_tracts"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    sums = sums.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_tracts").over(before), F.lit(0)).alias("_t0"))
+    out = led.join(F.broadcast(sums), "_part")
+    return out.withColumn("concat_idx", (F.col("_n0") + F.col("_n")).cast("int")).withColumn("tract_id", (F.col("_t0") + F.col("_t") - 1).cast("int")).drop("_part", "_n", "_t", "_n0", "_t0")
 
 
 def numbered(histograms: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from polyrun.functions import dna
 from polyrun.operators import annotate, cluster, counts, mapping, reference, report, scan, stats
 from polyrun.options import Options
+from polyrun.plans import cluster_sql
 from polyrun.plans.pipeline import TractPipeline
 from polyrun.sources import derived
 from polyrun.sources.shared import checkpointed
@@ -381,7 +382,7 @@ near_pairs AS (
   SELECT a.base, a.left_ctx, a.right_ctx, b.left_ctx AS l2, min(b.right_ctx) AS r2 FROM pool a JOIN pool b ON a.base = b.base AND a.left_ctx = b.left_ctx AND a.right_ctx < b.right_ctx GROUP BY ALL
   UNION ALL SELECT a.base, a.left_ctx, a.right_ctx, min(b.left_ctx), b.right_ctx FROM pool a JOIN pool b ON a.base = b.base AND a.right_ctx = b.right_ctx AND a.left_ctx < b.left_ctx GROUP BY ALL)"""
 
-_MAPPED = f"""{_COUNTS},
+_PLACES = f"""{_COUNTS},
 asked AS (SELECT * EXCLUDE (m), left_ctx || repeat(base, m) || right_ctx AS query FROM (SELECT sample_idx, base, left_ctx, right_ctx, max(length) AS m FROM depths WHERE depth >= {DEPTH} GROUP BY ALL)),
 wanted AS (SELECT DISTINCT left_ctx || repeat(base, m) || right_ctx AS query FROM (SELECT base, left_ctx, right_ctx, max(length) AS m FROM unbiased GROUP BY ALL)),
 every AS (SELECT query FROM asked UNION SELECT query FROM wanted),
@@ -391,7 +392,9 @@ places_ AS (
   SELECT query, ref_id, CAST(p AS INT) AS loc_pos, CAST(p + n - 1 AS INT) AS loc_last, 0 AS mismatches, false AS neg_strand, flat_offset + p AS location FROM every JOIN stretches ON s = query
   UNION ALL SELECT query, ref_id, p, p + n - 1, 0, true, flat_offset + p FROM every JOIN stretches ON s = reverse(translate(query, 'ACGT', 'TGCA'))),
 firsts AS (SELECT *, count(DISTINCT location) OVER (PARTITION BY query) > 1 AS multi, row_number() OVER (PARTITION BY query ORDER BY location, neg_strand) AS nth FROM places_),
-located AS (SELECT d.*, ref_id, loc_pos, loc_last, mismatches, neg_strand, location, multi FROM depths d JOIN asked USING (sample_idx, base, left_ctx, right_ctx) JOIN firsts USING (query) WHERE nth = 1 AND depth >= {DEPTH}),
+located AS (SELECT d.*, ref_id, loc_pos, loc_last, mismatches, neg_strand, location, multi FROM depths d JOIN asked USING (sample_idx, base, left_ctx, right_ctx) JOIN firsts USING (query) WHERE nth = 1 AND depth >= {DEPTH})"""
+
+_STAT = f"""
 hist AS (
   SELECT sample_idx, base, left_ctx, right_ctx, ref_id, loc_pos, loc_last, neg_strand, location, CAST(sum(count) AS BIGINT) AS integral, count(*) AS n_lengths, max(count) AS mode_count,
          arg_min(length, -count * 1000 + length) AS mode_length, sum(length * count) / sum(count) AS mean_length, list({{'l': length, 'n': count}} ORDER BY count DESC, length) AS modes FROM located GROUP BY ALL),
@@ -400,7 +403,9 @@ stat AS (
          -list_sum(list_transform(modes, lambda x: (x.n / integral) * ln(x.n / integral))) AS entropy,
          CASE WHEN neg_strand THEN reverse(translate(right_ctx, 'ACGT', 'TGCA')) || '.' || translate(base, 'ACGT', 'TGCA') || '.' || reverse(translate(left_ctx, 'ACGT', 'TGCA')) ELSE left_ctx || '.' || base || '.' || right_ctx END AS name,
          dense_rank() OVER (ORDER BY location) - 1 AS tract_id, row_number() OVER (ORDER BY location, h.sample_idx DESC) - 1 AS concat_idx
-  FROM hist h JOIN coverage USING (sample_idx)),
+  FROM hist h JOIN coverage USING (sample_idx))"""
+
+_TRACTS = f"""
 spread AS (
   SELECT tract_id, count(*) AS n_hist, max(mean_length) - min(mean_length) AS rd_mean_length, max(modal_freq) - min(modal_freq) AS rd_modal_freq, max(prop_coverage) - min(prop_coverage) AS rd_prop_coverage,
          max(cov_per_context) - min(cov_per_context) AS rd_cov_per_context, max(entropy) - min(entropy) AS rd_entropy FROM stat GROUP BY 1),
@@ -410,8 +415,10 @@ pointed AS (SELECT s.*, contig, loc_pos + {K} AS position FROM stat s JOIN conti
 inside AS (SELECT DISTINCT p.contig, p.position, f.type, f.start, f."end", f.feature_id FROM pointed p JOIN features f ON f.contig = p.contig AND p.position BETWEEN f.start AND f."end"),
 best_f AS (SELECT contig, position, arg_max(type, o) AS feature_type, arg_max(feature_id, o) AS feature_id FROM (SELECT *, CASE WHEN type = 'CDS' THEN 1000000 - start ELSE start / 1000000.0 END AS o FROM inside WHERE type <> 'region') GROUP BY 1, 2)"""
 
+_MAPPED = f"{_PLACES},{_STAT},{_TRACTS}"
+
 # the reference's own runs, single bases included, and their distance to the exemplar's flanks
-_REF = f"""{_MAPPED},
+_CANDIDATES = f"""
 ref_places AS (SELECT ref_id, seq, len, unnest(range(1, len + 1)) AS i FROM offsets),
 ref_starts AS (SELECT * FROM ref_places WHERE i = 1 OR substr(seq, i, 1) <> substr(seq, i - 1, 1)),
 ref_runs AS (SELECT *, coalesce(lead(i) OVER (PARTITION BY ref_id ORDER BY i), len + 1) - i AS n FROM ref_starts),
@@ -438,6 +445,16 @@ tract_list AS (
   FROM ref_ht r JOIN pointed p ON p.concat_idx = r.exemplar_concat_idx LEFT JOIN best_f USING (contig, position))"""
 
 
+_REF = f"{_MAPPED},{_CANDIDATES}"
+
+# the whole run: places within one edit, then the folds; what follows is asked of merged histograms
+_CONTEXTS = f"{_PLACES},{cluster_sql.located(DEPTH)},{cluster_sql.contexts(K, OPTIONS)}"
+_FOLDED = f"{_CONTEXTS},{cluster_sql.merged(OPTIONS)},{cluster_sql.tracts(OPTIONS)},{cluster_sql.STAT},{_TRACTS}".replace(
+    "0 AS best_nm, min(concat_idx) AS exemplar_concat_idx", "min(mismatches) AS best_nm, arg_min(concat_idx, mismatches * 1000000000 + concat_idx) AS exemplar_concat_idx"
+)
+_RUN = f"{_FOLDED},{_CANDIDATES.replace('ref_ht AS', 'some_ht AS').replace('variable AS', 'other_variable AS').replace('FROM stat JOIN ref_ht', 'FROM stat JOIN some_ht').replace('FROM ref_ht', 'FROM some_ht')},{cluster_sql.run(derived.SAMPLES)}"
+
+
 def _ham(a: str, b: str, n: int = K) -> str:
     return "(" + " + ".join(f"CASE WHEN substr({a}, {i}, 1) = substr({b}, {i}, 1) THEN 0 ELSE 1 END" for i in range(1, n + 1)) + ")"
 
@@ -457,7 +474,8 @@ def _protein(s: str) -> str:
 
 
 def oracle_sql():
-    ref = _REF.replace("{shift}", f"{_shift('cl', 'h_l')} + {_shift('cr', 'h_r')}")
+    ref, run = (x.replace("{shift}", f"{_shift('cl', 'h_l')} + {_shift('cr', 'h_r')}") for x in (_REF, _RUN))
+    vcf = f"WITH RECURSIVE {run}, {cluster_sql.variants(K, _lcp)}"
     hit = "sample_idx, read_id, base, left_ctx, right_ctx, length, read_offset, canon_flag"
     code = lambda c: "(" + " + ".join(f"(strpos('ACGT', substr({c}, {i + 1}, 1)) - 1) * {4**i}" for i in range(K)) + ")"
     pivot = lambda v: f"WITH {_MAPPED} SELECT tract_id, " + ", ".join(f"max(CASE WHEN sample_idx = {s} AND {v} > 0 THEN {v} END) AS sample_{s}" for s in SAMPLES) + " FROM stat GROUP BY 1"
@@ -517,4 +535,13 @@ def oracle_sql():
         "context_differs_from_ref": f"WITH {ref} SELECT tract_id, tract, ref_tract FROM tract_list WHERE tract <> ref_tract",
         "frameshift_proxy": f"WITH {ref} SELECT feature_type = 'CDS' AS coding, (max_tract_length - ref_tract_length) % 3 = 0 AS in_frame, count(*) AS n_tracts FROM tract_list GROUP BY 1, 2",
         "euclidean_distance": "SELECT a.vec_id AS query_id, e.vec_id, sqrt(list_sum(list_transform(range(1, len(e.embedding) + 1), lambda i: pow(CAST(a.embedding[i] AS DOUBLE) - CAST(e.embedding[i] AS DOUBLE), 2)))) AS distance FROM embeddings a JOIN embeddings e ON a.vec_id % 50 = 0",
+        "cluster_contexts": f"WITH RECURSIVE {_CONTEXTS} SELECT sample_idx, location, name, n_context, CAST(integral AS BIGINT) AS integral, mode_length, indel FROM hist1",
+        "merge_histograms": f"WITH RECURSIVE {_FOLDED} SELECT sample_idx, location, name, n_context, CAST(integral AS BIGINT) AS integral, mode_length, feature_type, feature_id FROM pointed LEFT JOIN best_f USING (contig, position)",
+        "assign_tracts": f"WITH RECURSIVE {_FOLDED} SELECT sample_idx, location, concat_idx, tract_id, lev FROM assigned",
+        "run_variable_tracts": f"WITH RECURSIVE {run} SELECT * FROM variable",
+        "run_selected_tracts": f"WITH RECURSIVE {_FOLDED} SELECT s.*, lev_distance FROM spread s JOIN (SELECT tract_id, max(lev) AS lev_distance FROM assigned GROUP BY 1) USING (tract_id) WHERE n_hist < {derived.SAMPLES} OR lev_distance > 0 OR greatest(rd_modal_freq, rd_mean_length, rd_entropy) > 1e-6",
+        "run_average_length": f"WITH RECURSIVE {run} SELECT tract_id, " + ", ".join(f"max(CASE WHEN sample_idx = {x} AND mean_length > 0 THEN mean_length END) AS sample_{x}" for x in SAMPLES) + " FROM of_sample JOIN variable USING (tract_id) WHERE variable GROUP BY 1",
+        "vcf_rows": f"{vcf} SELECT * FROM variants",
+        "vcf_concat_distinct": f"{vcf} SELECT DISTINCT chrom, pos, ref, alt, tid FROM variants",
+        "vcf_multi_sample": f"{vcf} SELECT chrom, pos, ref, alt, " + ", ".join(f"max(CASE WHEN sample_idx = {x} THEN 1 ELSE 0 END) AS sample_{x}" for x in SAMPLES) + " FROM variants GROUP BY 1, 2, 3, 4",
     }

@@ -1,8 +1,10 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from polyrun.operators.cluster import assign_tracts, cluster_contexts, fold_contexts, fold_histograms, fold_tracts, levenshtein, merge_histograms
+from polyrun.operators import ranges
+from polyrun.operators.cluster import assign_tracts, cluster_contexts, context_step, histogram_step, levenshtein, merge_histograms, tract_step
 from polyrun.options import Options
 
 OPTIONS = Options(kmer=4, min_tract=3, max_dist=2)
@@ -19,6 +21,31 @@ def elements(seed, n=250):
     return list(out.values())
 
 
+def fold(step, rows):
+    out, state = [], None
+    for r in rows:
+        state, closed = step(state, r)
+        out += [closed] if closed is not None else []
+    return out + ([state] if state is not None else [])
+
+
+def fold_contexts(rows, options):
+    return fold(context_step(options), rows)
+
+
+def fold_histograms(rows, options):
+    return fold(histogram_step(options), rows)
+
+
+def fold_tracts(rows, options):
+    out, leader, block = [], None, -1
+    for r in rows:
+        leader, d = tract_step(options)(leader, r)
+        block += d is None
+        out.append((block, d or 0))
+    return out
+
+
 def as_dicts(rows):
     names = [x.split()[0] for x in ELEMENT.split(", ")]
     return [dict(zip(names, r, strict=True)) for r in rows]
@@ -38,8 +65,12 @@ def sequential(rows, options):
     return samples, [(h["sample_idx"], h["location"], i, b, d) for i, (h, (b, d)) in enumerate(zip(concat, fold_tracts(concat, options), strict=True))]
 
 
-def test_islands_give_what_one_pass_gives(spark):
-    for seed in range(2):
+@pytest.mark.parametrize(("seed", "parts", "tail"), [(0, 4, 20_000), (1, 12, 2)])
+def test_ranges_give_what_one_pass_gives(spark, monkeypatch, seed, parts, tail):
+    """Few and many ranges, many of them without any gap, so that groups cross several."""
+    monkeypatch.setattr(ranges, "TAIL", tail)
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
         rows = elements(seed)
         samples, tracts = sequential(as_dicts(rows), OPTIONS)
         h = merge_histograms(cluster_contexts(spark.createDataFrame(rows, ELEMENT), OPTIONS), OPTIONS).persist()
@@ -52,6 +83,13 @@ def test_islands_give_what_one_pass_gives(spark):
         dropped = merge_histograms(cluster_contexts(spark.createDataFrame(rows, ELEMENT), OPTIONS), Options(kmer=4, min_tract=3, max_dist=2, compat=True))
         assert dropped.count() == len(got) - 3
         h.unpersist()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
+def test_no_rows(spark):
+    empty = cluster_contexts(spark.createDataFrame([], ELEMENT), OPTIONS)
+    assert empty.collect() == [] and merge_histograms(empty, OPTIONS).collect() == [] and assign_tracts(empty, OPTIONS).collect() == []
 
 
 def test_rules():
