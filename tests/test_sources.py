@@ -1,17 +1,107 @@
 import gzip
+import random
+import struct
+import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from polyrun.options import Options
 from polyrun.plans.pipeline import TractPipeline
-from polyrun.sources import gff, sinks
-from polyrun.sources.fastx import read_contigs, read_samples, records, sample_name, simplified_names
+from polyrun.sources import fastx, gff, sinks
+from polyrun.sources.fastx import read_contigs, read_samples, sample_name, simplified_names
+
+
+def records(text):
+    """(name, description, sequence, quality) of all records, a line at a time."""
+    lines = iter(text.split("\n"))
+    line = next(lines, None)
+    out = []
+    while line is not None:
+        if line[:1] not in (">", "@"):
+            line = next(lines, None)
+            continue
+        head = line[1:].rstrip("\r").split(None, 1)
+        seq, qual = "", None
+        line = next(lines, None)
+        while line is not None and line[:1] not in (">", "@", "+"):
+            seq += "".join(line.split())
+            line = next(lines, None)
+        if line is not None and line[:1] == "+":
+            qual, line = "", next(lines, None)
+            while line is not None and len(qual) < len(seq):
+                qual += line.rstrip("\r")
+                line = next(lines, None)
+            if len(qual) != len(seq):
+                break
+        out.append((head[0] if head else "", head[1] if len(head) > 1 else "", seq, qual))
+    return out
+
+
+ODD = ">a first one\nACGT\nAC GT\n\n@b\nAC\nGT\n+\nII\nII\n>c\nA\n@d\nACGT\n+\nIII\n@e\nA\n+\nI\n"
 
 
 def test_records():
-    text = ">a first one\nACGT\nAC GT\n\n@b\nAC\nGT\n+\nII\nII\n>c\nA\n@d\nACGT\n+\nIII\n@e\nA\n+\nI\n"
-    assert list(records(iter(text.splitlines(True)))) == [("a", "first one", "ACGTACGT", None), ("b", "", "ACGT", "IIII"), ("c", "", "A", None)]
-    assert list(records(iter([]))) == []
+    assert records(ODD) == [("a", "first one", "ACGTACGT", None), ("b", "", "ACGT", "IIII"), ("c", "", "A", None)]
+    for text in (ODD, "", "\n\n", "x\n>a\nAC", "@a\r\nAC\r\n+\r\nII\r\n", "@a\n\n+\n@b\nA\n+\nI"):
+        got = [(h.split(None, 1), s, q) for _, h, s, q in fastx.parse(text.encode(), True)[0]]
+        assert [((h[0] if h else b"").decode(), s.decode(), None if q is None else q.decode()) for h, s, q in got] == [(n, s, q) for n, _, s, q in records(text)]
+
+
+def made(kind, seed, n=400):
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        size = rng.choice([0, 1, 5, 40, 400]) if kind != "four" else rng.randint(1, 60)
+        seq, qual = ("".join(rng.choice(x) for _ in range(size)) for x in ("ACGT", "@>+IF#"))
+        head = f"{rng.choice('@>') if kind == 'mixed' else '@' if kind != 'fasta' else '>'}r{i} d {i}"
+        fold = lambda s: "\n".join(s[j : j + 7] for j in range(0, len(s), 7))
+        if kind == "fasta":
+            out.append(f"{head}\n{fold(seq)}\n")
+        elif kind == "four":
+            out.append(f"{head}\n{seq}\n+\n{qual}\n")
+        elif kind == "bad" and i == n // 2:
+            out.append(f"{head}\n{seq}A\n+\n{qual}II\n")
+        else:
+            out.append(f"{head}\r\n{seq}\r\n+r{i}\r\n{qual}\r\n" if i % 3 else f"{head}\n{fold(seq)}\n+\n{fold(qual)}\n")
+    return "".join(out)[: -1 if seed % 2 else None]
+
+
+def blocked(data, rng, at_records=False):
+    """data as gzip blocks that tell their size, and the empty block that ends such files."""
+    out, cut = [], 0
+    while cut < len(data):
+        to = min(len(data), cut + rng.randint(1, 900))
+        if at_records:
+            to = min(x for x in (data.find(b"\n@", to) + 1, data.find(b"\n>", to) + 1, len(data)) if x)
+        z = zlib.compressobj(6, zlib.DEFLATED, -15)
+        body = z.compress(data[cut:to]) + z.flush()
+        out.append(b"\x1f\x8b\x08\x04" + b"\0" * 5 + b"\xff\x06\x00BC\x02\x00" + struct.pack("<H", len(body) + 25) + body + struct.pack("<II", zlib.crc32(data[cut:to]), to - cut))
+        cut = to
+    return b"".join(out) + bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
+
+
+@pytest.mark.parametrize("kind", ["four", "fasta", "multi", "mixed", "bad"])
+def test_splits_give_what_one_pass_gives(spark, tmp_path, monkeypatch, kind):
+    """Random cuts, inside lines, qualities that look like records and blocks; small chunks, so that records cross them."""
+    monkeypatch.setattr(fastx, "CHUNK", 700)
+    for seed in range(2):
+        text = made(kind, seed)
+        want = [(i, *r) for i, r in enumerate(records(text))]
+        rng = random.Random(seed)
+        for name, data in (("x.fq", text.encode()), ("x.fq.gz", blocked(text.encode(), rng, seed == 1)), ("y.fq.gz", gzip.compress(text[:5000].encode()) + gzip.compress(text[5000:].encode()))):
+            (tmp_path / name).write_bytes(data)
+            d = fastx.read_fastx(spark, [str(tmp_path / name)], split=len(data) // rng.randint(4, 9))
+            assert d.rdd.getNumPartitions() > 1 or name != "x.fq" or kind == "bad"
+            assert sorted(tuple(r)[1:] for r in d.collect()) == want, (kind, seed, name)
+
+
+def test_one_record_over_many_splits(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(fastx, "CHUNK", 1 << 12)
+    p = tmp_path / "long.fa"
+    p.write_text(">small\nAC\n>long\n" + "ACGTACGTAC\n" * 20_000 + ">last\nG\n")
+    got = fastx.read_fastx(spark, [p.as_uri()], split=30_000).select("read_id", "name", F.length("seq")).collect()
+    assert sorted(map(tuple, got)) == [(0, "small", 2), (1, "long", 200_000), (2, "last", 1)]
 
 
 def test_files_and_pairs(spark, tmp_path):
