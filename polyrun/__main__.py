@@ -29,6 +29,7 @@ def arguments() -> argparse.ArgumentParser:
     p.add_argument("-g", "--gff", required=True, help="GFF3 annotation, with or without sequences")
     p.add_argument("-f", "--fasta", help="sequences of the reference, before those of the annotation")
     p.add_argument("-o", "--outdir", help="folder of the reports, or the word random")
+    p.add_argument("--index", help="folder where the index of the reference is kept for later runs")
     p.add_argument("reads", nargs="+", help="FASTA or FASTQ files, plain or gzip")
     return p
 
@@ -40,7 +41,7 @@ def main(argv: list[str] | None = None) -> None:
     contigs = gff.with_reference(gff.read_sequences(spark, a.gff), read_contigs(spark, a.fasta) if a.fasta else None)
     if contigs.isEmpty():
         raise SystemExit("no reference sequence: give --fasta, or an annotation with sequences")
-    run = TractPipeline(read_samples(spark, a.reads, a.paired), contigs, gff.read_features(spark, a.gff), options)
+    run = TractPipeline(read_samples(spark, a.reads, a.paired), contigs, gff.read_features(spark, a.gff), options, index_dir=a.index)
     names = dict(enumerate(simplified_names([sample_name(x) for x in (a.reads[: len(a.reads) // 2 * 2 : 2] if a.paired else a.reads)])))
     started = time.time()
     for r in run.mapping_counts.orderBy("sample_idx").collect():  # a row per sample

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,18 +48,110 @@ def ref_qgrams(contigs: DataFrame, q: int) -> DataFrame:
     return d.select(F.substring("tile_seq", F.col("i") + 1, F.lit(q)).alias("qgram"), "ref_id", (F.col("tile") * TILE + F.col("i")).alias("pos"))
 
 
-def locate(queries: DataFrame, contigs: DataFrame, q: int, edits: int = 0) -> DataFrame:
+#: A stretch that a HOT-th of all places hold or more is dealt out over slots of that size each; there are HOT such stretches at most.
+HOT = 1_000
+
+
+@dataclass(frozen=True)
+class Index:
+    """Stretches of q bases of a reference: positions (key, qgram, ref_id, pos), and how many of them each has, frequencies (qgram, n, slots).
+
+    A key is a stretch and a slot; slots of a stretch of n places among `total` have about total / HOT of them.
+    """
+
+    q: int
+    positions: DataFrame
+    frequencies: DataFrame
+
+
+def _key(qgram: Column | str, slot: Column) -> Column:
+    return F.xxhash64(qgram, slot)
+
+
+def build_index(contigs: DataFrame, q: int) -> Index:
+    """The index as a plan. Frequencies are summed before the shuffle, and only those of hot stretches meet the places, by a broadcast of HOT rows at most."""
+    grams = ref_qgrams(contigs, q)
+    counted = grams.groupBy("qgram").agg(F.count("*").alias("n"))
+    total = contigs.agg(F.sum(F.greatest(F.col("len") - q + 1, F.lit(0)))).first()[0] or 0
+    slots = F.ceil(F.col("n") * HOT / F.lit(max(1, total))).cast("long")
+    frequencies = counted.withColumn("slots", slots)
+    hot = frequencies.where(F.col("n") * HOT >= total).select("qgram", "slots")
+    own = F.pmod(F.xxhash64("ref_id", "pos"), F.coalesce("slots", F.lit(1)))
+    positions = grams.join(F.broadcast(hot), "qgram", "left").select(_key("qgram", own).alias("key"), "qgram", "ref_id", "pos")
+    return Index(q, positions, frequencies)
+
+
+def digest(contigs: DataFrame) -> str:
+    """Tells references apart by their contigs' numbers, names and sequences, in any order."""
+    each = contigs.select(F.xxhash64("ref_id", "contig", F.sha2(F.upper("seq"), 256)).alias("h"), F.xxhash64(F.sha2(F.upper("seq"), 256), "ref_id").alias("g"))
+    r = each.agg(F.count("*").alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).alias("h"), F.sum(F.col("g").cast("decimal(38,0)")).alias("g")).first()
+    return hashlib.sha256(f"{r.n} {r.h} {r.g}".encode()).hexdigest()[:24]
+
+
+def stored_index(contigs: DataFrame, q: int, folder: str, buckets: int | None = None) -> Index:
+    """The index of this reference in `folder`, written if it is not there: bucketed and sorted by what it is looked up by.
+
+    Later runs, of other sessions too, find it by the digest of the contigs and read it without a shuffle; another reference has another digest. A table
+    counts as written when its success marker is there.
+    """
+    spark = contigs.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"q{q}_{digest(contigs)}"
+    jvm = spark.sparkContext._jvm
+
+    def there(path: str) -> bool:
+        p = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+    # the number of buckets is part of what is found: a later run may have other settings
+    root = f"{folder.rstrip('/')}/{name}"
+    if not (there(f"{root}/positions") and there(f"{root}/frequencies")):
+        index = build_index(contigs, q)
+        tables = {"positions": (index.positions.repartition(buckets, "key"), "key"), "frequencies": (index.frequencies.repartition(buckets, "qgram"), "qgram")}
+        for kind, (df, key) in tables.items():
+            spark.sql(f"DROP TABLE IF EXISTS polyrun_{kind}_{name}")
+            df.write.bucketBy(buckets, key).sortBy(key).mode("overwrite").option("path", f"{root}/{kind}").saveAsTable(f"polyrun_{kind}_{name}")
+        spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("overwrite").parquet(f"{root}/layout")
+    elif not all(spark.catalog.tableExists(f"polyrun_{kind}_{name}") for kind in ("positions", "frequencies")):
+        n = spark.read.parquet(f"{root}/layout").first()[0]
+        spark.sql(f"CREATE TABLE IF NOT EXISTS polyrun_positions_{name} (key BIGINT, qgram STRING, ref_id INT, pos INT) USING parquet CLUSTERED BY (key) SORTED BY (key) INTO {n} BUCKETS LOCATION '{root}/positions'")
+        spark.sql(f"CREATE TABLE IF NOT EXISTS polyrun_frequencies_{name} (qgram STRING, n BIGINT, slots BIGINT) USING parquet CLUSTERED BY (qgram) SORTED BY (qgram) INTO {n} BUCKETS LOCATION '{root}/frequencies'")
+    return Index(q, spark.table(f"polyrun_positions_{name}"), spark.table(f"polyrun_frequencies_{name}"))
+
+
+def rarest_seeds(both: DataFrame, index: Index, edits: int) -> DataFrame:
+    """query, s, neg_strand, off, qgram, slots: of each of the edits + 1 pieces of s the stretch that the reference holds least often (of equals the first).
+
+    A piece that is unchanged in the reference holds all its stretches unchanged, so any of them finds it; one that is nowhere rules the piece out.
+    """
+    q, n = index.q, F.length("s")
+    piece = F.floor(n / (edits + 1)).cast("int")
+    last = F.when(F.col("i") == edits, n).otherwise((F.col("i") + 1) * piece) - q
+    each = both.select("query", "s", "neg_strand", F.explode(F.sequence(F.lit(0), F.lit(edits))).alias("i")).where(last >= F.col("i") * piece)
+    each = each.select("query", "s", "neg_strand", "i", F.explode(F.sequence(F.col("i") * piece, last)).alias("off"))
+    each = each.withColumn("qgram", F.substring(F.col("s"), F.col("off") + 1, F.lit(q)))
+    asked = each.select("qgram").distinct().join(index.frequencies, "qgram", "left")  # a stretch that many queries hold is looked up once
+    each = each.join(asked, "qgram").withColumn("n", F.coalesce("n", F.lit(0)))
+    least = each.groupBy("query", "s", "neg_strand", "i").agg(F.min(F.struct("n", "off", "qgram", "slots")).alias("x"))
+    return least.where("x.n > 0").select("query", "s", "neg_strand", "x.off", "x.qgram", "x.slots")
+
+
+def locate(queries: DataFrame, contigs: DataFrame, q: int, edits: int = 0, index: Index | None = None) -> DataFrame:
     """All hits of queries (query: string) within `edits` edits: query, ref_id, loc_pos, loc_last, mismatches, neg_strand.
 
-    A query within e edits keeps one of its e + 1 pieces unchanged, so the first q bases of each piece, on either strand,
-    are looked up among the genome's stretches by an equi-join; only what they point to is verified. No hit is
-    dropped for a frequent stretch.
+    A query within e edits keeps one of its e + 1 pieces unchanged, so of each piece, on either strand, the rarest stretch of q bases
+    is looked up in the index by an equi-join; only what it points to is verified. No hit is dropped: places of a stretch that is
+    frequent everywhere are met slot by slot. A query whose pieces are shorter than q is refused.
     """
+    index = index or build_index(contigs, q)
+    q = index.q
     both = queries.select("query").distinct().select("query", F.explode(F.array(F.struct(F.col("query").alias("s"), F.lit(False).alias("neg_strand")), F.struct(revcomp("query").alias("s"), F.lit(True).alias("neg_strand")))).alias("x")).select("query", "x.*")
     n = F.length("s")
-    piece = F.floor(n / (edits + 1)).cast("int")
-    seeds = both.select("query", "s", "neg_strand", F.explode(F.sequence(F.lit(0), F.lit(edits))).alias("i")).withColumn("off", F.col("i") * piece).withColumn("qgram", F.substring(F.col("s"), F.col("off") + 1, F.lit(q)))
-    near = seeds.join(ref_qgrams(contigs, q), "qgram").select("query", "s", "neg_strand", "ref_id", F.explode(F.sequence(F.lit(-edits), F.lit(edits))).alias("d"), (F.col("pos") - F.col("off")).alias("at"))
+    both = both.withColumn("s", F.when(F.floor(n / (edits + 1)) >= q, F.col("s")).otherwise(F.raise_error(F.format_string("a query of %d bases has no piece of %d for %d edits", n, F.lit(q), F.lit(edits)))))
+    seeds = rarest_seeds(both, index, edits).select("query", "s", "neg_strand", "off", "qgram", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)).alias("slot")).withColumn("key", _key("qgram", F.col("slot")))
+    # joined on the key alone, by which a stored index is bucketed; equal keys of different stretches are told apart after it (an equality would become a key)
+    near = seeds.join(index.positions.withColumnRenamed("qgram", "found"), "key").where("instr(found, qgram) = 1").select("query", "s", "neg_strand", "ref_id", (F.col("pos") - F.col("off")).alias("at")).distinct()
+    near = near.select("query", "s", "neg_strand", "ref_id", F.explode(F.sequence(F.lit(-edits), F.lit(edits))).alias("d"), "at")
     near = near.select("query", "s", "neg_strand", "ref_id", (F.col("at") + F.col("d")).alias("loc_pos")).where("loc_pos >= 0").distinct()
     cut = with_segment(near, contigs, F.col("loc_pos"), n + edits)
     cut = cut.withColumn("d", F.explode(F.sequence(F.lit(-edits), F.lit(edits)))).withColumn("segment", F.substring(F.col("segment"), F.lit(1), n + F.col("d"))).where(F.length("segment") == n + F.col("d"))
@@ -74,13 +169,13 @@ def best_match(hits: DataFrame, contigs: DataFrame) -> DataFrame:
     return kept.select("query", "x.b.ref_id", "x.b.loc_pos", "x.b.loc_last", "x.mismatches", "x.b.neg_strand", "x.b.location", (F.col("x.far") > F.col("x.b.location")).alias("multi"))
 
 
-def located_elements(elements: DataFrame, contigs: DataFrame, q: int, edits: int = 0) -> DataFrame:
+def located_elements(elements: DataFrame, contigs: DataFrame, q: int, edits: int = 0, index: Index | None = None) -> DataFrame:
     """Elements of contexts that map, with their place. One string per context is looked up (that of its longest tract), its place holds for all lengths."""
     context = ["sample_idx", "base", "left_ctx", "right_ctx"]
     longest = elements.groupBy(*context).agg(F.max("length").alias("longest"))
     text = F.concat("left_ctx", F.repeat("base", F.col("longest")), "right_ctx")
     asked = longest.withColumn("query", text)
-    found = best_match(locate(asked, contigs, q, edits), contigs)
+    found = best_match(locate(asked, contigs, q, edits, index), contigs)
     return elements.join(asked.join(found, "query").drop("query", "longest"), context)
 
 

@@ -27,6 +27,8 @@ class TractPipeline:
     features: DataFrame | None = None
     options: Options = Options()
     keep: Callable[[DataFrame], DataFrame] = field(default=checkpointed)
+    #: Folder of stored indexes of references; None: the index is made for this run.
+    index_dir: str | None = None
 
     @cached_property
     def hits(self) -> DataFrame:
@@ -46,7 +48,8 @@ class TractPipeline:
     def located(self) -> DataFrame:
         deep = counts.with_depth(self.elements, self.options.min_reads).where("deep")
         q = min(15, (2 * self.options.kmer + max(self.options.min_tract, 2)) // (self.options.max_edits + 1))
-        return self.keep(mapping.located_elements(deep, self.contigs, q, self.options.max_edits))
+        index = mapping.stored_index(self.contigs, q, self.index_dir) if self.index_dir else None
+        return self.keep(mapping.located_elements(deep, self.contigs, q, self.options.max_edits, index))
 
     @cached_property
     def histograms(self) -> DataFrame:
