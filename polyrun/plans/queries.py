@@ -16,6 +16,8 @@ from polyrun.sources.shared import checkpointed
 K, M, DEPTH = 8, 3, 5
 OPTIONS = Options(kmer=K, min_tract=M, min_reads=DEPTH, max_edits=1)
 SAMPLES = list(range(derived.SAMPLES))
+#: One in ASKED is in the query set of distances.
+ASKED = 50
 
 
 def _hits(spark, d):
@@ -73,15 +75,15 @@ def _contexts(spark, d):
 
 
 def _near_pairs(spark, d):
-    """Contexts of one base that share a flank, each with the next in order: what distances are asked of.
+    """Contexts whose codes' sum is divisible by ASKED, each with all others of its base that begin with the same three bases: what distances are asked of.
 
-    A window and no join, so a common flank costs a row per context and not a row per pair.
+    A stated query set against all; there are few beginnings, so the others are dealt out by a salt and the asked ones sent to every salt.
     """
-    c = _contexts(spark, d)
-    following = lambda shared, other: F.lead(other).over(Window.partitionBy("base", shared).orderBy(other))
-    right = c.withColumn("l2", F.col("left_ctx")).withColumn("r2", following("left_ctx", "right_ctx")).where("r2 is not null")
-    left = c.withColumn("l2", following("right_ctx", "left_ctx")).withColumn("r2", F.col("right_ctx")).where("l2 is not null")
-    return right.unionByName(left)
+    c = _contexts(spark, d).withColumn("start", F.substring("left_ctx", 1, 3))
+    salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    asked = c.where((dna.kmer_code("left_ctx") + dna.kmer_code("right_ctx")) % ASKED == 0).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    other = c.select("base", "start", F.col("left_ctx").alias("l2"), F.col("right_ctx").alias("r2"), F.pmod(F.hash("left_ctx", "right_ctx"), F.lit(salts)).alias("salt"))
+    return asked.join(other, ["base", "start", "salt"]).where("left_ctx <> l2 or right_ctx <> r2").select("base", "left_ctx", "right_ctx", "l2", "r2")
 
 
 def ht_scan(spark, d):
@@ -356,6 +358,10 @@ def queries():
     return {k: f for k, f in globals().items() if callable(f) and getattr(f, "__module__", "") == __name__ and not k.startswith("_") and k not in _NOT_QUERIES}
 
 
+def _code(c: str) -> str:
+    return "(" + " + ".join(f"(strpos('ACGT', substr({c}, {i + 1}, 1)) - 1) * {4**i}" for i in range(K)) + ")"
+
+
 _FIXTURE = f"""
 contigs AS (
   SELECT CAST(p_partkey // {derived.CONTIG_KEYS} AS INT) AS ref_id, 'contig' || CAST(p_partkey // {derived.CONTIG_KEYS} AS VARCHAR) AS contig,
@@ -391,8 +397,8 @@ coverage AS (SELECT sample_idx, max(n) AS coverage FROM (
   SELECT sample_idx, k, CAST(sum(count) AS BIGINT) AS n FROM (SELECT sample_idx, substr(left_ctx, 1, 15) AS k, count FROM unbiased UNION ALL SELECT sample_idx, substr(right_ctx, 1, 15), count FROM unbiased) GROUP BY 1, 2) GROUP BY 1),
 pool AS (SELECT DISTINCT base, left_ctx, right_ctx FROM elements),
 near_pairs AS (
-  SELECT a.base, a.left_ctx, a.right_ctx, b.left_ctx AS l2, min(b.right_ctx) AS r2 FROM pool a JOIN pool b ON a.base = b.base AND a.left_ctx = b.left_ctx AND a.right_ctx < b.right_ctx GROUP BY ALL
-  UNION ALL SELECT a.base, a.left_ctx, a.right_ctx, min(b.left_ctx), b.right_ctx FROM pool a JOIN pool b ON a.base = b.base AND a.right_ctx = b.right_ctx AND a.left_ctx < b.left_ctx GROUP BY ALL)"""
+  SELECT a.base, a.left_ctx, a.right_ctx, b.left_ctx AS l2, b.right_ctx AS r2 FROM pool a JOIN pool b ON a.base = b.base AND substr(a.left_ctx, 1, 3) = substr(b.left_ctx, 1, 3) AND (a.left_ctx <> b.left_ctx OR a.right_ctx <> b.right_ctx)
+  WHERE ({_code("a.left_ctx")} + {_code("a.right_ctx")}) % {ASKED} = 0)"""
 
 _PLACES = f"""{_COUNTS},
 asked AS (SELECT * EXCLUDE (m), left_ctx || repeat(base, m) || right_ctx AS query FROM (SELECT sample_idx, base, left_ctx, right_ctx, max(length) AS m FROM depths WHERE depth >= {DEPTH} GROUP BY ALL)),
@@ -489,7 +495,7 @@ def oracle_sql():
     ref, run = (x.replace("{shift}", f"{_shift('cl', 'h_l')} + {_shift('cr', 'h_r')}") for x in (_REF, _RUN))
     vcf = f"WITH RECURSIVE {run}, {cluster_sql.variants(K, _lcp)}"
     hit = "sample_idx, read_id, base, left_ctx, right_ctx, length, read_offset, canon_flag"
-    code = lambda c: "(" + " + ".join(f"(strpos('ACGT', substr({c}, {i + 1}, 1)) - 1) * {4**i}" for i in range(K)) + ")"
+    code = _code
     pivot = lambda v: f"WITH {_MAPPED} SELECT tract_id, " + ", ".join(f"max(CASE WHEN sample_idx = {s} AND {v} > 0 THEN {v} END) AS sample_{s}" for s in SAMPLES) + " FROM stat GROUP BY 1"
     a4, b5 = "(left_ctx || repeat(base, 4) || right_ctx)", "(l2 || repeat(base, 5) || r2)"
     rank = "least(length(a.modes), length(b.modes))"
