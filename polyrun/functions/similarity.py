@@ -1,47 +1,176 @@
-"""Distances of sequences by approximate matching and by shared words."""
+"""Distances of sequences by approximate matching and by spaced words on diagonals, many pairs at a time."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
+#: Cells of the tables that a task holds at a time: masks of patterns, or counts of diagonals; and matches of words.
+CELLS, MATCHES = 1 << 22, 1 << 22
+#: Asked sequences of a block.
+ASKED = 256
+_ONE = np.uint64(1)
+
+
+def _symbols(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """All characters in turn, as code points, and how many each string has."""
+    n = np.fromiter(map(len, strings), np.int64, len(strings))
+    return np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), np.uint32), n
+
+
+def _places(n: np.ndarray) -> np.ndarray:
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def best_edit_distances(patterns: list[str], texts: list[str]) -> np.ndarray:
+    """Of each row the fewest edits of its pattern against any stretch of its text.
+
+    A column of the table of differences is a bit per symbol of the pattern, 64 to a word; one step takes the next symbol of the texts of all rows
+    at once, and carries go from word to word.
+    """
+    out = np.zeros(len(patterns), np.int64)
+    size = np.fromiter(map(len, patterns), np.int64, len(patterns))
+    alphabet = len(set("".join(patterns))) + 1
+    words = int(-(-size.max() // 64)) if len(size) else 0
+    step = max(1, CELLS // max(1, alphabet * words))
+    order = np.argsort([len(t) for t in texts], kind="stable")  # rows that end together go together
+    for at in range(0, len(order), step):
+        own = order[at : at + step].tolist()
+        out[own] = _columns([patterns[i] for i in own], [texts[i] for i in own])
+    return out
+
 
-def best_edit_distance(pattern: str, text: str) -> int:
-    """Fewest edits of pattern against any stretch of text, a bit per pattern symbol."""
-    m = len(pattern)
-    if not m:
-        return 0
-    masks: dict[str, int] = {}
-    for i, c in enumerate(pattern):
-        masks[c] = masks.get(c, 0) | 1 << i
-    full, top = (1 << m) - 1, 1 << m - 1
-    plus, minus, score, best = full, 0, m, m
-    for c in text:
-        eq = masks.get(c, 0)
+def _columns(patterns: list[str], texts: list[str]) -> np.ndarray:
+    chars, m = _symbols(patterns)
+    text, n = _symbols(texts)
+    rows, words = len(m), max(1, int(-(-m.max() // 64)) if len(m) else 1)
+    known = np.unique(chars)
+    mask = np.zeros((len(known) + 1, words, rows), np.uint64)  # the last is of symbols that no pattern has
+    row, place = np.repeat(np.arange(rows), m), _places(m)
+    np.bitwise_or.at(mask, (np.searchsorted(known, chars), place // 64, row), _ONE << (place % 64).astype(np.uint64))
+    code = np.searchsorted(known, text)
+    code[(code == len(known)) | (known[np.minimum(code, len(known) - 1)] != text if len(known) else True)] = len(known)
+    grid = np.full((int(n.max()) if len(n) else 0, rows), len(known))
+    grid[_places(n), np.repeat(np.arange(rows), n)] = code
+    every, top_word, top_bit = np.arange(rows), np.maximum(m - 1, 0) // 64, (np.maximum(m - 1, 0) % 64).astype(np.uint64)
+    plus, minus = np.full((words, rows), ~np.uint64(0)), np.zeros((words, rows), np.uint64)
+    score, best = m.copy(), m.copy()
+    for j in range(len(grid)):
+        eq = mask[grid[j], :, every].T
         x = eq | minus
-        d = (((eq & plus) + plus) ^ plus) | eq | minus
-        up, down = minus | (~(d | plus) & full), plus & d
-        score += bool(up & top) - bool(down & top)
-        best = min(best, score)
-        up, down = (up << 1) & full, (down << 1) & full
-        plus, minus = down | (~(x | up) & full), up & x
+        both = eq & plus
+        total = np.empty_like(plus)
+        carry = np.zeros(rows, np.uint64)
+        for w in range(words):
+            part = both[w] + plus[w]
+            total[w] = part + carry
+            carry = ((part < both[w]) | (total[w] < part)).astype(np.uint64)
+        d = (total ^ plus) | x
+        up, down = minus | ~(d | plus), plus & d
+        score += ((up[top_word, every] >> top_bit) & _ONE).astype(np.int64) - ((down[top_word, every] >> top_bit) & _ONE).astype(np.int64)
+        np.minimum(best, np.where(j < n, score, best), out=best)
+        for v in (up, down):
+            over = v >> np.uint64(63)
+            v <<= _ONE
+            v[1:] |= over[:-1]
+        plus, minus = down | ~(x | up), up & x
     return best
 
 
 @F.pandas_udf(IntegerType())
 def pattern_distance(pattern: pd.Series, text: pd.Series) -> pd.Series:
-    return pd.Series([best_edit_distance(p, t) for p, t in zip(pattern, text, strict=True)])
+    """best_edit_distances() of two columns; null if either is."""
+    known = (pattern.notna() & text.notna()).to_numpy()
+    out = pd.Series([None] * len(pattern), dtype="Int32")
+    out[known] = best_edit_distances(pattern[known].tolist(), text[known].tolist()).astype(np.int32)
+    return out
 
 
-def diagonal_scores(sequences: DataFrame, q: int = 6, least: int = 2) -> DataFrame:
-    """(a, b, score) of sequences (id, seq), a < b: stretches of q symbols in common, over diagonals that have at least `least` of them.
+#: Which five of six bases in a row make a word.
+SPACED = ((0, 1, 2, 3, 4), (0, 1, 2, 3, 5), (0, 1, 2, 4, 5), (0, 1, 3, 4, 5), (0, 2, 3, 4, 5))
+_SPAN = 6
 
-    Stretches are joined by value, so only pairs that share one meet.
+
+def _words(sequences: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, sequence, place) of all spaced words; anything but C, G and T counts as A."""
+    chars, n = _symbols(sequences)
+    code = np.zeros(len(chars), np.int64)
+    for v, c in enumerate("CGT", 1):
+        code[(chars == ord(c)) | (chars == ord(c.lower()))] = v
+    place, of = _places(n), np.repeat(np.arange(len(n)), n)
+    at = np.flatnonzero(place + _SPAN <= n[of])
+    word = np.concatenate([sum(code[at + o] << 2 * (4 - k) for k, o in enumerate(mask)) for mask in SPACED]) if len(at) else np.zeros(0, np.int64)
+    return word, np.tile(of[at], len(SPACED)), np.tile(place[at], len(SPACED))
+
+
+def diagonals(asked: list[str], others: list[str], least: float) -> np.ndarray:
+    """Scores (others x asked): of each diagonal the words that both have there, pattern against pattern; summed over diagonals with more than `least`."""
+    out = np.zeros((len(others), len(asked)), np.int64)
+    wide = max(map(len, asked), default=0) + max(map(len, others), default=0) + 1
+    step_a = max(1, min(len(asked), CELLS // wide))
+    for a in range(0, len(asked), step_a):
+        some = asked[a : a + step_a]
+        word, of, place = _words(some)
+        order = np.argsort(word, kind="stable")
+        of, place = of[order], place[order]
+        first = np.searchsorted(word[order], np.arange(4**5 + 1))
+        step_b = max(1, CELLS // (wide * len(some)))
+        for b in range(0, len(others), step_b):
+            w, row, at = _words(others[b : b + step_b])
+            counts = np.zeros(min(step_b, len(others) - b) * len(some) * wide, np.int64)
+            low, many = first[w], first[w + 1] - first[w]
+            cut = [0, *(np.flatnonzero(np.diff(np.cumsum(many) // MATCHES)) + 1).tolist(), len(w)]
+            for x, y in zip(cut, cut[1:], strict=False):  # a word that many hold is met in parts
+                n = many[x:y]
+                hit = np.repeat(low[x:y], n) + _places(n)
+                cell = (np.repeat(row[x:y], n) * len(some) + of[hit]) * wide + place[hit] - np.repeat(at[x:y], n) + max(map(len, others))
+                counts += np.bincount(cell, minlength=len(counts))
+            table = counts.reshape(-1, len(some), wide)
+            out[b : b + step_b, a : a + step_a] = np.where(table > least, table, 0).sum(axis=2)
+    return out
+
+
+def diagonal_scores(sequences: DataFrame, asked: DataFrame, least: float = 61.08) -> DataFrame:
+    """(asked_id, id, score) of asked (id: long, seq) against all sequences (id: long, seq) where the score is positive: spaced words in common on diagonals.
+
+    Asked sequences are dealt to blocks of about ASKED, and all sequences to every block and, in it, to a salt; a task
+    holds a block and streams sequences through it, so no row is made of a pair that only shares words. Null sequences score nothing.
     """
-    grams = sequences.where(F.length("seq") >= q).select("id", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("seq") - q + 1), lambda i: F.substring(F.col("seq"), i, F.lit(q)))).alias("pos", "gram"))
-    x, y = grams.alias("x"), grams.alias("y")
-    j = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.id") < F.col("y.id")))
-    d = j.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b"), (F.col("x.pos") - F.col("y.pos")).alias("diagonal")).agg(F.count("*").alias("n"))
-    return d.where(F.col("n") >= least).groupBy("a", "b").agg(F.sum("n").alias("score"))
+    spark = sequences.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = asked.count() // ASKED + 1
+    salts = max(1, n // blocks)
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    first = asked.where("seq is not null").select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), every(salts).alias("salt"), F.lit(0).alias("kind"), "id", "seq")
+    rest = sequences.where("seq is not null").select(every(blocks).alias("block"), F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"), F.lit(1).alias("kind"), "id", "seq")
+
+    def scored(ids: list[int], seqs: list[str], other: list[tuple[int, str]]) -> pa.RecordBatch:
+        s = diagonals(seqs, [x for _, x in other], least)
+        b, a = np.nonzero(s)
+        own = np.array([i for i, _ in other], np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[a]), pa.array(own[b]), pa.array(s[b, a])], names=["asked_id", "id", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, seqs = None, [], []
+        for batch in batches:
+            other: list[tuple[int, str]] = []
+            for block, salt, kind, i, seq in zip(*(batch.column(c).to_pylist() for c in ("block", "salt", "kind", "id", "seq")), strict=True):
+                if now != (block, salt):
+                    if other:
+                        yield scored(ids, seqs, other)
+                    now, ids, seqs, other = (block, salt), [], [], []
+                if kind == 0:
+                    ids.append(i)
+                    seqs.append(seq)
+                elif ids:
+                    other.append((i, seq))
+            if other:
+                yield scored(ids, seqs, other)
+
+    return first.union(rest).repartition(n, "block", "salt").sortWithinPartitions("block", "salt", "kind").mapInArrow(run, "asked_id long, id long, score long")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from polyrun.functions import dna
+from polyrun.functions import dna, similarity
 from polyrun.operators import annotate, cluster, counts, mapping, reference, report, scan, stats
 from polyrun.options import Options
 from polyrun.plans import cluster_sql
@@ -151,6 +151,19 @@ def common_prefix_suffix(spark, d):
     return p.select("a", "b", dna.common_prefix("a", "b").alias("prefix"), dna.common_suffix("a", "b").alias("suffix"))
 
 
+def pattern_distance(spark, d):
+    """Fewest edits of a context against any stretch of the tract of another."""
+    p = _near_pairs(spark, d).withColumn("a", F.concat("left_ctx", "base", "right_ctx")).withColumn("b", dna.tract_string("l2", "base", "r2", F.lit(5)))
+    return p.select("a", "b", similarity.pattern_distance("a", "b").alias("distance"))
+
+
+def diagonal_scores(spark, d):
+    """Spaced words on diagonals of the tracts of the asked contexts and all contexts; a tract is told by its code."""
+    c = _contexts(spark, d).where("base = 'A'").select((dna.kmer_code("left_ctx") * 4**K + dna.kmer_code("right_ctx")).alias("id"), dna.tract_string("left_ctx", "base", "right_ctx", F.lit(4)).alias("seq"))
+    c = checkpointed(c)
+    return similarity.diagonal_scores(c, c.where(F.col("id") % ASKED == 0), 20)
+
+
 def context_names(spark, d):
     neg = F.col("canon_flag") == 2
     return _elements(spark, d).select("sample_idx", "length", dna.context_name("left_ctx", "base", "right_ctx", neg).alias("name"), dna.tract_string("left_ctx", "base", "right_ctx", "length", neg).alias("tract"))
@@ -518,6 +531,13 @@ def oracle_sql():
         "shift_distance": f"WITH {_COUNTS} SELECT *, {_shift('left_ctx', 'l2')} + {_shift('right_ctx', 'r2')} AS distance FROM near_pairs",
         "context_levenshtein": f"WITH {_COUNTS} SELECT *, levenshtein(left_ctx || '.' || base || '.' || right_ctx, l2 || '.' || base || '.' || r2) AS distance FROM near_pairs",
         "common_prefix_suffix": f"WITH {_COUNTS}, p AS (SELECT {a4} AS a, {b5} AS b FROM near_pairs), q AS (SELECT *, reverse(a) AS ra, reverse(b) AS rb FROM p) SELECT a, b, CAST({_lcp('a', 'b')} AS INT) AS prefix, CAST(least({_lcp('ra', 'rb')}, least(length(a), length(b)) - {_lcp('a', 'b')}) AS INT) AS suffix FROM q",
+        "pattern_distance": f"""WITH {_COUNTS}, p AS (SELECT left_ctx || base || right_ctx AS a, {b5} AS b, row_number() OVER () AS r FROM near_pairs),
+            w AS (SELECT r, a, b, i, unnest(range(0, length(b) - i + 2)) AS n FROM (SELECT *, unnest(range(1, length(b) + 1)) AS i FROM p))
+            SELECT a, b, CAST(min(levenshtein(a, substr(b, i, n))) AS INT) AS distance FROM w GROUP BY r, a, b""",
+        "diagonal_scores": f"""WITH {_COUNTS}, s AS (SELECT {_code("left_ctx")}::BIGINT * {4**K} + {_code("right_ctx")} AS id, {a4} AS seq FROM pool WHERE base = 'A'),
+            w AS (SELECT id, i, unnest([{", ".join(" || ".join(f"substr(seq, i + {o}, 1)" for o in mask) for mask in similarity.SPACED)}]) AS word FROM (SELECT *, unnest(range(1, length(seq) - 4)) AS i FROM s)),
+            g AS (SELECT a.id AS asked_id, b.id, a.i - b.i AS diagonal, count(*) AS n FROM w a JOIN w b USING (word) WHERE a.id % {ASKED} = 0 GROUP BY 1, 2, 3)
+            SELECT asked_id, id, CAST(sum(n) AS BIGINT) AS score FROM g WHERE n > 20 GROUP BY 1, 2""",
         "context_names": f"WITH {_COUNTS}, e AS (SELECT *, canon_flag = 2 AS neg, left_ctx || repeat(base, length) || right_ctx AS t FROM elements) SELECT sample_idx, length, CASE WHEN neg THEN reverse(translate(right_ctx, 'ACGT', 'TGCA')) || '.' || translate(base, 'ACGT', 'TGCA') || '.' || reverse(translate(left_ctx, 'ACGT', 'TGCA')) ELSE left_ctx || '.' || base || '.' || right_ctx END AS name, CASE WHEN neg THEN reverse(translate(t, 'ACGT', 'TGCA')) ELSE t END AS tract FROM e",
         "revcomp": f"WITH {_FIXTURE} SELECT read_id, {rc} AS rc FROM reads",
         "translate_protein": f"WITH {_FIXTURE}, t AS (SELECT read_id, seq, {rc} AS back FROM reads) SELECT read_id, {_protein('seq')} AS protein, {_protein('back')} AS reverse_protein FROM t",

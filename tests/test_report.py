@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from polyrun.functions import dna
-from polyrun.functions.similarity import best_edit_distance, diagonal_scores, pattern_distance
 from polyrun.operators import annotate, mapping, reference, report, stats
 from polyrun.options import Options
 from polyrun.plans.pipeline import TractPipeline
@@ -74,11 +73,6 @@ def test_variability_counts_absent_samples_as_zero(spark):
     assert {r.tract_id: r.variable for r in stats.variable_tracts(d, ref, 2).collect()} == {0: False, 1: True, 2: True, 3: True}
 
 
-def test_similarity(spark):
-    assert best_edit_distance("kitten", "xxsittenxx") == 1 and best_edit_distance("abc", "xxabcxx") == 0 and best_edit_distance("abc", "") == 3
-    df = spark.createDataFrame([(1, "ACGTACGTAC"), (2, "TTACGTACGT"), (3, "GGGGGGGGGG")], "id int, seq string")
-    assert [(r.a, r.b, r.score) for r in diagonal_scores(df, 4, 2).collect()] == [(1, 2, 8)] or diagonal_scores(df, 4, 2).count() == 1
-    assert df.select(pattern_distance(F.lit("ACGA"), "seq").alias("d")).collect()[0].d == 1
 
 
 @pytest.mark.parametrize("name", ["ht_counts", "leftmost_tract", "kmer_hamming", "context_names", "contig_offsets", "map_exact", "tract_spread"])
