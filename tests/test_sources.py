@@ -150,7 +150,7 @@ def test_command_line(spark, tmp_path):
     assert ("61", "gene1", "4", "4.00", "5.00") in {tuple(r)[1:] for r in table.collect()}
     assert spark.read.csv(f"{out}/variable_tracts.bed", sep="\t").count() == table.count()
     assert spark.read.csv(f"{out}/tract_list.tsv", sep="\t", header=True).columns[0] == "tract_id"
-    assert spark.read.text(f"{out}/vcf/sample=b").where("value like 'c0%'").count() == 1
+    assert spark.read.text(f"{out}/vcf/b.vcf.gz").where("value like 'c0%'").count() == 1
 
 
 def test_whole_run(spark, tmp_path):
@@ -174,7 +174,27 @@ def test_whole_run(spark, tmp_path):
     out = sinks.output_dir(str(tmp_path / "out"))
     sinks.write_tsv(run.matrix(), out + "average", {"sample_0": 2, "sample_1": 2})
     sinks.write_vcf(run.vcf, contigs, {0: "s/0", 1: "s1"}, out + "vcf")
-    text = spark.read.text(out + "vcf/sample=s1").collect()
-    assert text[0].value == "##fileformat=VCFv4.2" and text[-1].value.startswith("c0\t65\t.\tA\tAA\t")
+    names = {p.name: gzip.open(p, "rt").read().splitlines() for p in (tmp_path / "out" / "vcf").iterdir()}
+    assert sorted(names) == ["s1.vcf.gz", "s_0.vcf.gz"]  # one whole file each, that without variants too, and nothing else
+    assert names["s1.vcf.gz"][0] == "##fileformat=VCFv4.2" and names["s1.vcf.gz"][-1].startswith("c0\t65\t.\tA\tAA\t") and names["s_0.vcf.gz"][-1].endswith("FORMAT\ts_0")
+    assert sum(x.startswith("#CHROM") for x in names["s1.vcf.gz"]) == 1
     assert spark.read.text(out + "average").count() >= 2
     assert sinks.output_dir(None) == "./" and sinks.output_dir("random").startswith("out")
+
+
+def test_variant_files_of_many_samples_and_of_a_job_that_fails(spark, tmp_path):
+    contigs = spark.createDataFrame([(0, "c0", "A", 900), (1, "c1", "A", 90)], "ref_id int, contig string, seq string, len int")
+    rows = [(s, f"c{p % 2}", p, "A", "AC", f"tid_{p:06d}") for s in range(5) for p in random.Random(s).sample(range(1000), 60 * s)]
+    df = spark.createDataFrame(rows, "sample_idx int, chrom string, pos int, ref string, alt string, tid string").repartition(7)
+    out = str(tmp_path / "vcf")
+    sinks.write_vcf(df, contigs, {0: "none", 1: "x", 2: "y z", 3: "x", 4: "w"}, out)
+    got = {p.name: gzip.open(p, "rt").read().splitlines() for p in (tmp_path / "vcf").iterdir()}
+    assert sorted(got) == ["none.vcf.gz", "w.vcf.gz", "x_1.vcf.gz", "x_3.vcf.gz", "y_z.vcf.gz"]
+    for s, name in enumerate(["none", "x_1", "y_z", "x_3", "w"]):
+        body = [x.split("\t") for x in got[f"{name}.vcf.gz"] if x[0] != "#"]
+        assert [(x[0], int(x[1])) for x in body] == sorted((r[1], r[2]) for r in rows if r[0] == s)
+        assert got[f"{name}.vcf.gz"][3:5] == ["##contig=<ID=c0,length=900>", "##contig=<ID=c1,length=90>"]
+    bad = df.withColumn("ref", F.when((F.col("sample_idx") == 4) & (F.col("pos") > 500), F.raise_error(F.lit("lost"))).otherwise(F.col("ref")))
+    with pytest.raises(Exception, match="lost"):
+        sinks.write_vcf(bad, contigs, {s: f"s{s}" for s in range(5)}, str(tmp_path / "other"))
+    assert not (tmp_path / "other").exists() or list((tmp_path / "other").iterdir()) == []
