@@ -89,6 +89,32 @@ def spanning(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = No
     return label, np.concatenate(used) if used else np.zeros(0, np.int64)
 
 
+def thinned(edges: DataFrame, window: int = 1 << 20) -> DataFrame:
+    """Edges (u, v: long) with the components of edges: of each `window` edges of a few partitions, those that span them."""
+
+    def run(batches):
+        held: list = []
+
+        def spanned():
+            u, v = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+            ids = np.unique(np.concatenate([u, v]))
+            _, used = spanning(len(ids), np.searchsorted(ids, u), np.searchsorted(ids, v))
+            return u[used], v[used]
+
+        for batch in batches:
+            held.append((batch.column("u").to_numpy(), batch.column("v").to_numpy()))
+            if sum(len(x[0]) for x in held) > window:
+                held = [spanned()]
+                if len(held[0][0]) > window // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], names=["u", "v"])
+                    held = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in spanned()], names=["u", "v"])
+
+    few = edges.select("u", "v")
+    return few.coalesce(max(1, width(edges.sparkSession) // 16)).mapInArrow(run, "u long, v long").distinct()
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) of every node in edges (u, v: long), root the smallest node reachable.
 

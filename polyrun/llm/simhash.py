@@ -11,7 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, checkpointed, components, pieces, ragged, spanning, width
+from .common import byte_values, checkpointed, components, pieces, spanning, thinned, width, with_hot_keys
+from .ngram_join import region_links, shingle_set
 
 #: Rows of one upper node that a task holds at a time; larger nodes are split by more of their bits.
 NODE_ROWS = 16_384
@@ -158,27 +159,6 @@ def gray_links(f: np.ndarray, group: np.ndarray, limits: Sequence[int]) -> tuple
     return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
 
-def all_links(f: np.ndarray, group: np.ndarray, part: np.ndarray, limit: int, pairs: int = 1 << 17):
-    """Yields (a, b), index pairs of rows of one group and different parts that differ in `limit` bits at most: all of them."""
-    n = len(f)
-    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if n else np.zeros(0, np.int64)
-    end = np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n)))
-    after = end - np.arange(n) - 1
-    total = np.cumsum(after)
-    at = 0
-    while at < n:  # rows at a time, each with all that follow it in its group
-        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + pairs, side="right")))
-        a, b = np.repeat(np.arange(at, to), after[at:to]), ragged(np.arange(at, to) + 1, after[at:to])
-        apart = part[a] != part[b]
-        a, b = a[apart], b[apart]
-        distance = np.zeros(len(a), np.int64)
-        for k in range(f.shape[1]):
-            distance += np.bitwise_count(f[a, k] ^ f[b, k])
-        near = distance <= limit
-        yield a[near], b[near]
-        at = to
-
-
 def pigeonhole_masks(limit: int, depth: int = 4) -> list[dict[tuple, list[tuple]]]:
     """For each depth, node mask -> masks of the nodes below. Rows that differ in `limit` bits agree on one of limit + 1 parts of the free bits."""
 
@@ -210,11 +190,9 @@ def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
-def links(nodes: DataFrame, words: int, masks: list[dict[tuple, list[tuple]]], limits: Sequence[int], known: str | None = None) -> DataFrame:
+def links(nodes: DataFrame, words: int, masks: list[dict[tuple, list[tuple]]], limits: Sequence[int]) -> DataFrame:
     """(u, v) node ids that span what is linked at limits[-1] bits. nodes: node (long) and f0, f1, ... (node is distinct).
 
-    With `known`, a column of nodes: all links between rows that differ in it, not a forest of them.
-
     The index is dealt out by its upper nodes: a node is a mask with the bits that its rows have under it. A task
     sorts the rows of its nodes by Gray rank and runs gray_links() on them. A node with over NODE_ROWS rows is not
     held: its rows come back and are dealt out again by nodes with more bits, so a dense region is spread over
@@ -225,7 +203,7 @@ def links(nodes: DataFrame, words: int, masks: list[dict[tuple, list[tuple]]], l
     names = [f"f{k}" for k in range(words)]
     n = width(nodes.sparkSession)
     blocks = len(masks) == 1  # large nodes are split by blocks of rows
-    rows = nodes.select("node", *names, (F.col(known) if known else F.lit(None).cast("long")).alias("part"), F.lit(0).alias("m"))
+    rows = nodes.select("node", *names, F.lit(0).alias("m"))
     ids, parents = {0: (0,) * words}, [0]
     edges: list[DataFrame] = []
     gray = F.col("f0")
@@ -234,8 +212,8 @@ def links(nodes: DataFrame, words: int, masks: list[dict[tuple, list[tuple]]], l
 
     def found(dealt, last):
         dealt = dealt.repartition(n, "key").sortWithinPartitions("key", "m", gray.bitwiseXOR(F.lit(-(2**63))), *names)
-        kinds = ", ".join(["u long", "v long", "m int", *(f"{c} long" for c in names), "part long", "key long"])
-        return checkpointed(dealt.mapInArrow(_linker(names, limits, last, known is not None), kinds))
+        kinds = ", ".join(["u long", "v long", "m int", *(f"{c} long" for c in names), "key long"])
+        return checkpointed(dealt.mapInArrow(_linker(names, limits, last), kinds))
 
     for depth, below in enumerate(masks):
         last = depth == len(masks) - 1 and not blocks
@@ -251,17 +229,17 @@ def links(nodes: DataFrame, words: int, masks: list[dict[tuple, list[tuple]]], l
             each = F.array(*options)
             choice = F.when(F.col("m") == p, each) if choice is None else choice.when(F.col("m") == p, each)
         parents = made
-        dealt = rows.select("node", *names, "part", F.explode(choice).alias("x")).select("node", *names, "part", "x.m", "x.key")
+        dealt = rows.select("node", *names, F.explode(choice).alias("x")).select("node", *names, "x.m", "x.key")
         out = found(dealt, last)
         edges.append(out.where("m is null").select("u", "v"))
-        rows = out.where("m is not null").select(F.col("u").alias("node"), *names, "part", "m", "key")
+        rows = out.where("m is not null").select(F.col("u").alias("node"), *names, "m", "key")
         if last or rows.isEmpty():
             break
         if blocks:
             count = rows.groupBy("key", "m").agg((F.floor(2 * F.count("*") / NODE_ROWS) + 1).cast("long").alias("blocks"))
             own = F.pmod(F.xxhash64("node"), F.col("blocks"))
             met = rows.join(count, ["key", "m"]).withColumn("own", own).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-            met = met.select("node", *names, "part", "m", F.xxhash64("m", "key", F.least("own", "other"), F.greatest("own", "other")).alias("key"))
+            met = met.select("node", *names, "m", F.xxhash64("m", "key", F.least("own", "other"), F.greatest("own", "other")).alias("key"))
             edges.append(found(met, True).select("u", "v"))
     total = edges[0]
     for e in edges[1:]:
@@ -269,29 +247,26 @@ def links(nodes: DataFrame, words: int, masks: list[dict[tuple, list[tuple]]], l
     return total.distinct()
 
 
-def _linker(names, limits, last, every):
+def _linker(names, limits, last):
     def run(batches):
-        fixed = [*names, "part", "key"]
+        fixed = [*names, "key"]
         schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("m", pa.int32()), *((c, pa.int64()) for c in fixed)])
 
-        def linked(key, node, m, f, part):
-            found = all_links(f, key, part, limits[-1]) if every else [gray_links(f, key, limits)]
-            for a, b in found:
-                none = pa.nulls(len(a), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b]), pa.nulls(len(a), pa.int32()), *[none] * len(fixed)], schema=schema)
+        def linked(key, node, m, f):
+            a, b = gray_links(f, key, limits)
+            none = pa.nulls(len(a), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b]), pa.nulls(len(a), pa.int32()), *[none] * len(fixed)], schema=schema)
 
-        def returned(key, node, m, f, part):
+        def returned(key, node, m, f):
             cols = [pa.array(f[:, k].view(np.int64)) for k in range(len(names))]
-            again = pa.array(part) if every else pa.nulls(len(node), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(node), pa.nulls(len(node), pa.int64()), pa.array(m), *cols, again, pa.array(key)], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(node), pa.nulls(len(node), pa.int64()), pa.array(m), *cols, pa.array(key)], schema=schema)
 
         held: list[tuple] = []
         large = None  # the key of a node that is being passed back
         for batch in batches:
             key, node, m = (batch.column(c).to_numpy() for c in ("key", "node", "m"))
             f = np.stack([batch.column(c).to_numpy() for c in names], axis=1).view(np.uint64)
-            part = batch.column("part").to_numpy() if every else key
-            now = [key, node, m, f, part]
+            now = [key, node, m, f]
             if held:
                 now = [np.concatenate([h, x]) for h, x in zip(held, now, strict=True)]
             key = now[0]
@@ -322,10 +297,10 @@ def _linker(names, limits, last, every):
                 if big.any() and not last:
                     yield returned(*(x[big] for x in now))
                     done &= ~big
-                yield from linked(*(x[done] for x in now))
+                yield linked(*(x[done] for x in now))
             held = [x[tail:] for x in now]
         if held and len(held[0]):
-            yield from linked(*held)
+            yield linked(*held)
 
     return run
 
@@ -349,78 +324,51 @@ def simhash_components(docs: DataFrame, shingle: int = 3, limit: int = 3) -> Dat
     return rows.join(to, "f0").select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id and the sorted distinct shingle hashes of each row."""
-
-    def run(batches):
-        for batch in batches:
-            for part in pieces(batch, "text"):
-                each = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in byte_values(part.column("text"))]
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(each)))], names=["doc_id", "hashes"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, hashes array<long>")
-
-
 def set_fingerprints(docs: DataFrame, shingle: int, words: int) -> DataFrame:
-    """doc_id, s0 and s1 (128 bits of the sorted distinct shingle hashes) and f0, f1, ... (majority bits of them) of each row with words.
+    """doc_id, n (size), s0 and s1 (128 bits) of the set of shingles, and f0, f1, ... (majority bits of it) of each row with words.
 
     Each shingle counts once, as in the similarity of sets: a word that is repeated all over a text does not decide its bits.
     """
-    names = ["s0", "s1", *(f"f{k}" for k in range(words))]
+    names = ["n", "s0", "s1", *(f"f{k}" for k in range(words))]
 
     def run(batches):
         for batch in batches:
             for part in pieces(batch, "text", 1 << 20):
-                each = [np.unique(shingle_hashes(t, shingle)) for t in byte_values(part.column("text"))]
+                each = [shingle_set(t, shingle) for t in byte_values(part.column("text"))]
                 n = np.fromiter(map(len, each), np.int64, len(each))
                 h = np.concatenate(each)
                 whole = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in each), np.int64).reshape(-1, 2)
-                cols = [whole[:, 0], whole[:, 1], *(majority(_more(h, k), n).view(np.int64) for k in range(words))]
+                cols = [n, whole[:, 0], whole[:, 1], *(majority(_more(h, k), n).view(np.int64) for k in range(words))]
                 out = pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c) for c in cols)], names=["doc_id", *names])
                 yield out.filter(pa.array(n > 0))
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(["doc_id long", *(f"{c} long" for c in names)]))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 4, bits: int = 14, tables: int = 48) -> DataFrame:
-    """(doc_id, component_id) of documents that are linked to another by a Jaccard similarity of shingle sets of at least `similarity`.
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, words: int = 4, bits: int = 14, tables: int = 48) -> DataFrame:
+    """(doc_id, component_id) of documents that are linked to another by a Jaccard similarity of shingle sets of at least `percent` in 100.
 
     Fingerprints have 64 * words bits, as a similarity of 0.8 turns about 15 % of a SimHash's bits, too many for an
     exact index of 64. Candidates agree under one of `tables` sampled masks and differ in at most
-    BITS_APART bits of 256; the exact similarity of the two shingle sets decides. The masks find a pair of
-    similarity 0.8 with a probability of over 0.99 by arithmetic, more similar ones almost surely. Candidates are first a forest;
-    wherever one of its links fails the similarity, all candidate pairs that are not joined by true links are verified. Documents with equal shingle sets are one node,
-    represented by the smallest doc_id; equal fingerprints alone are verified as any other link. Rows without doc_id are ignored; texts without words are no duplicates.
+    BITS_APART bits of 256; the masks find a pair of similarity 0.8 with a probability of over 0.99 by arithmetic, more similar ones almost surely.
+    The index gives a forest of candidates; in each of its trees all pairs are verified exactly, by pivots and the triangle inequality
+    (ngram_join.py), so no link depends on which candidates the forest holds. Documents with equal shingle sets are one node,
+    represented by the smallest doc_id. Rows without doc_id are ignored; texts without words are no duplicates.
     """
     names = [f"f{k}" for k in range(words)]
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     rows = checkpointed(set_fingerprints(d, shingle, words))
-    nodes = rows.groupBy("s0", "s1", *names).agg(F.min("doc_id").alias("node")).dropDuplicates(["node"])
+    nodes = checkpointed(rows.groupBy(F.col("s0").alias("node")).agg(F.min("doc_id").alias("doc_id"), *[F.min_by(c, "s1").alias(c) for c in ("n", *names)]))
     total = 64 * words
-    masks, limits = sampled_masks(words, bits, tables), [total // 12, total * BITS_APART // 256]
-
-    def verified(edges):
-        ends = edges.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-        sets = shingle_sets(d.join(ends, "doc_id", "left_semi"), shingle).dropDuplicates(["doc_id"])
-        pairs = edges.join(sets.select(F.col("doc_id").alias("u"), F.col("hashes").alias("a")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("hashes").alias("b")), "v")
-        same = F.size(F.array_intersect("a", "b"))
-        return checkpointed(pairs.select("u", "v", (same >= F.lit(similarity) * (F.size("a") + F.size("b") - same)).alias("near")))
-
-    forest = verified(checkpointed(links(nodes, words, masks, limits)))
-    true = forest.where("near").select("u", "v")
-    root = components(true)
-    failed = forest.where("not near").select("u", "v")
-    if not failed.isEmpty():
-        # a failed link may have stood for others: where a tree of candidates has one, all pairs of its separate parts are looked at
-        tree = components(forest.select("u", "v"))
-        open_ = failed.join(tree, failed.u == tree.node).select("root").distinct()
-        again = nodes.join(tree.join(open_, "root", "left_semi").select("node"), "node").join(root.withColumnRenamed("root", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
-        more = links(checkpointed(again), words, masks, limits, "part").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        true = true.union(verified(checkpointed(more)).where("near").select("u", "v"))
-        root = components(true)
-    near = nodes.join(root, "node", "left").select("s0", "s1", F.coalesce("root", "node").alias("component_id"))
-    return rows.join(near, ["s0", "s1"]).select("doc_id", "component_id")
+    forest = links(nodes.select("node", *names), words, sampled_masks(words, bits, tables), [total // 12, total * BITS_APART // 256])
+    tree = components(thinned(forest))
+    regions = nodes.join(tree, "node").select(F.col("root").alias("region"), "node", "doc_id", "n")
+    root = components(thinned(region_links(d, regions, shingle, percent)))
+    named = nodes.select("node", "doc_id").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    copies = rows.groupBy(F.col("s0").alias("node")).agg(F.count("*").alias("copies"))
+    to = checkpointed(named.join(least, "root").join(copies, "node").select("node", "component_id", "copies"))
+    return with_hot_keys(rows.select("doc_id", "s0"), to, F.col("s0") == F.col("node"), "copies").select("doc_id", "component_id")
 
 
 def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
