@@ -9,7 +9,7 @@ from polyrun.functions.dna import context_name, shift_distance
 from polyrun.options import Options
 
 from .mapping import with_segment
-from .scan import monomer_hits, tract_hits
+from .scan import run_hits
 
 _FAR = 0xFFFFFF
 
@@ -39,9 +39,7 @@ def best_reference_tract(borders: DataFrame, concat: DataFrame, contigs: DataFra
     b = b.withColumn("w_len", F.least(F.col("border_hi") - F.col("border_lo") + 2 * extra, F.col("len") - F.col("w_start")))
     cut = with_segment(b, contigs, F.col("w_start"), F.col("w_len"))
     keep = ["tract_id", "h_base", "h_neg", "mode_left", "mode_right", "w_start"]
-    runs = tract_hits(cut, k, 2, keep, "segment").withColumn("mono", F.lit(0))
-    ones = monomer_hits(cut, k, keep, "segment").withColumn("mono", F.lit(1))
-    c = runs.unionByName(ones)
+    c = run_hits(cut, k, keep, "segment").withColumn("mono", (F.col("length") == 1).cast("int"))
     alike = (F.col("base") == F.col("h_base")) & (((F.col("canon_flag") == 1) & ~F.col("h_neg")) | ((F.col("canon_flag") == 2) & F.col("h_neg")))
     dist = F.when(alike, shift_distance("left_ctx", "right_ctx", "mode_left", "mode_right", k, options.compat)).otherwise(_FAR)
     name = context_name("left_ctx", "base", "right_ctx", F.col("canon_flag") == 2)

@@ -5,12 +5,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from polyrun.functions.dna import clean, pack_safe, revcomp
 
+#: Bases that are scanned at a time.
+SCANNED = 4 << 20
 HIT_COLUMNS = "base string, left_ctx string, right_ctx string, length int, read_offset int, canon_flag int"
 _COMPLEMENT = str.maketrans("ACGTU", "TGCAA")
 _NO_BASE = re.compile("[^ACGT]")
@@ -39,20 +42,69 @@ def sequence_monomers(seq: str, k: int, fold: bool = True) -> list[tuple]:
     return [_hit(seq, i, i + 1, k) for i in range(k, len(seq) - k) if seq[i] in "ACGT" and seq[i] != seq[i - 1] and seq[i] != seq[i + 1]]
 
 
-def _flat_map(df: DataFrame, seq: str, keep: list[str], scan) -> DataFrame:
+#: Codes of bytes: A, C, G, T are 0 to 3, anything else 4; 5 parts sequences. FOLDED takes lower case, and U as T.
+_PLAIN = np.full(256, 4, np.uint8)
+_PLAIN[list(b"ACGT")] = range(4)
+_PLAIN[0] = 5
+_FOLDED = _PLAIN.copy()
+_FOLDED[list(b"acgtUu")] = [0, 1, 2, 3, 3, 3]
+_FORWARD, _REVERSE = (np.frombuffer(x, np.uint8) for x in (b"ACGTA", b"TGCAA"))
+
+
+def _strings(chars: np.ndarray, width: int) -> pa.Array:
+    """Strings of one width from their bytes in turn."""
+    n = chars.size // width
+    return pa.StringArray.from_buffers(n, pa.py_buffer((np.arange(n + 1) * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(chars)))
+
+
+def array_hits(seqs: list[str], k: int, least: int, most: int | None, fold: bool) -> tuple[np.ndarray, list[pa.Array]]:
+    """Runs of `least` to `most` bases with k bases on both sides, of all sequences (ASCII) at once: (sequence of each, hit columns).
+
+    The sequences are one array of codes; a run ends where the next code differs. Flanks are gathered as a matrix of hits by k codes.
+    """
+    size = np.fromiter(map(len, seqs), np.int64, len(seqs))
+    code = (_FOLDED if fold else _PLAIN)[np.frombuffer("\0".join(seqs).encode() + b"\0", np.uint8)]
+    end_of = np.cumsum(size + 1) - 1
+    start = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+    stop = np.append(start[1:], len(code))
+    keep = (code[start] < 4) & (stop - start >= least)
+    if most is not None:
+        keep &= stop - start <= most
+    start, stop = start[keep], stop[keep]
+    row = np.searchsorted(end_of, start)
+    first = end_of[row] - size[row]
+    keep = (start - first >= k) & (stop + k <= end_of[row])
+    start, stop, row, first = start[keep], stop[keep], row[keep], first[keep]
+    base = code[start]
+    forward = base < 2
+    before, after = code[start[:, None] + np.arange(-k, 0)], code[stop[:, None] + np.arange(k)]
+    left = np.where(forward[:, None], _FORWARD[np.minimum(before, 4)], _REVERSE[np.minimum(after[:, ::-1], 4)])
+    right = np.where(forward[:, None], _FORWARD[np.minimum(after, 4)], _REVERSE[np.minimum(before[:, ::-1], 4)])
+    letter = np.where(forward, _FORWARD[base], _REVERSE[base])
+    numbers = (stop - start, start - first - k, np.where(forward, 1, 2))
+    return row, [_strings(letter, 1), _strings(left, k), _strings(right, k), *(pa.array(x.astype(np.int32)) for x in numbers)]
+
+
+def _flat_map(df: DataFrame, seq: str, keep: list[str], k: int, least: int, most: int | None, fold: bool) -> DataFrame:
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema if f.name in keep)
+    types = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32())
+
+    def by_row(seqs: list[str]) -> tuple[list[int], list[pa.Array]]:
+        """For sequences with characters that are no bytes or end arrays."""
+        found = [(i, h) for i, s in enumerate(seqs) for h in ([] if most == 1 else sequence_hits(s, k, least, fold)) + (sequence_monomers(s, k, fold) if least < 2 else [])]
+        cols = list(zip(*(h for _, h in found), strict=True)) or [[]] * 6
+        return [i for i, _ in found], [pa.array(c, t) for c, t in zip(cols, types, strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, hits = [], []
-            for i, s in enumerate(batch.column(seq).to_pylist()):
-                found = scan(s) if s else []
-                hits += found
-                rows += [i] * len(found)
-            own = batch.take(pa.array(rows, pa.int64()))
-            cols = list(zip(*hits, strict=True)) or [[]] * 6
-            types = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([*(own.column(c) for c in keep), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=[*keep, "base", "left_ctx", "right_ctx", "length", "read_offset", "canon_flag"])
+            seqs = [s or "" for s in batch.column(seq).to_pylist()]
+            step = max(1, len(seqs) * SCANNED // max(1, sum(map(len, seqs))))
+            for a in range(0, len(seqs), step):
+                some = seqs[a : a + step]
+                plain = all(s.isascii() and "\0" not in s for s in some)
+                rows, cols = array_hits(some, k, least, most, fold) if plain else by_row(some)
+                own = batch.slice(a, len(some)).take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*(own.column(c) for c in keep), *cols], names=[*keep, "base", "left_ctx", "right_ctx", "length", "read_offset", "canon_flag"])
 
     return df.select(seq, *keep).mapInArrow(run, f"{schema}, {HIT_COLUMNS}" if schema else HIT_COLUMNS)
 
@@ -60,12 +112,17 @@ def _flat_map(df: DataFrame, seq: str, keep: list[str], scan) -> DataFrame:
 def tract_hits(reads: DataFrame, k: int, min_tract: int, keep: list[str] | None = None, seq: str = "seq", compat: bool = False) -> DataFrame:
     """One row per tract in reads, with the columns `keep` (all but seq). A narrow flat map: nothing is shuffled."""
     keep = [c for c in reads.columns if c != seq] if keep is None else keep
-    return _flat_map(reads, seq, keep, lambda s: sequence_hits(s, k, min_tract, not compat))
+    return _flat_map(reads, seq, keep, k, max(min_tract, 2), None, not compat)
 
 
 def monomer_hits(reads: DataFrame, k: int, keep: list[str] | None = None, seq: str = "seq") -> DataFrame:
     keep = [c for c in reads.columns if c != seq] if keep is None else keep
-    return _flat_map(reads, seq, keep, lambda s: sequence_monomers(s, k))
+    return _flat_map(reads, seq, keep, k, 1, 1, True)
+
+
+def run_hits(reads: DataFrame, k: int, keep: list[str], seq: str = "seq") -> DataFrame:
+    """tract_hits() of two bases and more, and monomer_hits(), in one scan."""
+    return _flat_map(reads, seq, keep, k, 1, None, True)
 
 
 def tract_hits_columns(reads: DataFrame, k: int, min_tract: int, seq: str = "seq") -> DataFrame:

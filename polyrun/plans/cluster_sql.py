@@ -110,8 +110,9 @@ def run(n_samples: int) -> str:
     spread = " + ".join(f"max({c}) - CASE WHEN count(*) < {n_samples} THEN least(0, min({c})) ELSE min({c}) END" for c in ("mean_length", "modal_freq", "entropy"))
     return f"""
 ref_ht AS (
-  SELECT w.tract_id, w.ref_id, w.border_lo, w.border_hi, CAST(coalesce(z - a, 0) AS INT) AS tract_length, CAST(coalesce(a, w.border_lo + (w.border_hi - w.border_lo) // 2) AS INT) AS ht_location
-  FROM windows w LEFT JOIN (SELECT tract_id, a, z FROM chosen WHERE nth = 1) USING (tract_id)),
+  SELECT w.tract_id, w.ref_id, w.border_lo, w.border_hi, CAST(coalesce(z - a, 0) AS INT) AS tract_length, CAST(coalesce(a, w.border_lo + (w.border_hi - w.border_lo) // 2) AS INT) AS ht_location,
+         w.exemplar_concat_idx, coalesce(l || '.' || c || '.' || r, substr(o.seq, w.border_lo + 1, w.border_hi - w.border_lo)) AS ref_tract
+  FROM windows w JOIN contigs o USING (ref_id) LEFT JOIN (SELECT tract_id, a, z, l, c, r FROM chosen WHERE nth = 1) USING (tract_id)),
 of_sample AS (SELECT tract_id, sample_idx, count(*) AS c, arg_max(mean_length, location) AS mean_length, arg_max(modal_freq, location) AS modal_freq, arg_max(entropy, location) AS entropy FROM stat GROUP BY 1, 2),
 outer_ AS (SELECT tract_id, min(mode_length) AS lo, max(mode_length) AS hi FROM stat GROUP BY 1),
 moved AS (SELECT tract_id, sum(c) < {n_samples} OR {spread} > 1e-5 AS moves FROM of_sample GROUP BY 1),

@@ -279,7 +279,8 @@ def tract_list(spark, d):
 
 
 def context_differs_from_ref(spark, d):
-    return tract_list(spark, d).where("tract <> ref_tract").select("tract_id", "tract", "ref_tract")
+    """Tracts of the whole run, places within one edit, whose context is not that of the reference."""
+    return _pipeline(spark, d).tract_list.where("tract <> ref_tract").select("tract_id", "tract", "ref_tract")
 
 
 def frameshift_proxy(spark, d):
@@ -314,9 +315,10 @@ def tract_samples(spark, d):
 
 
 def context_evidence(spark, d):
-    """Contexts behind every tract with the counts of each length: what a debug dump joined to the matrices tells."""
+    """Contexts behind every tract with the counts of each length, joined to the matrices' values of their tract and sample."""
     c = _simple_concat(spark, d)
-    return c.select("tract_id", "sample_idx", "name", "n_lengths", "integral", "mode_length", "mode_count", "mean_length")
+    values = stats.last_of_sample(c).select("tract_id", "sample_idx", "n_hist", F.col("mean_length").alias("tract_length"), F.col("modal_freq").alias("tract_freq"), F.col("prop_coverage").alias("tract_coverage"))
+    return c.select("tract_id", "sample_idx", "name", "n_lengths", "integral", "mode_length", "mode_count", "mean_length").join(values, ["tract_id", "sample_idx"])
 
 
 def cluster_contexts(spark, d):
@@ -572,14 +574,15 @@ def oracle_sql():
         "tract_by_id": f"WITH {ref} SELECT t.tract_id, contig_name, location_in_contig, feature, sample_idx, arg_max(mean_length, concat_idx) AS mean_length, arg_max(modal_freq, concat_idx) AS modal_freq FROM tract_list t JOIN stat s ON t.tract_id = printf('tid_%06d', s.tract_id) GROUP BY ALL",
         "tracts_per_report": f"WITH {ref} SELECT contig, count(*) AS listed, CAST(sum(CASE WHEN variable THEN 1 ELSE 0 END) AS BIGINT) AS variable FROM ref_ht JOIN variable USING (tract_id) JOIN contigs USING (ref_id) GROUP BY 1",
         "tract_samples": f"WITH {_MAPPED} SELECT tract_id, count(*) AS n_samples, string_agg(CAST(sample_idx AS VARCHAR), ',' ORDER BY sample_idx) AS samples FROM (SELECT DISTINCT tract_id, sample_idx FROM stat) GROUP BY 1",
-        "context_evidence": f"WITH {_MAPPED} SELECT tract_id, sample_idx, name, n_lengths, integral, mode_length, mode_count, mean_length FROM stat",
+        "context_evidence": f"""WITH {_MAPPED}, each AS (SELECT tract_id, sample_idx, count(*) AS n_hist, arg_max(mean_length, location) AS tract_length, arg_max(modal_freq, location) AS tract_freq, arg_max(prop_coverage, location) AS tract_coverage FROM stat GROUP BY 1, 2)
+            SELECT tract_id, sample_idx, name, n_lengths, integral, mode_length, mode_count, mean_length, n_hist, tract_length, tract_freq, tract_coverage FROM stat JOIN each USING (tract_id, sample_idx)""",
         "pairwise_histogram_distance": f"WITH {_MAPPED} SELECT a.tract_id, a.concat_idx AS a, b.concat_idx AS b, {d1} AS d1, pow(a.mean_length - b.mean_length, 2) AS d2 FROM stat a JOIN stat b ON a.tract_id = b.tract_id AND a.concat_idx < b.concat_idx",
         "pivot_average_length": pivot("mean_length"),
         "pivot_modal_frequency": pivot("modal_freq"),
         "pivot_prop_coverage": pivot("prop_coverage"),
         "bed": f"WITH {ref} SELECT contig, border_lo + {K} AS start, border_hi - {K} + 1 AS \"end\", printf('tid_%06d', tract_id) AS label FROM ref_ht JOIN variable USING (tract_id) JOIN contigs USING (ref_id) WHERE variable",
         "tract_list": f"WITH {ref} SELECT * FROM tract_list",
-        "context_differs_from_ref": f"WITH {ref} SELECT tract_id, tract, ref_tract FROM tract_list WHERE tract <> ref_tract",
+        "context_differs_from_ref": f"WITH RECURSIVE {run} SELECT printf('tid_%06d', r.tract_id) AS tract_id, s.name AS tract, ref_tract FROM ref_ht r JOIN stat s ON s.concat_idx = r.exemplar_concat_idx WHERE s.name <> ref_tract",
         "frameshift_proxy": f"WITH {ref} SELECT feature_type = 'CDS' AS coding, (max_tract_length - ref_tract_length) % 3 = 0 AS in_frame, count(*) AS n_tracts FROM tract_list GROUP BY 1, 2",
         "euclidean_distance": "SELECT a.vec_id AS query_id, e.vec_id, sqrt(list_sum(list_transform(range(1, len(e.embedding) + 1), lambda i: pow(CAST(a.embedding[i] AS DOUBLE) - CAST(e.embedding[i] AS DOUBLE), 2)))) AS distance FROM embeddings a JOIN embeddings e ON a.vec_id % 50 = 0",
         "cluster_contexts": f"WITH RECURSIVE {_CONTEXTS} SELECT sample_idx, location, name, n_context, CAST(integral AS BIGINT) AS integral, mode_length, indel FROM hist1",

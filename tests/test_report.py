@@ -75,7 +75,7 @@ def test_variability_counts_absent_samples_as_zero(spark):
 
 
 
-@pytest.mark.parametrize("name", ["ht_counts", "leftmost_tract", "kmer_hamming", "context_names", "contig_offsets", "map_exact", "tract_spread"])
+@pytest.mark.parametrize("name", ["ht_counts", "leftmost_tract", "kmer_hamming", "context_names", "contig_offsets", "map_exact", "tract_spread", "map_edits", "pattern_distance", "diagonal_scores", "assign_tracts", "context_differs_from_ref"])
 def test_queries_match_sql(spark, name):
     import duckdb
 

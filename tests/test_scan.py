@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from polyrun.operators import scan
 from polyrun.operators.counts import element_counts, sample_coverage, with_depth
 from polyrun.operators.scan import sequence_hits, sequence_monomers, tract_hits, tract_hits_columns
 from polyrun.streaming.counts import streaming_counts
@@ -62,3 +63,19 @@ def test_stream_of_reads(spark, tmp_path):
     q.stop()
     assert [(r["count"], r.canon_flag) for r in spark.table("tract_counts").collect()] == [(4, 3)]
     assert df.select(F.count("*")).first()[0] == 4
+
+
+@pytest.mark.parametrize("fold", [True, False])
+def test_arrays_give_what_rows_give(spark, fold):
+    rng = random.Random(6)
+    seqs = ["".join(rng.choice(letters) * rng.choice([1, 1, 2, 3, 9]) for _ in range(rng.randrange(60))) for letters in ("ACGT", "ACGTNacgtuU", "AC", "acgtn") for _ in range(30)]
+    seqs += ["", "A", "A" * 50, "ACGT" * 3 + "AAAA" + "CGTA" * 3]
+    for k in (2, 4):
+        for least, most in ((2, None), (3, None), (1, 1), (1, None)):
+            row, cols = scan.array_hits(seqs, k, least, most, fold)
+            got = sorted(zip(row.tolist(), *(c.to_pylist() for c in cols), strict=True))
+            want = [(i, *h) for i, s in enumerate(seqs) for h in ([] if most == 1 else scan.sequence_hits(s, k, least, fold)) + (scan.sequence_monomers(s, k, fold) if least < 2 else [])]
+            assert got == sorted(want)
+    assert len(scan.array_hits([], 4, 2, None, fold)[0]) == 0
+    odd = spark.createDataFrame([(1, "ACGTé" + "ACGTAAAACGTA"), (2, None), (3, "CCGTAAAACGTA")], "id int, seq string")
+    assert sorted((r.id, r.base, r.length, r.read_offset) for r in scan.tract_hits(odd, 4, 3).collect()) == [(1, "A", 4, 5), (3, "A", 4, 0)]
