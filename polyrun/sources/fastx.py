@@ -353,19 +353,22 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _INDEX = pa.schema([("file_idx", pa.int32()), ("split", pa.int32()), ("first", pa.int64()), ("after", pa.int64()), ("records", pa.int64()), ("bad", pa.bool_())])
 
 
-def planned(spark: SparkSession, paths: list[str], split: int | None = None) -> list[dict]:
-    """Splits of files for the option `plan`: byte ranges of plain and blocked files, other gzip files whole. A row per range comes to the driver."""
+def planned(spark: SparkSession, paths: list[str], split: int | None = None, begin: int = 0) -> list[dict]:
+    """Splits of files for the option `plan`: byte ranges of plain and blocked files, other gzip files whole. A row per range comes to the driver.
+
+    begin: the byte where the records of plain files begin.
+    """
     split = split or SPLIT
     plan: list[dict] = []
     ranges: list[dict] = []
     for i, path in enumerate(paths):
         with open_input(path) as f:
             kind, size = kind_of(f), f.size()
-        if kind == "gzip" or size <= split:
-            plan.append({"file_idx": i, "path": path, "kind": kind})
+        if kind == "gzip" or size - begin <= split:
+            plan.append({"file_idx": i, "path": path, "kind": kind, "start": begin})
             continue
-        cuts = [*range(0, size, split), None]
-        ranges += [{"file_idx": i, "split": k, "path": path, "kind": kind, "lo": a, "stop": b, "start": 0 if k == 0 else None} for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+        cuts = [*range(begin, size, split), None]
+        ranges += [{"file_idx": i, "split": k, "path": path, "kind": kind, "lo": a, "stop": b, "start": begin if k == 0 else None} for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
     if not ranges:
         return plan
     known: dict[tuple[int, int], dict] = {}
@@ -379,7 +382,7 @@ def planned(spark: SparkSession, paths: list[str], split: int | None = None) ->
         after: dict[int, int] = {}
         for r in ranges:
             x = known[r["file_idx"], r["split"]]
-            began = after.get(r["file_idx"], 0)
+            began = after.get(r["file_idx"], begin)
             limit = _limit(r["kind"], r["stop"])
             if began < 0 or (r["split"] and limit is not None and began >= limit):
                 x |= {"first": began, "after": began, "records": 0, "bad": False}  # a record covers the range, or the file has ended

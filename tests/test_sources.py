@@ -128,6 +128,27 @@ def test_annotation(spark, tmp_path):
     fa.write_text(">c1\nGGGG\n")
     both = gff.with_reference(s, read_contigs(spark, str(fa)))
     assert [tuple(r) for r in both.orderBy("ref_id").collect()] == [(0, "c1", "GGGG", 4), (1, "c2", "TT", 2)]
+    fa.write_text(">z9\nAA\n>c2\nGG\n>a1\nT\n")  # numbers follow the files, not the names
+    assert [r.contig for r in gff.with_reference(s, read_contigs(spark, str(fa))).orderBy("ref_id").collect()] == ["z9", "c2", "a1", "c1"]
+
+
+@pytest.mark.parametrize("split", [37, 150, 100_000])
+def test_annotation_in_splits(spark, tmp_path, monkeypatch, split):
+    """Rows and sequences of one file in ranges, whatever they cut, plain and zipped."""
+    monkeypatch.setattr(fastx, "CHUNK", 64)
+    rng = random.Random(split)
+    rows = [f"c{i % 3}\tx\tCDS\t{i}\t{i + 5}\t.\t+\t0\tID=g{i};Note=##FASTA>" for i in range(40)]
+    seqs = {f"c{i}": "".join(rng.choice("ACGT") for _ in range(rng.choice([1, 90, 700]))) for i in range(5)}
+    fasta = "".join(f">{n} d\n" + "".join(f"{s[j : j + 60]}\n" for j in range(0, len(s), 60)) for n, s in seqs.items())
+    head = "##gff-version 3\n" + "\n".join(rows[:20]) + "\n# a remark\n\n" + "\r\n".join(rows[20:]) + "\n"
+    for name, text in (("a.gff3", head + "##FASTA\n" + fasta), ("b.gff3", head), ("c.gff3", "##FASTA\n" + fasta), ("d.gff3", head.rstrip("\n"))):
+        for path, data in ((tmp_path / name, text.encode()), (tmp_path / f"{name}.gz", gzip.compress(text.encode()))):
+            if split > 37 and path.suffix == ".gz":
+                continue
+            path.write_bytes(data)
+            got = sorted(r.feature_id for r in gff.read_features(spark, str(path), split).collect())
+            assert got == (sorted(f"g{i}" for i in range(40)) if name != "c.gff3" else []), (name, path)
+            assert {(r.contig, r.seq) for r in gff.read_sequences(spark, str(path), split).collect()} == (set(seqs.items()) if name in ("a.gff3", "c.gff3") else set()), (name, path)
 
 
 def test_command_line(spark, tmp_path):
