@@ -169,13 +169,25 @@ def best_match(hits: DataFrame, contigs: DataFrame) -> DataFrame:
     return kept.select("query", "x.b.ref_id", "x.b.loc_pos", "x.b.loc_last", "x.mismatches", "x.b.neg_strand", "x.b.location", (F.col("x.far") > F.col("x.b.location")).alias("multi"))
 
 
-def located_elements(elements: DataFrame, contigs: DataFrame, q: int, edits: int = 0, index: Index | None = None) -> DataFrame:
+def leftmost_match(hits: DataFrame, contigs: DataFrame) -> DataFrame:
+    """best_match() in compat: hits come best first, and one replaces the last accepted if it has fewer mismatches or lies more to the left, whatever its mismatches.
+
+    Coming best first, a later hit never has fewer mismatches, so the one that stays is the leftmost of all, of those at one place the best;
+    multi: it is not the first that was accepted. Both are minima, so hits are combined before the shuffle.
+    """
+    h = hits.join(with_offsets(contigs).select("ref_id", "flat_offset"), "ref_id").withColumn("location", F.col("flat_offset") + F.col("loc_pos"))
+    rest = [F.col("neg_strand").cast("int").alias("neg"), F.col("loc_last"), F.col("ref_id"), F.col("loc_pos")]
+    each = h.groupBy("query").agg(F.min(F.struct("location", "mismatches", *rest)).alias("x"), F.min(F.struct("mismatches", "location")).alias("first"))
+    return each.select("query", "x.ref_id", "x.loc_pos", "x.loc_last", "x.mismatches", (F.col("x.neg") == 1).alias("neg_strand"), "x.location", (F.col("first.location") != F.col("x.location")).alias("multi"))
+
+
+def located_elements(elements: DataFrame, contigs: DataFrame, q: int, edits: int = 0, index: Index | None = None, compat: bool = False) -> DataFrame:
     """Elements of contexts that map, with their place. One string per context is looked up (that of its longest tract), its place holds for all lengths."""
     context = ["sample_idx", "base", "left_ctx", "right_ctx"]
     longest = elements.groupBy(*context).agg(F.max("length").alias("longest"))
     text = F.concat("left_ctx", F.repeat("base", F.col("longest")), "right_ctx")
     asked = longest.withColumn("query", text)
-    found = best_match(locate(asked, contigs, q, edits, index), contigs)
+    found = (leftmost_match if compat else best_match)(locate(asked, contigs, q, edits, index), contigs)
     return elements.join(asked.join(found, "query").drop("query", "longest"), context)
 
 

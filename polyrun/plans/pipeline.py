@@ -49,7 +49,7 @@ class TractPipeline:
         deep = counts.with_depth(self.elements, self.options.min_reads).where("deep")
         q = min(15, (2 * self.options.kmer + max(self.options.min_tract, 2)) // (self.options.max_edits + 1))
         index = mapping.stored_index(self.contigs, q, self.index_dir) if self.index_dir else None
-        return self.keep(mapping.located_elements(deep, self.contigs, q, self.options.max_edits, index))
+        return self.keep(mapping.located_elements(deep, self.contigs, q, self.options.max_edits, index, self.options.compat))
 
     @cached_property
     def histograms(self) -> DataFrame:

@@ -209,6 +209,12 @@ def map_edits(spark, d):
     return mapping.locate(q, derived.contigs(spark, d), 6, 2)
 
 
+def leftmost_match(spark, d):
+    """Of the places of map_edits the one that stays in compat: the leftmost, however many edits it has."""
+    q, c = _queries_of(spark, d).select(_changed(F.col("query")).alias("query")), derived.contigs(spark, d)
+    return mapping.leftmost_match(mapping.locate(q, c, 6, 2), c).select("query", "location", "mismatches", "neg_strand", "loc_last", "multi")
+
+
 def best_match(spark, d):
     return _located(spark, d).select(*counts.CONTEXT, "length", "location", "loc_pos", "loc_last", "mismatches", "neg_strand", "multi")
 
@@ -516,6 +522,15 @@ def oracle_sql():
     rank = "least(length(a.modes), length(b.modes))"
     d1 = f"list_sum(list_transform(range(1, {rank} + 1), lambda i: (1 + abs(a.modes[i].l - b.modes[i].l)) * abs(a.modes[i].n / a.integral - b.modes[i].n / b.integral)))"
     rc = "reverse(translate(seq, 'ACGT', 'TGCA'))"
+    edits = f"""WITH {_PLACES},
+        altered AS (SELECT DISTINCT substr(query, 1, 2) || translate(substr(query, 3, 1), 'ACGT', 'CGTA') || substr(query, 4, length(query) - 7) || right(query, 3) AS query FROM wanted),
+        turned AS (SELECT query, query AS s, false AS neg FROM altered UNION ALL SELECT query, {rc.replace("seq", "query")}, true FROM altered),
+        thirds AS (SELECT *, i * (length(s) // 3) AS off, CASE WHEN i = 2 THEN length(s) - 2 * (length(s) // 3) ELSE length(s) // 3 END AS m FROM (SELECT *, unnest([0, 1, 2]) AS i FROM turned)),
+        lengths AS (SELECT DISTINCT m FROM thirds),
+        spans AS (SELECT ref_id, p, m, substr(seq, p + 1, m) AS piece FROM (SELECT ref_id, seq, m, unnest(range(0, len - m + 1)) AS p FROM offsets, lengths)),
+        around AS (SELECT DISTINCT query, s, neg, ref_id, p - off + d AS p FROM (SELECT t.*, ref_id, p, unnest([-2, -1, 0, 1, 2]) AS d FROM thirds t JOIN spans ON spans.m = t.m AND piece = substr(s, off + 1, t.m))),
+        tried AS (SELECT a.*, e, substr(seq, p + 1, length(s) + e) AS g FROM (SELECT *, unnest([-2, -1, 0, 1, 2]) AS e FROM around WHERE p >= 0) a JOIN contigs USING (ref_id) WHERE p + length(s) + e <= length(seq)),
+        places2 AS (SELECT query, ref_id, CAST(p AS INT) AS loc_pos, CAST(p + length(g) - 1 AS INT) AS loc_last, CAST(levenshtein(s, g) AS INT) AS mismatches, neg AS neg_strand FROM tried WHERE levenshtein(s, g) <= 2)"""
     return {
         "ht_scan": f"WITH {_COUNTS} SELECT {hit} FROM hits",
         "ht_scan_columns": f"WITH {_COUNTS} SELECT {hit} FROM hits",
@@ -550,15 +565,10 @@ def oracle_sql():
             spots AS (SELECT query, s, neg, flat_offset + p AS location, p + m - 1 AS loc_last, substr(seq, p + 1, m) AS g FROM (SELECT *, unnest(range(0, len - m + 1)) AS p FROM (SELECT query, s, neg, ref_id, flat_offset, seq, len, unnest([length(s) - 1, length(s), length(s) + 1]) AS m FROM sides, offsets))),
             ok AS (SELECT *, levenshtein(s, g) AS nm FROM spots WHERE levenshtein(s, g) <= 1)
             SELECT query, nm AS mismatches, location, neg AS neg_strand, CAST(loc_last AS INT) AS loc_last FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY nm, location, neg, loc_last) AS nth FROM ok) WHERE nth = 1""",
-        "map_edits": f"""WITH {_PLACES},
-            altered AS (SELECT DISTINCT substr(query, 1, 2) || translate(substr(query, 3, 1), 'ACGT', 'CGTA') || substr(query, 4, length(query) - 7) || right(query, 3) AS query FROM wanted),
-            turned AS (SELECT query, query AS s, false AS neg FROM altered UNION ALL SELECT query, {rc.replace("seq", "query")}, true FROM altered),
-            thirds AS (SELECT *, i * (length(s) // 3) AS off, CASE WHEN i = 2 THEN length(s) - 2 * (length(s) // 3) ELSE length(s) // 3 END AS m FROM (SELECT *, unnest([0, 1, 2]) AS i FROM turned)),
-            lengths AS (SELECT DISTINCT m FROM thirds),
-            spans AS (SELECT ref_id, p, m, substr(seq, p + 1, m) AS piece FROM (SELECT ref_id, seq, m, unnest(range(0, len - m + 1)) AS p FROM offsets, lengths)),
-            around AS (SELECT DISTINCT query, s, neg, ref_id, p - off + d AS p FROM (SELECT t.*, ref_id, p, unnest([-2, -1, 0, 1, 2]) AS d FROM thirds t JOIN spans ON spans.m = t.m AND piece = substr(s, off + 1, t.m))),
-            tried AS (SELECT a.*, e, substr(seq, p + 1, length(s) + e) AS g FROM (SELECT *, unnest([-2, -1, 0, 1, 2]) AS e FROM around WHERE p >= 0) a JOIN contigs USING (ref_id) WHERE p + length(s) + e <= length(seq))
-            SELECT query, ref_id, CAST(p AS INT) AS loc_pos, CAST(p + length(g) - 1 AS INT) AS loc_last, CAST(levenshtein(s, g) AS INT) AS mismatches, neg AS neg_strand FROM tried WHERE levenshtein(s, g) <= 2""",
+        "map_edits": f"{edits} SELECT * FROM places2",
+        "leftmost_match": f"""{edits}, x AS (SELECT query, mismatches, neg_strand, loc_last, flat_offset + loc_pos AS location FROM places2 JOIN offsets USING (ref_id)),
+            y AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY location, mismatches, neg_strand, loc_last) AS nth, first(location) OVER (PARTITION BY query ORDER BY mismatches, location ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS best FROM x)
+            SELECT query, location, mismatches, neg_strand, loc_last, best <> location AS multi FROM y WHERE nth = 1""",
         "best_match": f"WITH {_MAPPED} SELECT sample_idx, base, left_ctx, right_ctx, length, location, loc_pos, loc_last, mismatches, neg_strand, multi FROM located",
         "feature_lookup": f"WITH {_MAPPED} SELECT * FROM inside",
         "feature_priority": f"WITH {_MAPPED} SELECT sample_idx, location, feature_type, feature_id FROM pointed LEFT JOIN best_f USING (contig, position)",

@@ -102,3 +102,20 @@ def test_stored_index(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     changed = mapping.stored_index(contigs(spark, [seqs[0] + "A", seqs[1]]), 6, folder, 3)
     assert len(list((tmp_path / "index").iterdir())) == 2 and changed.positions.count() == first.positions.count() + 1
+
+
+def test_compat_keeps_what_a_pass_over_hits_keeps(spark):
+    """Hits best first, one after the other: fewer mismatches or more to the left replaces."""
+    rng = random.Random(12)
+    c = contigs(spark, ["A" * 300, "C" * 200])
+    rows = list({(f"q{rng.randrange(12)}", r := rng.randrange(2), p := rng.randrange(150), p + 20, rng.randrange(3), rng.random() < 0.5): None for _ in range(60)})
+    want = {}
+    for q, r, p, last, nm, neg in sorted(rows, key=lambda x: (x[4], x[2] + 300 * x[1], x[5], x[3])):
+        at, now = p + 300 * r, want.get(q)
+        if now is None:
+            want[q] = (at, nm, neg, last, False)
+        elif now[1] > nm or now[0] > at:
+            want[q] = (at, nm, neg, last, True)
+    hits = spark.createDataFrame(rows, "query string, ref_id int, loc_pos int, loc_last int, mismatches int, neg_strand boolean").repartition(5)
+    got = {r.query: (r.location, r.mismatches, r.neg_strand, r.loc_last, r.multi) for r in mapping.leftmost_match(hits, c).collect()}
+    assert got == want and any(x[4] for x in want.values())
