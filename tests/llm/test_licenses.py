@@ -1,8 +1,13 @@
+import random
 import re
+import time
+from pathlib import Path
 
 import numpy as np
+import pytest
 
-from polyrun.llm.licenses import TEMPLATES, align, license_spans
+from polyrun.llm import licenses
+from polyrun.llm.licenses import TEMPLATES, Templates, align, license_spans
 
 
 def spans(docs, **k):
@@ -78,3 +83,48 @@ def test_alignment_in_a_band():
 def test_empty(corpus):
     assert license_spans(corpus([(1, "a")]).limit(0)).count() == 0
     assert license_spans(corpus([(1, TEMPLATES["MIT"])]), templates={}).count() == 0
+
+
+def whole_alignment(a, b):
+    """Equal words of the best local alignment of b in a, of equal scores the most, without any band."""
+    row, best = [(0, 0)] * (len(a) + 1), (0, 0)
+    for y in b:
+        last, row = row, [(0, 0)]
+        for i, x in enumerate(a, 1):
+            cell = max((last[i - 1][0] + (2 if x == y else -1), last[i - 1][1] + (x == y)), (last[i][0] - 1, last[i][1]), (row[-1][0] - 1, row[-1][1]), (0, 0))
+            row.append(cell if cell[0] > 0 else (0, 0))
+        best = max(best, *row)
+    return best[1]
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_edited_copies_equal_whole_alignments(seed):
+    """Words changed, taken out and put in, a whole stretch of each too: the coverage of a match is that of an alignment without a band."""
+    rng = random.Random(seed)
+    template = [f"w{rng.randrange(120)}" for _ in range(300)]
+    text = [w for w in template for w in ([], [w, "new"], ["other"], *[[w]] * 33)[rng.randrange(36)]]
+    cut = rng.randrange(60, 240)
+    text = text[:cut] + [f"put{i}" for i in range(rng.randrange(40))] + text[cut + rng.randrange(20) :]
+    text = ["before"] * 20 + text + ["after"] * 20
+    got = Templates({"t": " ".join(template)}).found([" ".join(text).encode()], 0.8)
+    want = whole_alignment(text, template) / 300
+    assert want > 0.8 and [(x[1], round(x[2], 6)) for x in got] == [("t", round(want, 6))]
+
+
+def test_two_edited_copies_are_both_found():
+    mit = (Path(licenses.__file__).parent / "license_texts" / "MIT.txt").read_text().split()
+    for seed in range(5):
+        rng = random.Random(seed)
+        first, second = ([w for w in mit if rng.random() > 0.1] for _ in range(2))
+        got = [x for x in Templates({"t": " ".join(mit)}).found([" ".join(first + second).encode()], 0.8)]
+        assert len(got) == 2 and got[0][4] <= got[1][3]
+
+
+def test_related_licences_take_little_time():
+    """A text of a family of licences that share most of their wording."""
+    index = Templates(licenses.all_templates())
+    for name in ("GPL-2.0", "GPL-3.0", "LGPL-2.1"):
+        text = (Path(licenses.__file__).parent / "license_texts" / f"{name}.txt").read_bytes()
+        started = time.process_time()
+        assert (f"{name}-text", 1.0) in {(x[1], x[2]) for x in index.found([text], 0.8)}
+        assert time.process_time() - started < 5  # seconds; about 0.5 where nothing else runs
