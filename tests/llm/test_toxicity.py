@@ -54,6 +54,13 @@ def score(m, has):
     return m.score(rows, cols, m.of_words(np.ones(len(m.terms), np.int64), np.arange(len(m.terms))), len(has))
 
 
+def score_rows(m, rows):
+    has = np.zeros((len(rows), 1 + max(int(r.max()) for r in rows)), bool)
+    for i, r in enumerate(rows):
+        has[i, r] = True
+    return score(m, has)
+
+
 def test_pairs_of_terms():
     """Neither of two terms alone is toxic, both together are."""
     rng = np.random.default_rng(0)
@@ -63,6 +70,18 @@ def test_pairs_of_terms():
     assert ((score(m, has) >= 0.5) == label).mean() > 0.99
 
 
+@pytest.mark.parametrize("n", [5, 9, 14])
+def test_a_rare_marker_has_a_weight(n):
+    """A term of n toxic texts and no clean one, beside a frequent marker and terms that tell nothing."""
+    rng = np.random.default_rng(n)
+    label = (np.arange(2000) < 200).astype(int)
+    rows = [np.unique(np.append(rng.integers(2, 300, 20), [0] * (y and i >= n))).astype(np.int64) for i, y in enumerate(label)]
+    rows = [np.append(x, 1) if i < n else x for i, x in enumerate(rows)]
+    m = FactorizationMachine.learn(np.arange(300), rows, label)
+    assert {0, 1} <= set(m.terms) and m.weight[m.terms.searchsorted(1)] > 0
+    assert ((score_rows(m, rows) >= 0.5) == label).all()
+
+
 def test_labels_that_only_pairs_tell(corpus, spark):
     """A label that no term tells by itself: either of two words makes a text toxic, but not both."""
     rng = random.Random(4)
