@@ -57,7 +57,7 @@ def _piece_level(path: str):
 def words_of(text: str) -> list[str]:
     """The stretches of text between the cuts; each, after one space, is tokenized as it is inside the whole text."""
     parts = text.split(" ")
-    return parts if len(parts) == len(text.split()) and "\u180e" not in text else [x[i == 0 :] for i, x in enumerate(_CUT.split(" " + text))]
+    return parts if parts == text.split() and "\u180e" not in text else [x[i == 0 :] for i, x in enumerate(_CUT.split(" " + text))]
 
 
 class Aligned:

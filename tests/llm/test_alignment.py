@@ -135,3 +135,9 @@ def test_empty_tables_and_clashing_columns(spark, corpus):
 @pytest.mark.parametrize("text", ["a b", " a", " \t ", "a ", "a\n\n b\tc \n", "a  b c", "", "x\n y z", "a\u180e b c d", "\u3000 a b"])
 def test_words_join_to_the_text(text):
     assert " " + " ".join(al.words_of(text)) == " " + text
+
+
+def test_empty_parts_that_make_up_for_other_white_space(corpus):
+    """As many parts by spaces as by all white space, but not the same ones."""
+    docs = list(enumerate(["a  b\nc", " the \n", "a\nb ", "x  y\tz w", "a b　c ", "two\r\n words  and  more\n\nlines\n"]))
+    assert rows(al.alignment(corpus(docs), A, B)) == sorted(brute(docs), key=str)
