@@ -119,3 +119,17 @@ def test_compat_keeps_what_a_pass_over_hits_keeps(spark):
     hits = spark.createDataFrame(rows, "query string, ref_id int, loc_pos int, loc_last int, mismatches int, neg_strand boolean").repartition(5)
     got = {r.query: (r.location, r.mismatches, r.neg_strand, r.loc_last, r.multi) for r in mapping.leftmost_match(hits, c).collect()}
     assert got == want and any(x[4] for x in want.values())
+
+
+def test_nothing_that_grows_is_broadcast(spark):
+    """Spark takes what is exploded or mapped of a small file for small; only the hot stretches (HOT rows at most) go through the driver."""
+    from polyrun.operators import annotate
+    from polyrun.sources import derived
+
+    d = "/root/testdata/sf0.001"
+    c = derived.contigs(spark, d)
+    broadcasts = lambda df: df._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")
+    assert broadcasts(derived.reads(spark, d)) == 0
+    assert broadcasts(mapping.locate(c.select(F.substring("seq", 100, 40).alias("query")), c, 15)) <= 1
+    assert broadcasts(mapping.locate(c.select(F.substring("seq", 100, 40).alias("query")), c, 9, 1)) <= 1
+    assert broadcasts(annotate.feature_hits(c.select("contig", F.lit(7).alias("position")), derived.features(spark, d))) == 0
