@@ -103,3 +103,8 @@ def test_run_without_tracts_or_with_unknown_contigs_stops(spark):
     run = TractPipeline(spark.createDataFrame([(0, genome)], "sample_idx int, seq string"), c, lost, Options(kmer=5, min_tract=3, min_reads=1))
     with pytest.raises(ValueError, match="nowhere"):
         run.histograms  # noqa: B018
+
+
+def test_a_sequence_is_cleaned_once_not_for_every_codon(spark):
+    plan = spark.createDataFrame([("ACGT",)], "seq string").select(dna.translate_protein("seq", True).alias("p"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("reverse(") == 1
