@@ -133,3 +133,24 @@ def test_nothing_that_grows_is_broadcast(spark):
     assert broadcasts(mapping.locate(c.select(F.substring("seq", 100, 40).alias("query")), c, 15)) <= 1
     assert broadcasts(mapping.locate(c.select(F.substring("seq", 100, 40).alias("query")), c, 9, 1)) <= 1
     assert broadcasts(annotate.feature_hits(c.select("contig", F.lit(7).alias("position")), derived.features(spark, d))) == 0
+
+
+def test_two_edits_next_to_other_letters_and_borders(spark):
+    """Seeds are known but for one edit, whatever letters the reference holds there."""
+    rng = random.Random(21)
+    dna = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    seqs = [dna(70), dna(19), dna(60)]
+    queries = [seqs[1], seqs[0][:20], seqs[2][-22:], seqs[0][30:53]]
+    seqs[0] = seqs[0][:8] + "N" + seqs[0][9:37] + "NR" + seqs[0][39:]
+    got = mapping.locate(spark.createDataFrame([(q,) for q in queries], "query string"), contigs(spark, seqs), 6, 2)
+    assert {tuple(r) for r in got.collect()} == brute(queries, seqs, 2)
+
+
+def test_few_places_are_verified_for_two_edits(spark):
+    """A stretch of 6 bases alone points to a 4096th of all places; seeds over two pieces to far fewer."""
+    rng = random.Random(22)
+    g = "".join(rng.choice("ACGT") for _ in range(20000))
+    both = spark.createDataFrame([(g[i : i + 18],) * 2 + (False,) for i in range(0, 3000, 100)], "query string, s string, neg_strand boolean")
+    near = mapping.near_pairs(both, contigs(spark, [g]), 6)
+    assert near.select("s").distinct().count() == 30 and near.count() < 30 * 8
+    assert 3 * 20000 / 4096 > 14  # places by single stretches of 6, of each string
