@@ -147,6 +147,30 @@ _LATIN_TOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{
 _OTHER = re.compile("[^\x21-\x7e\xa1-\u012f\u0131-\u024f]|<\\|")
 
 
+def _is_other(word: str) -> bool:
+    """Whether _OTHER is in word; most words are told without a search."""
+    if word.isascii() and (word.isalpha() or word.isprintable() and " " not in word and "<|" not in word):
+        return False
+    return bool(_OTHER.search(word))
+
+
+def _latin_tokens(words: list[str]) -> tuple[list[str], np.ndarray]:
+    """Pre-tokens of words without _OTHER as byte-level characters, and how many each has."""
+    out, n = [], []
+    for word in words:
+        if not word.isascii():
+            found = [x if x.isascii() else x.encode().decode("latin-1").translate(_CHARS) for x in _LATIN_TOKEN.findall(word.lower())]
+        elif word.isalpha():
+            out.append(word.lower())
+            n.append(1)
+            continue
+        else:
+            found = _LATIN_TOKEN.findall(word.lower())
+        out += found
+        n.append(len(found))
+    return out, np.array(n, np.int64)
+
+
 def _pre_tokens(path: str, words: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Pre-tokens of all words as byte-level characters, how many each word has, and how many special strings it holds."""
     tok = _tokenizer(path)
@@ -193,8 +217,8 @@ def _word_ids(path: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Length and ids of each word, as the library encodes it."""
     whole, tok = _tokenizer(path), _plain_tokenizer(path)
     texts = [w.decode() for w in words]
-    other = np.fromiter((bool(_OTHER.search(t)) for t in texts), bool, len(texts))
-    pre, n, _ = _pre_tokens(path, [w for w, o in zip(words, other.tolist(), strict=True) if not o])
+    other = np.fromiter(map(_is_other, texts), bool, len(texts))
+    pre, n = _latin_tokens([t for t, o in zip(texts, other.tolist(), strict=True) if not o])
     known = list(set(pre))
     flat = [np.array(x.ids, np.int64) for x in tok.encode_batch_fast([" ".join(known[i : i + 200]) for i in range(0, len(known), 200)], add_special_tokens=False)]
     last = np.flatnonzero(_word_ends(path)[np.concatenate(flat)]) if flat else np.zeros(0, np.int64)

@@ -82,3 +82,11 @@ def test_clashing_columns(corpus, clash):
     docs = corpus([(1, "x y")]).withColumnRenamed("lang", clash)
     assert token_counts(docs, PATH).first().n_tokens == 2
     assert token_id_files(docs, PATH)
+
+
+def test_words_told_apart_without_a_search():
+    """_is_other() answers as the pattern does, for control characters and special strings too."""
+    from polyrun.llm import tokens
+
+    words = [a + b + c for a in ("", "a", "Z9", "<") for b in ("|", "\x00", "\x1c", "\x7f", "\xa0", "\xad", "\xe9", "İ", "一", "'s", " ") for c in ("", "x", "|>")]
+    assert [tokens._is_other(w) for w in words] == [bool(tokens._OTHER.search(w)) for w in words]
