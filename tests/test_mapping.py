@@ -154,3 +154,30 @@ def test_few_places_are_verified_for_two_edits(spark):
     near = mapping.near_pairs(both, contigs(spark, [g]), 6)
     assert near.select("s").distinct().count() == 30 and near.count() < 30 * 8
     assert 3 * 20000 / 4096 > 14  # places by single stretches of 6, of each string
+
+
+def test_few_places_are_verified_for_one_edit(spark):
+    """Two stretches of 6 bases point to far fewer places than one of 9 of each half."""
+    rng = random.Random(23)
+    g = "".join(rng.choice("ACGT") for _ in range(200000))
+    both = spark.createDataFrame([(g[i : i + 19],) * 2 + (False,) for i in range(0, 3000, 100)], "query string, s string, neg_strand boolean")
+    near = mapping.near_gaps(both, contigs(spark, [g]), 6)
+    assert near.select("s").distinct().count() == 30 and near.count() < 30 * 5
+    plan = mapping.locate(both.select("query"), contigs(spark, [g]), 9, 1)._jdf.queryExecution().executedPlan().toString()
+    assert "gram" in plan and "qgram" not in plan
+    assert 9 * 2 * 200000 / 4**9 > 13  # starts and lengths to verify by stretches of 9, of each string
+
+
+@pytest.mark.parametrize(("seed", "poly"), [(4, 0), (5, 900)])
+def test_one_edit_by_seeds_that_span_pieces(spark, seed, poly):
+    """Also next to other letters, at borders of contigs, and for hot grams, which lie in slots."""
+    seqs, queries = made(seed, poly)
+    seqs += [queries[0], queries[1][1:], queries[2][:9] + "N" + queries[2][10:], queries[3] + "R"]
+    c = contigs(spark, seqs)
+    assert (max(mapping.hot_gaps(c, 6).values(), default=0) > 500) == (poly > 0)
+    got = mapping.locate(spark.createDataFrame([(q,) for q in queries if len(q) >= 18], "query string"), c, 9, 1)
+    want = {x for x in brute([q for q in queries if len(q) >= 18 and q != "A" * 18], seqs, 1)}
+    rows = [tuple(r) for r in got.where(F.col("query") != "A" * 18).select("query", "ref_id", "loc_pos", "loc_last", "mismatches", "neg_strand").collect()]
+    assert set(rows) == want and len(rows) == len(want)
+    if poly:
+        assert got.where(F.col("query") == "A" * 18).where("mismatches = 0 and not neg_strand").count() >= poly - 17
