@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from polyrun.functions import dna
 from polyrun.functions import similarity as sim
+from polyrun.operators import cluster
 
 
 def edits(pattern, text):
@@ -72,3 +74,39 @@ def test_diagonal_scores_in_blocks(spark, monkeypatch):
     got = {(r.asked_id, r.id): r.score for r in sim.diagonal_scores(df, df.where(F.col("id") % 4 == 0), 40).collect()}
     want = {(i, j): scores(a, b, 40) for i, a in enumerate(seqs) if i % 4 == 0 for j, b in enumerate(seqs)}
     assert got == {k: v for k, v in want.items() if v}
+
+
+def test_edits_of_a_query_set(spark):
+    """Of all pairs with one key and different ids, against one string at a time."""
+    rng = random.Random(31)
+    word = lambda n: "".join(rng.choice("ACGT.é") for _ in range(n))
+    rows = [(i % 2, i, word(rng.choice([0, 1, 9, 32, 33, 64]))) for i in range(40)] + [(0, 99, None)]
+    d = spark.createDataFrame(rows, "k int, id long, value string")
+    known = [r for r in rows if r[2] is not None]
+    pairs = [(a[2], b[2]) for a in known for b in known if a[0] == b[0] and a[1] != b[1] and a[1] % 4 == 0]
+    best = sim.best_edit_distances(*map(list, zip(*pairs, strict=True))).tolist()
+    for whole, want in ((True, [cluster.levenshtein(a, b) for a, b in pairs]), (False, best)):
+        got = sim.edit_distances(d.where("id % 4 = 0"), d, ["k"], whole)
+        assert sorted(map(tuple, got.collect())) == sorted((a, b, n) for (a, b), n in zip(pairs, want, strict=True))
+    with pytest.raises(ValueError, match="64"):
+        sim.edit_matrix(["A" * 65], ["A"], True)
+
+
+def test_distances_of_vectors(spark):
+    """The same sums, in the same order, as of one pair at a time; null where that is null."""
+    rng = random.Random(32)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(24)]) for i in range(60)] + [(60, None), (61, [1.0, None]), (62, [1.0, 2.0]), (63, []), (64, [0.5, float("nan")])]
+    e = spark.createDataFrame(rows, "id long, value array<float>")
+    want = e.alias("a").crossJoin(e.alias("b")).where("a.id % 5 = 0 or a.id > 59").select("a.id", "b.id", dna.euclidean("a.value", "b.value"))
+    got = sim.vector_distances(e.where("id % 5 = 0 or id > 59"), e)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, want.collect())))
+
+
+def test_codes_tell_distances(spark):
+    rng = random.Random(33)
+    word = lambda: "".join(rng.choice("ACGT") for _ in range(8))
+    d = spark.createDataFrame([(word(), word(), word(), word()) for _ in range(300)] + [("ACGTACGT", "A" * 8, "CGTACGTA", "T" * 8)], "l1 string, r1 string, l2 string, r2 string")
+    a, b, x, y = (dna.kmer_code(c) for c in ("l1", "r1", "l2", "r2"))
+    plain = dna.code_distance(a, x) + dna.code_distance(b, y)
+    moved = dna.code_shift_distance(a, x, 8) + dna.code_shift_distance(b, y, 8)
+    assert d.where((plain != dna.pair_distance("l1", "r1", "l2", "r2")) | (moved != dna.shift_distance("l1", "r1", "l2", "r2", 8))).count() == 0
