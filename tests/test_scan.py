@@ -79,3 +79,16 @@ def test_arrays_give_what_rows_give(spark, fold):
     assert len(scan.array_hits([], 4, 2, None, fold)[0]) == 0
     odd = spark.createDataFrame([(1, "ACGTé" + "ACGTAAAACGTA"), (2, None), (3, "CCGTAAAACGTA")], "id int, seq string")
     assert sorted((r.id, r.base, r.length, r.read_offset) for r in scan.tract_hits(odd, 4, 3).collect()) == [(1, "A", 4, 5), (3, "A", 4, 0)]
+
+
+def test_counted_monomers(spark):
+    """Counts by numbers equal counts by strings, whatever the flanks' size and the letters; only numbers are shuffled."""
+    rng = random.Random(41)
+    rows = [(i % 3, "".join(rng.choice("ACGTNacg") for _ in range(50))) for i in range(60)] + [(0, None), (1, ""), (2, "ACGT\u0130" + "ACGT" * 12), (2, "CA" * 30)]
+    df = spark.createDataFrame(rows, "sample_idx int, seq string")
+    for k in (3, 8, 15, 16):
+        want = scan.monomer_hits(df, k).groupBy("sample_idx", "base", "left_ctx", "right_ctx").agg(F.count("*").alias("n"), F.bit_or("canon_flag").alias("canon_flag"))
+        got = scan.monomer_counts(df, k, ["sample_idx"])
+        assert got.dtypes == want.dtypes and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    plan = scan.monomer_counts(df, 8, ["sample_idx"])._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(sample_idx#" in plan and ", code#" in plan.split("hashpartitioning(")[1].split(")")[0]
