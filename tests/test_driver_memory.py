@@ -10,7 +10,7 @@ from polyrun.plans import queries
 
 #: What the sides that are broadcast are joined by: contigs, samples' coverage, ranges' totals and hot stretches (HOT rows at most).
 SMALL = {"ref_id", "sample_idx", "_part", "qgram"}
-NAMES = ["best_match", "mapping_counts", "sample_union_order", "feature_lookup", "pairwise_histogram_distance", "context_evidence", "best_reference_ht", "next_ht", "tract_by_id", "frameshift_proxy"]
+NAMES = ["best_match", "mapping_counts", "sample_union_order", "feature_lookup", "pairwise_histogram_distance", "context_evidence", "best_reference_ht", "next_ht", "tract_by_id", "frameshift_proxy", "map_edit", "bed", "variable_tracts", "tracts_per_report", "vcf_rows", "selected_tracts"]
 
 
 @pytest.fixture(scope="module")
