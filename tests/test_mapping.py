@@ -181,3 +181,29 @@ def test_one_edit_by_seeds_that_span_pieces(spark, seed, poly):
     assert set(rows) == want and len(rows) == len(want)
     if poly:
         assert got.where(F.col("query") == "A" * 18).where("mismatches = 0 and not neg_strand").count() >= poly - 17
+
+
+@pytest.mark.parametrize(("q", "edits"), [(6, 2), (9, 1)])
+def test_places_to_verify_are_not_stored(spark, q, edits):
+    """They grow as queries times genome: only hits are shuffled after the search, and both sides of it once."""
+    seqs, queries = made(7)
+    plan = mapping.locate(spark.createDataFrame([(x,) for x in queries if len(x) >= 18], "query string"), contigs(spark, seqs), q, edits)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Join" not in plan
+    above = plan[: plan.index("met_by_gram")]
+    assert above.count("Exchange") == 1 and "hashpartitioning(query" in above
+
+
+@pytest.mark.parametrize("edits", [1, 2])
+def test_many_blocks_spans_and_packed_rows(spark, edits, monkeypatch):
+    """The same hits in small blocks, also over borders of spans and blocks."""
+    rng = random.Random(31)
+    g = "".join(rng.choice("ACGT") for _ in range(700))
+    seqs = [g, g[300:420], "N" + g[:30] + "\u00e9\u0141" + g[60:90]]
+    queries = [g[i : i + 18 + i % 5] for i in range(0, 680, 17)]
+    queries += [q[:4] + "T" + q[5:] for q in queries]
+    for name, size in (("BLOCK", 200), ("SPAN", 64), ("OVERLAP", 40), ("STRINGS", 9), ("PACKED", 4), ("PLACES", 7), ("SEEDED", 3)):
+        monkeypatch.setattr(mapping, name, size)
+    c = contigs(spark, seqs)
+    both = spark.createDataFrame([(q,) for q in queries], "query string")
+    got = [tuple(r) for r in mapping.locate(both, c, 6 if edits == 2 else 9, edits).select("query", "ref_id", "loc_pos", "loc_last", "mismatches", "neg_strand").collect()]
+    assert set(got) == brute(queries, [s.upper() for s in seqs], edits) and len(got) == len(set(got))
