@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from polyrun.functions import dna
 from polyrun.functions import similarity as sim
 from polyrun.operators import cluster
+from polyrun.plans import queries
 
 
 def edits(pattern, text):
@@ -110,3 +111,17 @@ def test_codes_tell_distances(spark):
     plain = dna.code_distance(a, x) + dna.code_distance(b, y)
     moved = dna.code_shift_distance(a, x, 8) + dna.code_shift_distance(b, y, 8)
     assert d.where((plain != dna.pair_distance("l1", "r1", "l2", "r2")) | (moved != dna.shift_distance("l1", "r1", "l2", "r2", 8))).count() == 0
+
+
+def test_codes_tell_common_ends(spark):
+    """Also of strings of several lengths, of which one may begin or end with the other; and pairs get the codes made once per string."""
+    rng = random.Random(34)
+    word = lambda n: "".join(rng.choice("ACA") for _ in range(n))
+    rows = [(word(rng.choice([1, 4, 30, 31])), word(rng.choice([1, 5, 31]))) for _ in range(300)]
+    rows += [(x, x) for x, _ in rows[:20]] + [(x, (x + "AAT")[:31]) for x, _ in rows[:20]] + [("A" * 20, "A" * 21), ("T" * 31, "T" * 31), ("T" * 30 + "G", "T" * 31), ("", "A"), ("", "")]
+    d = spark.createDataFrame(rows, "a string, b string")
+    codes, reverse_codes = [tuple(dna.kmer_code(f(F.col(c))) for c in ("a", "b")) for f in (lambda x: x, F.reverse)]
+    got = d.select("a", "b", dna.common_prefix("a", "b", codes), dna.common_suffix("a", "b", codes, reverse_codes), dna.common_prefix("a", "b"), dna.common_suffix("a", "b")).collect()
+    assert all(tuple(r[2:4]) == tuple(r[4:6]) for r in got) and len({tuple(r[2:4]) for r in got}) > 20
+    plan = queries.common_prefix_suffix(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan[: plan.index("Join")]
